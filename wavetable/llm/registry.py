@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from wavetable.llm.bpe import op5_byte_bpe
 from wavetable.llm.media import op8_media_clips
+from wavetable.llm.token_counts import op6_token_counts
 
 
 def queries() -> dict[str, Callable]:
-    return {f.__name__: f for f in (op8_media_clips,)}
+    return {f.__name__: f for f in (op5_byte_bpe, op6_token_counts, op8_media_clips)}
 
 
 def oracle_sql() -> dict[str, str]:
