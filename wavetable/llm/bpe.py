@@ -92,9 +92,11 @@ def stitch(chunks: list[tuple[int, str, np.ndarray]], split) -> Iterator[str]:
         q = int(sure[-1])
         yield from _cut(text, start, sure)
         last = min(at + step, len(chunks) - 1)
-        tail = [text[q - start : chunks[at + 1][0] - start]]
+        tail = [text[q - start :]]
         for k in range(at + 1, last + 1):
-            tail.append(chunks[k][1] if k == last else chunks[k][1][: chunks[k + 1][0] - chunks[k][0]])
+            more = chunks[k][1][end - chunks[k][0] :] if end > chunks[k][0] else chunks[k][1]
+            tail.append(more)
+            end += len(more)
         start, text = q, "".join(tail)
         marks, at, step = boundaries(text, q, split), last, step * 2
     yield from _cut(text, start, marks)
