@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from wavetable.llm import host_rules, mixture
 from wavetable.llm.bpe import op5_byte_bpe
+from wavetable.llm.host_rules import op2_host_rules
 from wavetable.llm.media import op8_media_clips
+from wavetable.llm.mixture import op10_mixture
 from wavetable.llm.token_counts import op6_token_counts
 
 
 def queries() -> dict[str, Callable]:
-    return {f.__name__: f for f in (op5_byte_bpe, op6_token_counts, op8_media_clips)}
+    return {f.__name__: f for f in (op2_host_rules, op5_byte_bpe, op6_token_counts, op8_media_clips, op10_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_host_rules": host_rules.SQL, "op10_mixture": mixture.SQL}
