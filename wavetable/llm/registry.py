@@ -9,11 +9,13 @@ from wavetable.llm.bpe import op5_byte_bpe
 from wavetable.llm.host_rules import op2_host_rules
 from wavetable.llm.media import op8_media_clips
 from wavetable.llm.mixture import op10_mixture
+from wavetable.llm.nbsvm import op4_quality
+from wavetable.llm.shards import op1_training_order
 from wavetable.llm.token_counts import op6_token_counts
 
 
 def queries() -> dict[str, Callable]:
-    return {f.__name__: f for f in (op2_host_rules, op5_byte_bpe, op6_token_counts, op8_media_clips, op10_mixture)}
+    return {f.__name__: f for f in (op1_training_order, op2_host_rules, op4_quality, op5_byte_bpe, op6_token_counts, op8_media_clips, op10_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
