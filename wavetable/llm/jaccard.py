@@ -1,9 +1,11 @@
 """N-gram Jaccard join in size-banded tiles with bitmap signatures.
 
 A document is the set of its distinct word shingles, hashed to 64 bits.
-Candidates come from an exact bound: sets of a size band that link differ in
-at most K shingles, so of K + 1 parts of the hash range one at least holds
-the same shingles in both. Sets with an equal part form candidate groups;
+Two exact bounds find candidates. A set that links with another shares most
+of its shingles, so one of which too many occur nowhere else is out; a fixed
+range of the hashes is enough to tell for most. Sets of a size band that link
+differ in at most K shingles, so of K + 1 parts of the hash range one at
+least holds the same shingles in both. Sets with an equal part form groups;
 groups that overlap are cut into tiles of consecutive sizes. In a tile the
 bit counts of hashed bitmaps bound each overlap from above, and only pairs
 that pass and are not yet connected get the exact intersection of their
@@ -20,20 +22,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavetable.llm.blocks import groups, mix64
+from wavetable.llm.blocks import groups, mix64, pack, unpack
 from wavetable.llm.components import components
 from wavetable.llm.host_rules import words
+from wavetable.llm.sharing import buckets_for, flags_of, mark_shared, split
 from wavetable.session import stable
 
 #: Ratio of neighbouring band borders.
 RATIO = 1.5
 #: Sets and shingles of a block; a tile is two blocks at most.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
-#: Classes that a task remembers to send their parts once.
-SEEN = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -52,6 +54,17 @@ class Rule:
         """In how many shingles linked sets of sizes a and b can differ at most."""
         return (a + b) * (self.den - self.num) // (self.den + self.num)
 
+    def share(self):
+        """The share of the hash range that tells whether a set may link: twice what a linked set can have alone, and a little more."""
+        return min(1.0, 2.2 * (self.den - self.num) / self.den)
+
+    def sampled(self):
+        return min((1 << 64) - 1, int(self.share() * 2.0**64))
+
+    def stretch(self):
+        """Spreads sampled hashes over the whole range, order kept."""
+        return max(1, int(1 / self.share()))
+
     def links(self, common, a, b):
         return self.den * common >= self.num * (a + b - common)
 
@@ -135,34 +148,62 @@ def part_keys(sets: list[np.ndarray], rule: Rule) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(index), np.concatenate(keys).view(np.int64)
 
 
-def _classes(batches: Iterable[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterable[pa.RecordBatch], rule: Rule, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows (block, bucket, n, note, prints); the note of bucket 0 has the block's documents."""
+    block = TaskContext.get().partitionId() << 32
+    top = np.uint64(rule.sampled())
     for part in groups(batches):
         sets = shingle_sets(part.column("text"), rule.width)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "class"])
-
-
-def _parts(batches: Iterable[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()
-    for part in groups(batches):
-        fresh, ids = [], []
-        for s in shingle_sets(part.column("text"), rule.width):
-            if len(s) and (c := class_of(s)) not in seen:
-                if len(seen) >= SEEN:
-                    seen.clear()
-                seen.add(c)
-                fresh.append(s)
-                ids.append(c)
-        index, keys = part_keys(fresh, rule)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.array(ids, np.int64)[index])], names=["key", "class"])
+        size = np.array([len(s) for s in sets], np.int64)
+        name = np.array([class_of(s) for s in sets], np.int64)
+        known, first, local = np.unique(name, return_index=True, return_inverse=True)
+        low = [sets[i][: np.searchsorted(sets[i], top)] for i in first.tolist()]
+        key = np.concatenate(low)
+        owner = np.repeat(np.arange(len(known)), [len(s) for s in low])
+        keys, entry, count = np.unique(key, return_inverse=True, return_counts=True)
+        edge, prints = split(keys * np.uint64(rule.stretch()), buckets)
+        # An entry of one class only is undecided: (entry, class) for those.
+        alone = count[entry] == 1
+        ids = part.column("doc_id")
+        note = pack([pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), pc.is_valid(ids).to_numpy(zero_copy_only=False), size, name, local.astype(np.int32), entry[alone].astype(np.int32), owner[alone].astype(np.int32)])
+        at = range(buckets)
+        # Prints within a bucket stay distinct unless two keys share their 32 bits; those are decided as shared, which is safe.
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(buckets, block)), pa.array(np.arange(buckets, dtype=np.int32)), pa.array(np.diff(edge).astype(np.int32)), pa.array([note, *[None] * (buckets - 1)], pa.binary()), pa.array([prints[edge[i] : edge[i + 1]].tobytes() for i in at], pa.binary())],
+            names=["block", "bucket", "n", "note", "prints"],
+        )
+        block += 1
+
+
+def _documents(table: pa.Table) -> pa.Table:
+    """(doc_id, n_shingles, class, alone) of a block from its answered rows."""
+    rows = table.sort_by("bucket").to_pylist()
+    ids, valid, size, name, local, entry, owner = unpack(rows[0]["note"], [np.int64, bool, np.int64, np.int64, np.int32, np.int32, np.int32])
+    lonely = np.bincount(owner[~flags_of(rows)[entry]], minlength=local.max(initial=0) + 1)
+    return pa.table({"doc_id": pa.array(ids, mask=~valid), "n_shingles": size, "class": pa.array(name, mask=size == 0), "alone": lonely[local].astype(np.int64)})
+
+
+def document_classes(docs: DataFrame, rule: Rule) -> DataFrame:
+    """(doc_id, n_shingles, class, alone) of each row: ``alone`` of the set's sampled shingles occur in no other set that is known of."""
+    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = buckets_for(size / 6 * rule.share())
+    rows = docs.mapInArrow(lambda it: _blocks(it, rule, buckets), "block long, bucket int, n int, note binary, prints binary")
+    return mark_shared(rows).groupBy("block").applyInArrow(_documents, "doc_id long, n_shingles long, class long, alone long")
 
 
 def _sets(batches: Iterable[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     for part in groups(batches):
         sets = shingle_sets(part.column("text"), rule.width)
         there = np.array([class_of(s) if len(s) else 0 for s in sets]) == part.column("class").to_numpy()
-        where = pa.array(np.flatnonzero(there))
-        kept = [c.take(where) for c in part.select(["class", "group", "block"]).columns]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array([sets[i].tobytes() for i in where.to_pylist()], pa.binary())], names=["class", "group", "block", "members"])
+        where = np.flatnonzero(there).tolist()
+        yield pa.RecordBatch.from_arrays([part.column("class").take(pa.array(where, pa.int64())), pa.array([len(sets[i]) for i in where], pa.int64()), pa.array([sets[i].tobytes() for i in where], pa.binary())], names=["class", "n", "members"])
+
+
+def _parts(batches: Iterable[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    for part in groups(batches, "members"):
+        sets = [np.frombuffer(m, np.uint64) for m in part.column("members").to_pylist()]
+        index, keys = part_keys(sets, rule)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), part.column("class").take(pa.array(index))], names=["key", "class"])
 
 
 def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
@@ -214,28 +255,36 @@ def _link(table: pa.Table, rule: Rule) -> pa.Table:
     return pa.table({"a": node[moved], "b": node[label[moved]]})
 
 
-def candidate_groups(docs: DataFrame, rule: Rule) -> DataFrame:
+def candidate_sets(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """(class, n, members) of the classes that may link with another one."""
+    may = F.col("alone") * rule.den <= F.col("n_shingles") * (rule.den - rule.num)
+    chosen = classes.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("alone").alias("alone"), F.first("n_shingles").alias("n_shingles")).where(may)
+    texts = docs.join(chosen.select("doc_id", "class"), "doc_id").select("text", "class")
+    return texts.mapInArrow(lambda it: _sets(it, rule), "class long, n long, members binary")
+
+
+def candidate_groups(sets: DataFrame, rule: Rule) -> DataFrame:
     """(node, component) of the classes that share a part with another, joined over all their parts."""
-    parts = docs.mapInArrow(lambda it: _parts(it, rule), "key long, class long")
+    parts = sets.select("class", "members").mapInArrow(lambda it: _parts(it, rule), "key long, class long")
     first = F.min("class").over(Window.partitionBy("key").orderBy("class").rowsBetween(Window.unboundedPreceding, 0))
     return components(parts.withColumn("first", first).where("class != first").select(F.col("class").alias("a"), F.col("first").alias("b")))
 
 
 def class_links(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """Links (a, b) between classes that connect exactly what all their links connect."""
-    found = candidate_groups(docs, rule).select(F.col("node").alias("class"), F.col("component").alias("group"))
-    nodes = classes.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")).join(found, "class")
+    sets = stable(candidate_sets(docs, classes, rule))
+    found = candidate_groups(sets, rule).select(F.col("node").alias("class"), F.col("component").alias("group"))
     upto = Window.partitionBy("group").orderBy("n", "class").rowsBetween(Window.unboundedPreceding, -1)
     block = F.greatest(F.floor(F.coalesce(F.sum("n").over(upto), F.lit(0)) / BLOCK_SHINGLES), F.floor(F.coalesce(F.count("n").over(upto), F.lit(0)) / BLOCK_SETS))
+    nodes = sets.select("class", "n").distinct().join(found, "class")
     nodes = stable(nodes.withColumn("block", block.cast("long")))
     blocks = nodes.groupBy("group", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     left, right = blocks.alias("l"), blocks.alias("r")
     near = (F.col("l.group") == F.col("r.group")) & (F.col("l.block") <= F.col("r.block")) & (F.col("r.low") * rule.num <= F.col("l.high") * rule.den)
     tiles = left.join(right, near).select(F.col("l.group").alias("group"), F.col("l.block").alias("i"), F.col("r.block").alias("j"))
     sides = tiles.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
-    sets = docs.join(nodes.select("doc_id", "class", "group", "block"), "doc_id").select("text", "class", "group", "block")
-    sets = sets.mapInArrow(lambda it: _sets(it, rule), "class long, group long, block long, members binary")
-    tiled = sets.join(sides, ["group", "block"])
+    placed = nodes.select("class", "group", "block").join(sides, ["group", "block"])
+    tiled = sets.select("class", "members").join(placed, "class")
     return tiled.groupBy("group", "i", "j").applyInArrow(lambda t: _link(t, rule), "a long, b long")
 
 
@@ -249,7 +298,7 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     Two sets whose 64-bit class hashes meet by chance would count as equal.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    classes = stable(docs.mapInArrow(lambda it: _classes(it, rule), "doc_id long, n_shingles long, class long"))
+    classes = stable(document_classes(docs, rule))
     docs = docs.where("doc_id is not null")
     known = classes.where("doc_id is not null and class is not null")
     of_class = components(class_links(docs, known, rule))
@@ -263,7 +312,7 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     least = least.withColumn("component", F.coalesce("component", "class"))
     smallest = least.groupBy("component").agg(F.min("least").alias("component_id"))
     answer = least.join(smallest, "component").select("class", "component_id")
-    out = classes.join(answer, "class", "left")
+    out = classes.drop("alone").join(answer, "class", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"))
 
