@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 
 #: Fingerprints that a bucket should hold.
 BUCKET = 1 << 20
+#: Blocks beside its own in which a fingerprint is hot.
+HOT = 128
 
 
 def buckets_for(fingerprints: float) -> int:
@@ -32,26 +34,30 @@ def _short(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys << np.uint64(bits)) >> np.uint64(32)).astype("<u4")
 
 
-def _mark(table: pa.Table) -> pa.Table:
+def _mark(table: pa.Table, many: int) -> pa.Table:
     each = [np.frombuffer(b, "<u4") for b in table.column("prints").to_pylist()]
     every = np.sort(np.concatenate(each))
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
-    flags = []
-    for x in each:
-        at = np.searchsorted(twice, x)
-        at[at == len(twice)] = 0
-        flags.append(np.packbits(twice[at] == x if len(twice) else np.zeros(len(x), bool)).tobytes())
-    return table.drop_columns(["prints"]).append_column("flags", pa.array(flags, pa.binary()))
+    twice, count = np.unique(every[1:][every[1:] == every[:-1]], return_counts=True)
+    flags, hot = ([np.packbits(_among(x, values)).tobytes() for x in each] for values in (twice, twice[count >= many]))
+    return table.drop_columns(["prints"]).append_column("flags", pa.array(flags, pa.binary())).append_column("hot", pa.array(hot, pa.binary()))
 
 
-def mark_shared(prints: DataFrame) -> DataFrame:
-    """(block, bucket, n, note, flags) of (block, bucket, n, note, prints): n bits, set where another block has the fingerprint.
+def _among(x: np.ndarray, values: np.ndarray) -> np.ndarray:
+    if not len(values):
+        return np.zeros(len(x), bool)
+    at = np.searchsorted(values, x)
+    at[at == len(values)] = 0
+    return values[at] == x
 
-    Fingerprints must be distinct within a row. ``note`` travels along.
+
+def mark_shared(prints: DataFrame, hot: int = HOT) -> DataFrame:
+    """(block, bucket, n, note, flags, hot) of (block, bucket, n, note, prints): n bits, set where another block has the fingerprint, or ``hot`` others.
+
+    Fingerprints should be distinct within a row. ``note`` travels along.
     """
-    return prints.groupBy("bucket").applyInArrow(_mark, "block long, bucket int, n int, note binary, flags binary")
+    return prints.groupBy("bucket").applyInArrow(lambda t: _mark(t, hot), "block long, bucket int, n int, note binary, flags binary, hot binary")
 
 
-def flags_of(rows: list[dict]) -> np.ndarray:
+def flags_of(rows: list[dict], name: str = "flags") -> np.ndarray:
     """All flags of a block, its rows in bucket order."""
-    return np.concatenate([np.unpackbits(np.frombuffer(r["flags"], np.uint8), count=r["n"]).astype(bool) for r in rows])
+    return np.concatenate([np.unpackbits(np.frombuffer(r[name], np.uint8), count=r["n"]).astype(bool) for r in rows])
