@@ -317,6 +317,15 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     return out.select("doc_id", "n_shingles", own.alias("component_id"))
 
 
+def keep_one(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, of each component's smallest id, and those without an id.
+
+    Rows that share an id stay or go together.
+    """
+    found = jaccard_components(docs, rule).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.where("doc_id is not null").join(found, F.col("doc_id") == F.col("_kept"), "left_semi").unionByName(docs.where("doc_id is null"))
+
+
 def op7_jaccard(spark, sf_dir: str) -> DataFrame:
     """The query: components of all documents at 0.9 over three-word shingles."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), Rule(3, 90, 100))

@@ -24,6 +24,8 @@ OTHER = "prose"
 BUDGET, SWEEPS, TOLERANCE, SEED = 0.7, 10, 1e-9, "7"
 #: Rounds in which cells reach probability 1; each round but the last adds one at least.
 ROUNDS = 20
+#: Up to so many cells (some 60 bytes each) are broadcast; more are shuffled.
+BROADCAST_CELLS = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -100,13 +102,27 @@ def mix(docs: DataFrame, powers: dict[str, float] = POWERS, budget: float = BUDG
     have one. An empty table gives an empty table.
     """
     weighed = stable(weigh(docs))
-    cells = rates(rake(weighed, powers), budget)
-    cells = cells.select(*(F.col(d).alias(f"_{d}") for d in powers), "probability")
-    same = [F.col(d).eqNullSafe(F.col(f"_{d}")) for d in powers]
-    out = weighed.join(cells, same, "left").drop(*(f"_{d}" for d in powers)).withColumn("probability", F.coalesce("probability", F.lit(1.0)))
+    out = _with_probability(weighed, rates(rake(weighed, powers), budget), powers)
     return out.withColumn("sampled", draw(F.col("doc_id"), seed) < F.col("probability"))
 
 
+def _with_probability(weighed: DataFrame, cells: DataFrame, powers: dict[str, float]) -> DataFrame:
+    cells = cells.select(*(F.col(d).alias(f"_{d}") for d in powers), F.col("probability").alias("_p"))
+    if cells.count() <= BROADCAST_CELLS:
+        cells = F.broadcast(cells)
+    out = weighed.join(cells, [F.col(d).eqNullSafe(F.col(f"_{d}")) for d in powers], "left").drop(*(f"_{d}" for d in powers))
+    return out.withColumn("_p", F.coalesce("_p", F.lit(1.0))).withColumnRenamed("_p", "probability")
+
+
+def sample(docs: DataFrame, powers: dict[str, float] = POWERS, budget: float = BUDGET, seed: str = SEED) -> DataFrame:
+    """The rows of ``docs`` that ``mix`` samples, all columns as they are."""
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    columns = {"source": F.col("row.source").cast("string"), "lang": F.col("row.lang").cast("string"), "topic": topic_of(F.col("row.text"))}
+    cells = rates(rake(stable(weigh(docs)), powers), budget)
+    out = _with_probability(packed.withColumns(columns), cells, powers)
+    return out.where(draw(F.col("row.doc_id"), seed) < F.col("probability")).select("row.*")
+
+
 def op10_mixture(spark, sf_dir: str) -> DataFrame:
     """The query: every document's probability and whether it is in the sample."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("probability", F.round("probability", 6))

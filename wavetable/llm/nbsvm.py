@@ -168,6 +168,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     return out.select("doc_id", fold(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def _keep(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    for part in groups(batches):
+        yield part.filter(pa.array(model.score(features(part.column("text"))) >= 0.5))
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that ``quality_scores`` predicts to be good."""
+    model = train(docs.select(F.col("doc_id").cast("long"), "text"), labels.select(F.col("doc_id").cast("long"), "quality"), sample)
+    return docs.mapInArrow(lambda it: _keep(it, model), docs.schema)
+
+
 def op4_quality(spark, sf_dir: str) -> DataFrame:
     """The query: every document's quality score."""
     return quality_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -83,7 +83,12 @@ def _blocks(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[pa.Record
         digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(body[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]), np.int64)
         ids = part.column("doc_id")
         note = pack([pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), pc.is_valid(ids).to_numpy(zero_copy_only=False), off, digest])
-        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([note], pa.binary()), pa.array([press.compress(body)], pa.binary())], names=["block", "note", "body"])
+        rest = part.select([n for n in part.schema.names if n != "text"])
+        with pa.BufferOutputStream() as sink:
+            with pa.ipc.new_stream(sink, rest.schema) as stream:
+                stream.write_batch(rest)
+            extra = sink.getvalue().to_pybytes()
+        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([note], pa.binary()), pa.array([press.compress(body)], pa.binary()), pa.array([press.compress(extra)], pa.binary())], names=["block", "note", "body", "extra"])
         block += 1
 
 
@@ -341,19 +346,23 @@ def _judge(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "blob": pa.array([x[1] for x in out], pa.binary())})
 
 
-def _cut(block_table: pa.Table, marks: pa.Table, texts: bool) -> pa.Table:
+def _gone(b: Block, marks: pa.Table) -> np.ndarray:
+    """Which bytes of a block are marked."""
+    change = np.zeros(len(b.raw) + 1, np.int64)
+    for blob in marks.column("blob").to_pylist():
+        i, s, e = (x.astype(np.int64) for x in unpack(blob, [np.int32, np.int32, np.int32]))
+        np.add.at(change, b.off[i] + s, 1)
+        np.add.at(change, b.off[i] + e, -1)
+    return np.cumsum(change)[:-1] > 0
+
+
+def _report(block_table: pa.Table, marks: pa.Table, texts: bool) -> pa.Table:
     rows = []
     ids = pa.array([], pa.int64())
     if block_table.num_rows:
         r = block_table.to_pylist()[0]
         b = Block(r["note"], r["body"])
-        ids = pa.array(b.ids, mask=~b.valid)
-        change = np.zeros(len(b.raw) + 1, np.int64)
-        for blob in marks.column("blob").to_pylist():
-            i, s, e = (x.astype(np.int64) for x in unpack(blob, [np.int32, np.int32, np.int32]))
-            np.add.at(change, b.off[i] + s, 1)
-            np.add.at(change, b.off[i] + e, -1)
-        gone = np.cumsum(change)[:-1] > 0
+        ids, gone = pa.array(b.ids, mask=~b.valid), _gone(b, marks)
         for a, z in zip(b.off[:-1].tolist(), b.off[1:].tolist(), strict=True):
             g = gone[a:z]
             edge = np.flatnonzero(np.diff(np.concatenate([[0], g.view(np.int8), [0]])))
@@ -366,6 +375,33 @@ def _cut(block_table: pa.Table, marks: pa.Table, texts: bool) -> pa.Table:
     return pa.table([ids, *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=names[: len(kinds) + 1])
 
 
+def _replace(block_table: pa.Table, marks: pa.Table, names: list[str]) -> pa.Table:
+    if not block_table.num_rows:
+        return pa.table({})
+    r = block_table.to_pylist()[0]
+    b = Block(r["note"], r["body"])
+    stay = ~_gone(b, marks)
+    rest = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(r["extra"])).read_all()
+    kept = [b.raw[a:z][stay[a:z]].tobytes().decode("utf-8", "ignore") for a, z in zip(b.off[:-1].tolist(), b.off[1:].tolist(), strict=True)]
+    return pa.table([pa.array(kept, pa.string()) if n == "text" else rest.column(n) for n in names], names=names)
+
+
+def marked(docs: DataFrame, block_bytes: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """The checkpointed blocks of ``docs`` with all its columns, and the marks of bytes to remove from them."""
+    blocks = stable(docs.mapInArrow(lambda it: _blocks(it, block_bytes), "block long, note binary, body binary, extra binary"))
+    count = blocks.count()
+    buckets = buckets_for(count * block_bytes * 3 / (LENGTH - GRAM + 2))
+    flags = mark_shared(blocks.mapInArrow(lambda it: _prints(it, buckets), "block long, bucket int, n int, note binary, prints binary"), hot)
+    texts = blocks.mapInArrow(_digests, "block long, local int, doc_id long, d0 long, d1 long")
+    least = texts.groupBy("d0", "d1").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    copies = texts.join(least, ["d0", "d1"]).where("doc_id > least").select("block", F.lit(-1).alias("bucket"), F.col("local").alias("n"), F.lit(None).cast("binary").alias("flags"), F.lit(None).cast("binary").alias("hot"))
+    info = flags.select("block", "bucket", "n", "flags", "hot").unionByName(copies)
+    sort_in = max(16, count * block_bytes // SORTED)
+    bodies = blocks.select("block", "note", "body")
+    sent = bodies.groupBy("block").cogroup(info.groupBy("block")).applyInArrow(lambda b, i: _around(b, i, sort_in), "bucket int, kind int, block long, blob binary")
+    return blocks, sent.groupBy("bucket").applyInArrow(_judge, "block long, blob binary")
+
+
 def remove_repeats(docs: DataFrame, texts: bool = True, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept) of each row of ``docs``.
 
@@ -377,20 +413,20 @@ def remove_repeats(docs: DataFrame, texts: bool = True, block_bytes: int = BLOCK
     others. Rows that share an id take nothing from each other. An empty
     table gives an empty table.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    blocks = stable(docs.mapInArrow(lambda it: _blocks(it, block_bytes), "block long, note binary, body binary"))
-    count = blocks.count()
-    buckets = buckets_for(count * block_bytes * 3 / (LENGTH - GRAM + 2))
-    flags = mark_shared(blocks.mapInArrow(lambda it: _prints(it, buckets), "block long, bucket int, n int, note binary, prints binary"), hot)
-    texts_of = blocks.mapInArrow(_digests, "block long, local int, doc_id long, d0 long, d1 long")
-    least = texts_of.groupBy("d0", "d1").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    copies = texts_of.join(least, ["d0", "d1"]).where("doc_id > least").select("block", F.lit(-1).alias("bucket"), F.col("local").alias("n"), F.lit(None).cast("binary").alias("flags"), F.lit(None).cast("binary").alias("hot"))
-    info = flags.select("block", "bucket", "n", "flags", "hot").unionByName(copies)
-    sort_in = max(16, count * block_bytes // SORTED)
-    sent = blocks.groupBy("block").cogroup(info.groupBy("block")).applyInArrow(lambda b, i: _around(b, i, sort_in), "bucket int, kind int, block long, blob binary")
-    marks = sent.groupBy("bucket").applyInArrow(_judge, "block long, blob binary")
+    blocks, marks = marked(docs.select(F.col("doc_id").cast("long"), "text"), block_bytes, hot)
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>" + ", kept binary" * texts
-    return blocks.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(lambda b, m: _cut(b, m, texts), out)
+    return blocks.drop("extra").groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(lambda b, m: _report(b, m, texts), out)
+
+
+def cut_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
+    """The rows of ``docs``, all columns as they are but ``text``, which loses what ``remove_repeats`` finds.
+
+    A character that is cut in two goes as a whole; a null text becomes empty.
+    ``doc_id`` must be a long.
+    """
+    names = docs.columns
+    blocks, marks = marked(docs, block_bytes, hot)
+    return blocks.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(lambda b, m: _replace(b, m, names), docs.schema)
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
