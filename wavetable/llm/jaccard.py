@@ -149,7 +149,7 @@ def part_keys(sets: list[np.ndarray], rule: Rule) -> tuple[np.ndarray, np.ndarra
 
 
 def _blocks(batches: Iterable[pa.RecordBatch], rule: Rule, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows (block, bucket, n, note, prints); the note of bucket 0 has the block's documents."""
+    """Rows (block, bucket, n, note, prints); one row's note has the block's documents, and which bucket's differs by block."""
     block = TaskContext.get().partitionId() << 32
     top = np.uint64(rule.sampled())
     for part in groups(batches):
@@ -165,11 +165,11 @@ def _blocks(batches: Iterable[pa.RecordBatch], rule: Rule, buckets: int) -> Iter
         # An entry of one class only is undecided: (entry, class) for those.
         alone = count[entry] == 1
         ids = part.column("doc_id")
-        note = pack([pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), pc.is_valid(ids).to_numpy(zero_copy_only=False), size, name, local.astype(np.int32), entry[alone].astype(np.int32), owner[alone].astype(np.int32)])
-        at = range(buckets)
+        note = pack([pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), pc.is_valid(ids).to_numpy(zero_copy_only=False), size, name, local.astype(np.int32), entry[alone].astype(np.int32), np.bincount(owner[alone], minlength=len(known)).astype(np.int32)])
+        at, carrier = range(buckets), block % buckets
         # Prints within a bucket stay distinct unless two keys share their 32 bits; those are decided as shared, which is safe.
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(buckets, block)), pa.array(np.arange(buckets, dtype=np.int32)), pa.array(np.diff(edge).astype(np.int32)), pa.array([note, *[None] * (buckets - 1)], pa.binary()), pa.array([prints[edge[i] : edge[i + 1]].tobytes() for i in at], pa.binary())],
+            [pa.array(np.full(buckets, block)), pa.array(np.arange(buckets, dtype=np.int32)), pa.array(np.diff(edge).astype(np.int32)), pa.array([note if i == carrier else None for i in at], pa.binary()), pa.array([prints[edge[i] : edge[i + 1]].tobytes() for i in at], pa.binary())],
             names=["block", "bucket", "n", "note", "prints"],
         )
         block += 1
@@ -178,8 +178,9 @@ def _blocks(batches: Iterable[pa.RecordBatch], rule: Rule, buckets: int) -> Iter
 def _documents(table: pa.Table) -> pa.Table:
     """(doc_id, n_shingles, class, alone) of a block from its answered rows."""
     rows = table.sort_by("bucket").to_pylist()
-    ids, valid, size, name, local, entry, owner = unpack(rows[0]["note"], [np.int64, bool, np.int64, np.int64, np.int32, np.int32, np.int32])
-    lonely = np.bincount(owner[~flags_of(rows)[entry]], minlength=local.max(initial=0) + 1)
+    note = next(r["note"] for r in rows if r["note"] is not None)
+    ids, valid, size, name, local, entry, many = unpack(note, [np.int64, bool, np.int64, np.int64, np.int32, np.int32, np.int32])
+    lonely = np.bincount(np.repeat(np.arange(len(many)), many)[~flags_of(rows)[entry]], minlength=len(many))
     return pa.table({"doc_id": pa.array(ids, mask=~valid), "n_shingles": size, "class": pa.array(name, mask=size == 0), "alone": lonely[local].astype(np.int64)})
 
 
