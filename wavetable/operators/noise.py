@@ -23,10 +23,10 @@ def dimension(k: Column, bins: int) -> Column:
 def in_blocks(cells: DataFrame, groups: list[tuple[int, int]], frame: int, frames: int) -> DataFrame:
     """Adds ``g``, ``b`` and ``d``: frequency group, stationary frame and dimension of each cell."""
     spark = cells.sparkSession
-    g = spark.createDataFrame([(i, a, z) for i, (a, z) in enumerate(groups)], "g int, k_lo int, k_hi int")
-    b = spark.createDataFrame([(i, a, z) for i, (a, z) in enumerate(divide(frames, frame))], "b int, m_lo int, m_hi int")
-    k = F.broadcast(g.select("g", F.explode(F.sequence("k_lo", "k_hi")).cast("long").alias("k")))
-    m = F.broadcast(b.select("b", F.explode(F.sequence("m_lo", "m_hi")).cast("long").alias("m")))
+    g = spark.createDataFrame([(i, a, z) for i, (a, z) in enumerate(groups)], "g int, k_lo long, k_hi long")
+    b = spark.createDataFrame([(i, a, z) for i, (a, z) in enumerate(divide(frames, frame))], "b int, m_lo long, m_hi long")
+    k = F.broadcast(g.select("g", F.explode(F.sequence("k_lo", "k_hi")).alias("k")))
+    m = F.broadcast(b.select("b", F.explode(F.sequence("m_lo", "m_hi")).alias("m")))
     bins = max(z for _, z in groups) + 1
     return cells.join(k, "k").join(m, "m").withColumn("d", dimension(F.col("k"), bins))
 

@@ -46,7 +46,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(flag, status, n, x): daily revenue by return flag and line status, from each trace's first day on."""
     day = F.datediff(F.col("l_shipdate"), F.lit("1995-01-01")).cast("long")
-    sums = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), day.alias("n")).agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("x"))
+    sums = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), day.alias("n")).agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("x"))
     spans = sums.groupBy("flag", "status").agg(F.min("n").alias("a"), F.max("n").alias("b"))
     grid = spans.select("flag", "status", F.explode(F.sequence("a", "b")).alias("n"))
     return grid.join(sums, ["flag", "status", "n"], "left").withColumn("x", F.coalesce("x", F.lit(0.0)))
