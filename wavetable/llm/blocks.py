@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Text bytes that one vectorised step holds at once; a longer document makes a group of its own.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
+#: Rows of an Arrow batch between the JVM and a Python worker; texts are long rows.
+BATCH_ROWS = "512"
+
+
+def narrow(docs: DataFrame) -> DataFrame:
+    """``docs``, after a session's default batches have been made fit for long rows; a setting of its own stays."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, BATCH_ROWS)
+    return docs
+
+
+def release() -> None:
+    """Gives freed memory of this worker back to the machine; idle workers stay alive for a while."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -37,6 +57,7 @@ def groups(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = G
             stop = max(at + 1, int(np.searchsorted(end, before + limit, "right")))
             yield batch.slice(at, stop - at)
             at = stop
+    release()
 
 
 def span_index(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -21,7 +21,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavetable.llm.blocks import groups
+from wavetable.llm.blocks import groups, narrow
 from wavetable.llm.pretokens import Pieces, settled, splitter
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -152,7 +152,7 @@ def encode_texts(docs: DataFrame, ranks: str = RANKS, chunk: int = CHUNK, overla
     each give their own row. Long texts are encoded once for each distinct
     text, found by its SHA-256; only their chunks are shuffled.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = narrow(docs).select(F.col("doc_id").cast("long"), "text")
     is_long = F.coalesce(F.length("text") > chunk, F.lit(False))
     short = docs.where(~is_long).mapInArrow(lambda it: _encode_short(it, ranks), "doc_id long, ids binary")
     long = docs.where(is_long).withColumn("key", F.sha2("text", 256))

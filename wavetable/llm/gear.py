@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavetable.llm.blocks import groups, mix64, utf8
+from wavetable.llm.blocks import groups, mix64, narrow, utf8
 
 #: Bytes of a chunk at least and at most, and low bits of the hash that end one.
 LEAST, MOST, MASK = 24, 256, 31
@@ -126,7 +126,7 @@ def dedupe_chunks(docs: DataFrame, least: int = MIN_RUN) -> DataFrame:
     aggregated before the shuffle; only chunks with several copies are joined
     back, where Spark can split a skewed digest.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text").withColumn("row", row_key(F.col("doc_id"), F.col("text")))
+    docs = narrow(docs).select(F.col("doc_id").cast("long"), "text").withColumn("row", row_key(F.col("doc_id"), F.col("text")))
     schema = "doc_id long, row long, d0 long, d1 long, start int, size int"
     every = docs.where("text is not null").mapInArrow(_chunks, schema)
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row", "start")

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavetable.llm.blocks import groups, utf8
+from wavetable.llm.blocks import groups, narrow, utf8
 from wavetable.session import stable
 
 #: A document fails with fewer words, or with a larger share (of 100) of words in repeated windows.
@@ -93,7 +93,7 @@ def _run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def document_rules(docs: DataFrame, host: str = "source") -> DataFrame:
     """The figures of each row of ``docs``, its ``host``, and ``base_failed``. A null text has no words and fails."""
-    out = docs.select(F.col("doc_id").cast("long"), "text", F.col(host).cast("string").alias("host")).mapInArrow(
+    out = narrow(docs).select(F.col("doc_id").cast("long"), "text", F.col(host).cast("string").alias("host")).mapInArrow(
         _run, "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
     )
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")))

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavetable.llm.blocks import groups, mix64, pack, unpack
+from wavetable.llm.blocks import groups, mix64, narrow, pack, release, unpack
 from wavetable.llm.components import components
 from wavetable.llm.host_rules import words
 from wavetable.llm.sharing import buckets_for, flags_of, mark_shared, split
@@ -188,7 +188,7 @@ def document_classes(docs: DataFrame, rule: Rule) -> DataFrame:
     """(doc_id, n_shingles, class, alone) of each row: ``alone`` of the set's sampled shingles occur in no other set that is known of."""
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = buckets_for(size / 6 * rule.share())
-    rows = docs.mapInArrow(lambda it: _blocks(it, rule, buckets), "block long, bucket int, n int, note binary, prints binary")
+    rows = narrow(docs).mapInArrow(lambda it: _blocks(it, rule, buckets), "block long, bucket int, n int, note binary, prints binary")
     return mark_shared(rows).groupBy("block").applyInArrow(_documents, "doc_id long, n_shingles long, class long, alone long")
 
 
@@ -253,6 +253,7 @@ def _link(table: pa.Table, rule: Rule) -> pa.Table:
     node = table.column("class").to_numpy()
     label, _ = link_tile(sets, table.column("block_min").to_numpy(), rule)
     moved = np.flatnonzero(label != np.arange(len(label)))
+    release()
     return pa.table({"a": node[moved], "b": node[label[moved]]})
 
 
@@ -323,8 +324,8 @@ def keep_one(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
     Rows that share an id stay or go together.
     """
-    found = jaccard_components(docs, rule).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.where("doc_id is not null").join(found, F.col("doc_id") == F.col("_kept"), "left_semi").unionByName(docs.where("doc_id is null"))
+    found = jaccard_components(docs, rule).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.where("doc_id is not null").join(found, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
 
 
 def op7_jaccard(spark, sf_dir: str) -> DataFrame:

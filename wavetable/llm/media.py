@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavetable.llm.blocks import groups, utf8
+from wavetable.llm.blocks import groups, narrow, utf8
 
 SIDE = 24
 FRAME = SIDE * SIDE
@@ -31,6 +31,8 @@ UNIT = 9
 PACKED = FRAME * UNIT // 8
 #: Histogram bins, frames in the moving window, and deviations above its mean that make a cut.
 BINS, WINDOW, SIGMAS, FLOOR = 16, 8, 3.0, 0.10
+#: Changes count in the window up to this, so that a cut does not hide the next one.
+CAP = 0.5
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +195,8 @@ def shots(samples: np.ndarray) -> list[tuple[int, int]]:
     bins = (samples.reshape(n, -1) >> 4).astype(np.int64) + np.arange(n)[:, None] * BINS
     h = np.bincount(bins.reshape(-1), minlength=n * BINS).reshape(n, BINS)
     change = np.abs(np.diff(h, axis=0)).sum(axis=1) / samples[0].size
-    s, q = (np.concatenate([[0.0], np.cumsum(x)]) for x in (change, change * change))
+    held = np.minimum(change, CAP)
+    s, q = (np.concatenate([[0.0], np.cumsum(x)]) for x in (held, held * held))
     i = np.arange(n - 1)
     lo = np.maximum(0, i - WINDOW)
     m = np.maximum(1, i - lo)
@@ -240,7 +243,7 @@ def media_clips(docs: DataFrame, keep_media: bool = False) -> DataFrame:
     their own row; equal texts give equal values. ``keep_media`` adds the
     stored bytes as ``media``.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = narrow(docs).select(F.col("doc_id").cast("long"), "text")
     return docs.mapInArrow(lambda it: _run(it, keep_media), SCHEMA + (", media binary" if keep_media else ""))
 
 

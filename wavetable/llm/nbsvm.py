@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavetable.llm.blocks import groups, utf8
+from wavetable.llm.blocks import groups, narrow, utf8
 from wavetable.llm.host_rules import SPACE, codes, words
 
 BITS = 17
@@ -162,7 +162,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     null ids each give their own row; null ids are not held out. Without
     labels of both classes every document gets the same score (see ``fit``).
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = narrow(docs).select(F.col("doc_id").cast("long"), "text")
     model = train(docs, labels.select(F.col("doc_id").cast("long"), "quality"), sample)
     out = docs.mapInArrow(lambda it: _score(it, model), "doc_id long, score double")
     return out.select("doc_id", fold(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -176,7 +176,7 @@ def _keep(batches: Iterable[pa.RecordBatch], model: Model) -> Iterator[pa.Record
 def keep_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that ``quality_scores`` predicts to be good."""
     model = train(docs.select(F.col("doc_id").cast("long"), "text"), labels.select(F.col("doc_id").cast("long"), "quality"), sample)
-    return docs.mapInArrow(lambda it: _keep(it, model), docs.schema)
+    return narrow(docs).mapInArrow(lambda it: _keep(it, model), docs.schema)
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:

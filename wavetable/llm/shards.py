@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavetable.llm.blocks import groups, mix64, span_index
+from wavetable.llm.blocks import groups, mix64, narrow, span_index
 from wavetable.llm.bpe import RANKS, encoder
 from wavetable.session import stable
 
@@ -63,7 +63,7 @@ def _tokenise(batches: Iterable[pa.RecordBatch], ranks: str, stride: int) -> Ite
 
 def token_rows(docs: DataFrame, ranks: str = RANKS, stride: int = STRIDE) -> DataFrame:
     """(doc_id, part, first, n, ids) of each row: its ids, and the numbers of its n sequences within its partition."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = narrow(docs).select(F.col("doc_id").cast("long"), "text")
     return docs.mapInArrow(lambda it: _tokenise(it, ranks, stride), "doc_id long, part long, first long, n long, ids binary")
 
 

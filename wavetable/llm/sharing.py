@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from wavetable.llm.blocks import release
+
 #: Fingerprints that a bucket should hold.
 BUCKET = 1 << 20
 #: Blocks beside its own in which a fingerprint is hot.
@@ -39,6 +41,7 @@ def _mark(table: pa.Table, many: int) -> pa.Table:
     every = np.sort(np.concatenate(each))
     twice, count = np.unique(every[1:][every[1:] == every[:-1]], return_counts=True)
     flags, hot = ([np.packbits(_among(x, values)).tobytes() for x in each] for values in (twice, twice[count >= many]))
+    release()
     return table.drop_columns(["prints"]).append_column("flags", pa.array(flags, pa.binary())).append_column("hot", pa.array(hot, pa.binary()))
 
 

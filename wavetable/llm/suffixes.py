@@ -28,14 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavetable.llm.blocks import groups, mix64, pack, span_index, unpack, utf8
+from wavetable.llm.blocks import groups, mix64, narrow, pack, release, span_index, unpack, utf8
 from wavetable.llm.sharing import HOT, buckets_for, flags_of, mark_shared, split
 from wavetable.session import stable
 
 #: Bytes of a string, of an anchor in it, and of the hashed strings that choose the anchor.
 LENGTH, ANCHOR, GRAM = 50, 32, 13
 PLACES = LENGTH - ANCHOR + 1
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 2 << 20
 #: Segment bytes that a bucket should sort.
 SORTED = 2 << 20
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -232,6 +232,7 @@ def _around(block_table: pa.Table, info: pa.Table, buckets: int) -> pa.Table:
     m = [np.concatenate(x).astype(np.int32) for x in zip(*marks, strict=True)]
     out.append((r["block"] % buckets, 2, press.compress(pack(m))))
     bucket, kind, blob = zip(*out, strict=True)
+    release()
     return pa.table([pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), pa.array([r["block"]] * len(out), pa.int64()), pa.array(blob, pa.binary())], names=list(names))
 
 
@@ -343,6 +344,7 @@ def _judge(table: pa.Table) -> pa.Table:
         names, edge = np.unique(b[order], return_index=True)
         for name, rows in zip(names.tolist(), np.split(order, edge[1:]), strict=True):
             out.append((name, pack([x[rows].astype(np.int32) for x in (i, s, e)])))
+    release()
     return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "blob": pa.array([x[1] for x in out], pa.binary())})
 
 
@@ -388,7 +390,7 @@ def _replace(block_table: pa.Table, marks: pa.Table, names: list[str]) -> pa.Tab
 
 def marked(docs: DataFrame, block_bytes: int, hot: int) -> tuple[DataFrame, DataFrame]:
     """The checkpointed blocks of ``docs`` with all its columns, and the marks of bytes to remove from them."""
-    blocks = stable(docs.mapInArrow(lambda it: _blocks(it, block_bytes), "block long, note binary, body binary, extra binary"))
+    blocks = stable(narrow(docs).mapInArrow(lambda it: _blocks(it, block_bytes), "block long, note binary, body binary, extra binary"))
     count = blocks.count()
     buckets = buckets_for(count * block_bytes * 3 / (LENGTH - GRAM + 2))
     flags = mark_shared(blocks.mapInArrow(lambda it: _prints(it, buckets), "block long, bucket int, n int, note binary, prints binary"), hot)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from wavetable.llm.blocks import groups
+from wavetable.llm.blocks import groups, narrow
 from wavetable.llm.pretokens import settled, splitter
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -92,7 +92,7 @@ def token_counts(docs: DataFrame, path: str = TOKENIZER, limit: int = LIMIT) ->
     row. ``n_distinct`` is null for texts with unassigned code points, which
     the library counts whole.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = narrow(docs).select(F.col("doc_id").cast("long"), "text")
     out = docs.mapInArrow(lambda it: _run(it, path), "doc_id long, n_bytes long, n_tokens long, n_distinct long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
