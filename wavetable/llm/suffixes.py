@@ -36,6 +36,8 @@ from wavetable.session import stable
 LENGTH, ANCHOR, GRAM = 50, 32, 13
 PLACES = LENGTH - ANCHOR + 1
 BLOCK_BYTES = 2 << 20
+#: Bytes whose anchors are looked for at once.
+PIECE_BYTES = 1 << 18
 #: Segment bytes that a bucket should sort.
 SORTED = 2 << 20
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -106,19 +108,30 @@ class Block:
         size = np.diff(self.off)[chosen]
         return self.raw[span_index(self.off[chosen], size)], np.concatenate([[0], np.cumsum(size)])
 
+    def pieces(self, chosen: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """The chosen documents by runs of at most PIECE_BYTES, or one: (number of the first, bytes before it, bytes, offsets)."""
+        end = np.cumsum(np.diff(self.off)[chosen])
+        at = 0
+        while at < len(chosen):
+            before = int(end[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(end, before + PIECE_BYTES, "right")))
+            yield at, before, *self.only(chosen[at:stop])
+            at = stop
+
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """The ascending anchor keys of the block's distinct texts, and which of them two of these texts have."""
-        known = self.valid & (np.diff(self.off) >= LENGTH)
-        where = np.flatnonzero(known)
+        where = np.flatnonzero(self.valid & (np.diff(self.off) >= LENGTH))
         _, first = np.unique(self.digest[where], axis=0, return_index=True) if len(where) else (None, where)
-        raw, off = self.only(where[np.sort(first)])
-        key = anchors(raw, off)[2]
-        at = np.flatnonzero(key)
-        if not len(at):
+        found = []
+        for number, _, raw, off in self.pieces(where[np.sort(first)]):
+            key = anchors(raw, off)[2]
+            at = np.flatnonzero(key)
+            found.append((key[at], number + np.searchsorted(off, at, "right")))
+        if not found:
             return np.zeros(0, np.uint64), np.zeros(0, bool)
-        doc = np.searchsorted(off, at, "right")
-        order = np.argsort(key[at], kind="stable")
-        keys, begin = np.unique(key[at][order], return_index=True)
+        key, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(key, kind="stable")
+        keys, begin = np.unique(key[order], return_index=True)
         doc = doc[order]
         return keys, np.minimum.reduceat(doc, begin) != np.maximum.reduceat(doc, begin)
 
@@ -188,9 +201,13 @@ def _around(block_table: pa.Table, info: pa.Table, buckets: int) -> pa.Table:
     chosen[copies] = False
     where = np.flatnonzero(chosen)
     raw, off = b.only(where)
-    start, place, key = anchors(raw, off)
-    number = np.searchsorted(keys, key[place])
-    start, place, number = (x[shared[number]] for x in (start, place, number))
+    found = [(np.zeros(0, np.int64),) * 3]
+    for _, before, part, part_off in b.pieces(where):
+        s, p, key = anchors(part, part_off)
+        k = np.searchsorted(keys, key[p])
+        use = shared[k]
+        found.append((s[use] + before, p[use] + before, k[use]))
+    start, place, number = (np.concatenate(x) for x in zip(*found, strict=True))
     doc = np.searchsorted(off, start, "right") - 1
     press = zstandard.ZstdCompressor(level=1)
     out, marks = [], []
@@ -216,7 +233,7 @@ def _around(block_table: pa.Table, info: pa.Table, buckets: int) -> pa.Table:
         later = b.ids[where[d]] > least
         marks.append((where[d[later]], (a - off[d])[later], (z - off[d])[later]))
         keep = np.flatnonzero(~later)
-        send(0, of_key(key[place[cold][first[keep]]]), [b.ids[where[d[keep]]], where[d[keep]].astype(np.int32), (a - off[d])[keep].astype(np.int32), (z - a)[keep].astype(np.int32)], [bodies[k] for k in keep.tolist()])
+        send(0, of_key(keys[number[cold][first[keep]]]), [b.ids[where[d[keep]]], where[d[keep]].astype(np.int32), (a - off[d])[keep].astype(np.int32), (z - a)[keep].astype(np.int32)], [bodies[k] for k in keep.tolist()])
     a, d = start[~cold], doc[~cold]
     if len(a):
         digest = _window_digests(raw, a)
