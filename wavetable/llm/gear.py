@@ -22,7 +22,7 @@ from wavetable.llm.blocks import groups, mix64, narrow, utf8
 
 #: Bytes of a chunk at least and at most, and low bits of the hash that end one.
 LEAST, MOST, MASK = 24, 256, 31
-MIN_RUN = 96
+MIN_RUN = 48
 GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -60,24 +60,26 @@ def chunks(raw: np.ndarray) -> list[int]:
 
 
 def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (order, row, d0, d1, start, size, again); ``again`` marks a chunk that its text has had before."""
     digest = xxhash.xxh3_128_digest
     for part in groups(batches):
         raw, off = utf8(part.column("text"))
-        rows, starts, sizes, digests = [], [], [], []
+        rows, starts, sizes, digests, again = [], [], [], [], []
         for k, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
-            text, last = raw[a:b].tobytes(), 0
+            text, last, seen = raw[a:b].tobytes(), 0, set()
             ends = chunks(raw[a:b])
             for e in ends:
-                digests.append(digest(text[last:e]))
+                d = digest(text[last:e])
+                digests.append(d)
+                again.append(d in seen)
+                seen.add(d)
                 starts.append(last)
                 sizes.append(e - last)
                 last = e
             rows += [k] * len(ends)
-        both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id").take(pa.array(rows, pa.int64())), part.column("row").take(pa.array(rows, pa.int64())), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32())],
-            names=["doc_id", "row", "d0", "d1", "start", "size"],
-        )
+        both, at = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2), pa.array(rows, pa.int64())
+        cols = [part.column("order").take(at), part.column("row").take(at), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(again, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(cols, names=["order", "row", "d0", "d1", "start", "size", "again"])
 
 
 def runs(starts: np.ndarray, sizes: np.ndarray, least: int = MIN_RUN) -> tuple[np.ndarray, np.ndarray]:
@@ -120,19 +122,20 @@ def dedupe_chunks(docs: DataFrame, least: int = MIN_RUN) -> DataFrame:
 
     Only ``doc_id`` and ``text`` are read. ``spans`` are the removed byte
     ranges of the text's UTF-8 and ``kept`` the other bytes. Null and empty
-    texts have none. The first copy of a chunk is the one in the smallest id,
-    then by text and position; rows without an id come last. Rows equal in id
-    and text are one document and are cut alike. The digest's minimum is
-    aggregated before the shuffle; only chunks with several copies are joined
-    back, where Spark can split a skewed digest.
+    texts have none. The first copy of a chunk is the first one in the text
+    with the smallest id. Rows that share an id take nothing from each other,
+    and rows without an id count as one document after all others. A digest's
+    smallest and largest id are aggregated before the shuffle; only digests of
+    several documents are joined back, where Spark can split a skewed one.
     """
+    last = F.lit((1 << 63) - 1).cast("long")
     docs = narrow(docs).select(F.col("doc_id").cast("long"), "text").withColumn("row", row_key(F.col("doc_id"), F.col("text")))
-    schema = "doc_id long, row long, d0 long, d1 long, start int, size int"
-    every = docs.where("text is not null").mapInArrow(_chunks, schema)
-    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row", "start")
-    first = every.groupBy("d0", "d1").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("d0", "d1", "first")
-    later = every.join(first, ["d0", "d1"]).where(place != F.col("first"))
-    spans = later.groupBy("row").agg(F.collect_set(F.struct("start", "size")).alias("spans"))
+    every = docs.where("text is not null").select(F.coalesce("doc_id", last).alias("order"), "row", "text").mapInArrow(_chunks, "order long, row long, d0 long, d1 long, start int, size int, again boolean")
+    own = every.where("not again").drop("again")
+    first = own.groupBy("d0", "d1").agg(F.min("order").alias("first"), F.max("order").alias("last")).where("first < last").drop("last")
+    # A copy within a text of a chunk that an earlier document has too is marked already, as all later copies are.
+    found = own.join(first, ["d0", "d1"]).where("order > first").select("row", "start", "size").unionByName(every.where("again").select("row", "start", "size"))
+    spans = found.groupBy("row").agg(F.collect_set(F.struct("start", "size")).alias("spans"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary"
     return docs.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(lambda it: _cut(it, least), out)
 
