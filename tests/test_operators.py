@@ -298,6 +298,20 @@ def test_streaming(spark, sf, tmp_path):
     assert got == want
 
 
+def test_synthetic_and_export(spark, tmp_path):
+    from wavetable.sources import synthetic
+
+    df = synthetic.bursts(spark, 1, 2, 3000)
+    assert df.count() == 6000
+    loud = df.where("n between 1420 and 1500").agg(F.max("x")).first()[0]
+    assert loud > 0.7
+    spans = spark.createDataFrame([(0, 1, 0, 7.0, 7.5)], "component int, station int, interval_id long, t_start double, t_end double")
+    cut = intervals.cut_out(df, spans, ["component", "station"], 0.005)
+    assert cut.count() == 101
+    files.export_events(cut, ["component", "station"], str(tmp_path / "e"))
+    assert spark.read.parquet(str(tmp_path / "e")).where("interval_id = 0").count() == 101
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 8), st.integers(0, 8)), min_size=1, max_size=25, unique=True))
 def test_neighbours(cells):

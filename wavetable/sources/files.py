@@ -60,3 +60,8 @@ def load(spark: SparkSession, path: str, names: list[str]) -> tuple[dict[str, Da
     """The relations and parameters that ``save`` wrote."""
     params = json.loads("".join(r[0] for r in spark.read.text(f"{path}/_params").collect()))
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}, params
+
+
+def export_events(cutouts: DataFrame, keys: list[str], path: str) -> None:
+    """One folder for each event cut-out, named by its trace and interval."""
+    cutouts.write.mode("overwrite").partitionBy(*keys, "interval_id").parquet(path)
