@@ -131,10 +131,8 @@ def dedupe_chunks(docs: DataFrame, least: int = MIN_RUN) -> DataFrame:
     last = F.lit((1 << 63) - 1).cast("long")
     docs = narrow(docs).select(F.col("doc_id").cast("long"), "text").withColumn("row", row_key(F.col("doc_id"), F.col("text")))
     every = docs.where("text is not null").select(F.coalesce("doc_id", last).alias("order"), "row", "text").mapInArrow(_chunks, "order long, row long, d0 long, d1 long, start int, size int, again boolean")
-    own = every.where("not again").drop("again")
-    first = own.groupBy("d0", "d1").agg(F.min("order").alias("first"), F.max("order").alias("last")).where("first < last").drop("last")
-    # A copy within a text of a chunk that an earlier document has too is marked already, as all later copies are.
-    found = own.join(first, ["d0", "d1"]).where("order > first").select("row", "start", "size").unionByName(every.where("again").select("row", "start", "size"))
+    first = every.where("not again").groupBy("d0", "d1").agg(F.min("order").alias("first"), F.max("order").alias("last")).where("first < last").drop("last")
+    found = every.join(first, ["d0", "d1"], "left").where(F.col("again") | (F.col("order") > F.col("first"))).select("row", "start", "size")
     spans = found.groupBy("row").agg(F.collect_set(F.struct("start", "size")).alias("spans"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary"
     return docs.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(lambda it: _cut(it, least), out)
