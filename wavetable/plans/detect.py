@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wavetable.functions.constants import bin_groups
 from wavetable.operators import features, intervals, label, match, noise, transform
 from wavetable.params import Spectral
+from wavetable.session import stable
 
 
 def cells_of(traces: DataFrame, keys: list[str], p: Spectral, length: int) -> DataFrame:
@@ -22,7 +23,10 @@ def cells_of(traces: DataFrame, keys: list[str], p: Spectral, length: int) -> Da
 
 
 def detect(traces: DataFrame, keys: list[str], p: Spectral, length: int, component: str | None = None, along: str | None = None, keep: Callable[[DataFrame], Column] | None = None) -> dict[str, DataFrame]:
-    """Lazy relations by name: cells, labels, catalog, likelihood, intervals, picks.
+    """Relations by name: cells, labels, catalog, likelihood, intervals, picks.
+
+    The kept cells, a small part of all, are checkpointed, since labels and
+    features both read them; the rest is lazy.
 
     ``component`` names a key over which masks unite before clustering;
     ``along`` an integer key along which clusters extend; ``keep`` a
@@ -31,18 +35,19 @@ def detect(traces: DataFrame, keys: list[str], p: Spectral, length: int, compone
     cells = cells_of(traces, keys, p, length)
     outer = [k for k in keys if k not in (component, along)]
     shared = [k for k in keys if k != component]
-    mask = noise.over_components(cells.where("keep"), [*shared, "k", "m"], "keep") if component else cells.where("keep").select(*shared, "k", "m")
+    kept = stable(cells.where("keep"))
+    mask = noise.over_components(kept, [*shared, "k", "m"], "keep") if component else kept.select(*shared, "k", "m")
     labels = label.label(mask, outer, p.gaps, p.sizes, along, 1, p.min_traces)
     step = p.hop * p.dt
-    labelled = cells.join(labels, [*shared, "k", "m"])
+    labelled = kept.join(labels, [*shared, "k", "m"])
     merged = labelled
     if component:
-        merged = labelled.groupBy(*shared, "cluster_id", "k", "m").agg(F.sqrt(F.sum(F.when(F.col("keep"), F.col("amp")) ** 2)).alias("amp"), F.sqrt(F.sum(F.when(F.col("keep"), F.col("snr")) ** 2)).alias("snr"))
+        merged = labelled.groupBy(*shared, "cluster_id", "k", "m").agg(F.sqrt(F.sum(F.col("amp") ** 2)).alias("amp"), F.sqrt(F.sum(F.col("snr") ** 2)).alias("snr"))
     catalog = features.catalog(merged, shared, features.extent(step, p.df))
     if keep is not None:
         catalog = catalog.where(keep(catalog))
         labelled = label.drop_rejected(labelled, catalog, shared)
-    curve = features.likelihood(labelled.where("keep"), keys)
+    curve = features.likelihood(labelled, keys)
     spans = catalog.select(*shared, "cluster_id", F.col("time_start").alias("t_start"), F.col("time_end").alias("t_end"), "time_peak", "energy_peak", "frequency_peak")
     found = intervals.union_on_grid(spans, shared, step, p.gaps[1] * step)
     placed = intervals.assign(spans.withColumnsRenamed({"t_start": "a", "t_end": "z"}), found, shared, (F.col("a") + F.col("z")) / 2)

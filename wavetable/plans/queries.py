@@ -17,6 +17,7 @@ from wavetable.params import Spectral
 from wavetable.plans import denoise as denoisers
 from wavetable.plans import detect as detectors
 from wavetable.plans.oracle import CATALOG_COLUMNS, ORACLE
+from wavetable.session import stable
 from wavetable.sources import traces as src
 
 P = Spectral(dt=1.0, window_s=24.0, nfft=32, rho=4.0, size_s=12.0, size_hz=2 / 32)
@@ -60,12 +61,12 @@ def _labels(cells):
 
 
 def _inside(spark, d):
-    cells = _cells(spark, d)
-    return cells.join(_labels(cells), ["tr", "k", "m"])
+    kept = stable(_cells(spark, d).where("keep"))
+    return kept.join(_labels(kept), ["tr", "k", "m"])
 
 
 def _catalog(spark, d):
-    return features.catalog(_inside(spark, d), TR, features.extent(STEP, DF))
+    return stable(features.catalog(_inside(spark, d), TR, features.extent(STEP, DF)))
 
 
 def _spans(catalog):
