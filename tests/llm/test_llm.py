@@ -144,6 +144,28 @@ def test_raking_meets_targets(docs):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def tied_rows():
+    """Cells of sources that are nearly tied to one language each, of quite different sizes."""
+    sizes, rng = [40_000, 9_000, 6_000, 4_000, 3_000, 2_000, 1_000, 500], random.Random(5)
+    return [(0, f"s{s}", f"l{k}", t, int(n * (0.99 if k == s % 2 else 0.01) * (0.5 + rng.random()))) for s, n in enumerate(sizes) for k in range(2) for t in ("a", "b", "c")]
+
+
+def test_raking_of_tied_sources_meets_targets(spark, caplog):
+    cells = mixture.rake(spark.createDataFrame(tied_rows(), "doc_id long, source string, lang string, topic string, n_tokens long"))
+    got = mixture.marginals(cells).toPandas()
+    assert len(got) == 8 + 2 + 3 and np.allclose(got.reached, got.target, rtol=1e-7, atol=0)
+    for d, p in mixture.POWERS.items():
+        share = cells.toPandas().groupby(d).n_tokens.sum() ** p
+        assert np.allclose(got[got.dimension == d].set_index("level").target.sort_index(), share / share.sum())
+    assert not caplog.records
+
+
+def test_raking_reports_contradicting_targets(spark, caplog):
+    rows = [(0, "s0", "l0", "a", 900), (0, "s1", "l1", "a", 50), (0, "s1", "l0", "b", 50)]
+    got = mixture.marginals(mixture.rake(spark.createDataFrame(rows, "doc_id long, source string, lang string, topic string, n_tokens long"))).toPandas()
+    assert (got.reached / got.target - 1).abs().max() > 1e-3 and "off its target" in caplog.text
+
+
 # 3 chunks
 
 

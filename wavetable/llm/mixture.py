@@ -9,6 +9,8 @@ is kept depends on its id alone, so the sample is the same in every run.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,12 +22,15 @@ POWERS = {"source": 0.7, "lang": 0.9, "topic": 0.9}
 #: The first pattern that a text contains names its topic.
 TOPICS = (("table", "|"), ("licence", "icense"), ("contact", "@"), ("shouting", "!!"), ("symbols", "%%%"))
 OTHER = "prose"
-#: Share of all tokens to keep, sweeps of the raking at most, largest relative error of a marginal that ends it, and the sample's seed.
+#: Share of all tokens to keep, sweeps that the SQL spells out, largest relative error of a marginal that ends the raking, and the sample's seed.
 BUDGET, SWEEPS, TOLERANCE, SEED = 0.7, 10, 1e-9, "7"
+#: The raking also ends where the errors of PATIENCE sweeps have not fallen under FALL of those before: the targets contradict each other.
+PATIENCE, FALL = 20, 0.999
 #: Rounds in which cells reach probability 1; each round but the last adds one at least.
 ROUNDS = 20
 #: Up to so many cells (some 60 bytes each) are broadcast; more are shuffled.
 BROADCAST_CELLS = 100_000
+LOG = logging.getLogger(__name__)
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -49,11 +54,14 @@ def weigh(docs: DataFrame) -> DataFrame:
     )
 
 
-def rake(weighed: DataFrame, powers: dict[str, float] = POWERS, sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
-    """The cells (dimensions, n_tokens, weight) with tokens; weights sum to the target shares in every dimension.
+def rake(weighed: DataFrame, powers: dict[str, float] = POWERS, sweeps: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """The cells (dimensions, n_tokens, weight, each dimension's target to_*) with tokens; weights sum to the target shares in every dimension.
 
-    Cells are few next to documents but not bounded, so they stay distributed;
-    a sweep's only row for the driver is its largest error.
+    Sweeps go on until the largest relative error is under ``tolerance``, or
+    until errors stop falling, as no weights meet targets that contradict each
+    other; what is left is logged then and ``marginals`` gives it. ``sweeps``
+    ends them earlier. Cells are few next to documents but not bounded, so
+    they stay distributed; a sweep's only row for the driver is its errors.
     """
     dims = list(powers)
     cells = weighed.groupBy(*dims).agg(F.sum("n_tokens").alias("n_tokens")).where("n_tokens > 0")
@@ -61,16 +69,36 @@ def rake(weighed: DataFrame, powers: dict[str, float] = POWERS, sweeps: int = SW
     for d, p in powers.items():
         cells = cells.withColumn(f"to_{d}", F.pow(F.sum("n_tokens").over(Window.partitionBy(d)), F.lit(p)) / F.lit(total[d]))
     cells = stable(cells.withColumn("weight", F.col("n_tokens").cast("double")).withColumn("error", F.lit(1.0)))
-    for _ in range(sweeps):
+    errors = []
+    while sweeps is None or len(errors) < sweeps:
         error = F.lit(0.0)
         for d in dims:
             cells = cells.withColumn("scale", F.col(f"to_{d}") / F.sum("weight").over(Window.partitionBy(d)))
             cells = cells.withColumn("weight", F.col("weight") * F.col("scale")).withColumn(f"error_{d}", F.abs(F.col("scale") - 1))
             error = F.greatest(error, F.col(f"error_{d}"))
         cells = stable(cells.withColumn("error", error).drop("scale", *(f"error_{d}" for d in dims)))
-        if (cells.agg(F.max("error")).first()[0] or 0.0) < tolerance:
+        worst, mean = cells.agg(F.max("error"), F.sum(F.col("error") * F.col("weight"))).first()
+        errors.append((worst or 0.0, mean or 0.0))
+        if errors[-1][0] < tolerance:
+            break
+        if sweeps is None and not _falling(errors):
+            LOG.warning("raking ended after %d sweeps with a marginal %.3g off its target", len(errors), errors[-1][0])
             break
-    return cells.select(*dims, "n_tokens", "weight")
+    return cells.select(*dims, "n_tokens", "weight", *(f"to_{d}" for d in dims))
+
+
+def _falling(errors: list[tuple[float, float]]) -> bool:
+    """Whether the largest or the mean error of the last PATIENCE sweeps is under FALL of the least before them."""
+    old, new = errors[:-PATIENCE], errors[-PATIENCE:]
+    return not old or any(min(n) < FALL * min(o) for o, n in zip(zip(*old, strict=True), zip(*new, strict=True), strict=True))
+
+
+def marginals(cells: DataFrame, dims: tuple[str, ...] = DIMS) -> DataFrame:
+    """(dimension, level, target, reached) of each level of the dimensions of raked cells."""
+    out = [cells.groupBy(d).agg(F.first(f"to_{d}").alias("target"), F.sum("weight").alias("reached")).select(F.lit(d).alias("dimension"), F.col(d).alias("level"), "target", "reached") for d in dims]
+    for more in out[1:]:
+        out[0] = out[0].unionByName(more)
+    return out[0]
 
 
 def rates(cells: DataFrame, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
@@ -92,7 +120,7 @@ def draw(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
 
 
-def mix(docs: DataFrame, powers: dict[str, float] = POWERS, budget: float = BUDGET, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, powers: dict[str, float] = POWERS, budget: float = BUDGET, seed: str = SEED, sweeps: int | None = None) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, probability, sampled) of each row of ``docs``.
 
     Only ``doc_id``, ``text``, ``source`` and ``lang`` are read. Texts without
@@ -102,7 +130,7 @@ def mix(docs: DataFrame, powers: dict[str, float] = POWERS, budget: float = BUDG
     have one. An empty table gives an empty table.
     """
     weighed = stable(weigh(docs))
-    out = _with_probability(weighed, rates(rake(weighed, powers), budget), powers)
+    out = _with_probability(weighed, rates(rake(weighed, powers, sweeps), budget), powers)
     return out.withColumn("sampled", draw(F.col("doc_id"), seed) < F.col("probability"))
 
 
@@ -124,8 +152,8 @@ def sample(docs: DataFrame, powers: dict[str, float] = POWERS, budget: float = B
 
 
 def op10_mixture(spark, sf_dir: str) -> DataFrame:
-    """The query: every document's probability and whether it is in the sample."""
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumn("probability", F.round("probability", 6))
+    """The query: every document's probability and whether it is in the sample, by the SWEEPS sweeps of its SQL."""
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), sweeps=SWEEPS).withColumn("probability", F.round("probability", 6))
 
 
 def _sql() -> str:
