@@ -166,6 +166,18 @@ def test_raking_reports_contradicting_targets(spark, caplog):
     assert (got.reached / got.target - 1).abs().max() > 1e-3 and "off its target" in caplog.text
 
 
+def test_sample_meets_targets(docs):
+    out = mixture.mix(docs).toPandas()
+    out["kept"] = out.probability * out.n_tokens
+    assert out.probability.max() <= 1 and (out.probability == 1).sum() > 20
+    for d, p in mixture.POWERS.items():
+        n, got = out.groupby(d).n_tokens.sum(), out.groupby(d).kept.sum()
+        free = (n**p).where(got < n * (1 - 1e-7), 0.0)
+        rest = mixture.BUDGET * n.sum() - n[free == 0].sum()
+        assert np.allclose(got[free > 0], (rest * free / free.sum())[free > 0], rtol=1e-6)
+        assert (n[free == 0] ** p * rest / free.sum() >= n[free == 0] * (1 - 1e-6)).all()
+
+
 # 3 chunks
 
 

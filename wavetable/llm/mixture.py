@@ -1,10 +1,11 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame functions alone.
 
 Token counts are summed into cells of source, language and topic. Raking
-scales the cells to each dimension's target shares in turn until all
-marginals hold. A cell's weight over its tokens, scaled to a token budget and
-cut at 1, is the probability with which its documents are kept; whether one
-is kept depends on its id alone, so the sample is the same in every run.
+scales the cells to each dimension's target shares of a token budget in turn,
+no cell over its tokens, until all marginals hold. A cell's weight over its
+tokens is the probability with which its documents are kept; whether one is
+kept depends on its id alone, so the sample is the same in every run. The
+query alone rakes without the bound and cuts at 1 afterwards, as its SQL does.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ OTHER = "prose"
 BUDGET, SWEEPS, TOLERANCE, SEED = 0.7, 10, 1e-9, "7"
 #: The raking also ends where the errors of PATIENCE sweeps have not fallen under FALL of those before: the targets contradict each other.
 PATIENCE, FALL = 20, 0.999
+#: Weights under the bound, before they are cut, are so many times their tokens at most, and a part of that at least.
+FAR = 1e30
 #: Rounds in which cells reach probability 1; each round but the last adds one at least.
 ROUNDS = 20
 #: Up to so many cells (some 60 bytes each) are broadcast; more are shuffled.
@@ -87,6 +90,69 @@ def rake(weighed: DataFrame, powers: dict[str, float] = POWERS, sweeps: int | No
     return cells.select(*dims, "n_tokens", "weight", *(f"to_{d}" for d in dims))
 
 
+def _level_scale(cells: DataFrame, dim: str, power: float, tokens: float) -> float:
+    """What token counts to ``power`` are scaled by for targets that sum to ``tokens``, if no level has a target over its own count."""
+    levels = stable(cells.groupBy(dim).agg(F.sum("n_tokens").cast("double").alias("n")).withColumn("share", F.pow("n", F.lit(power))))
+    scale = 0.0
+    while True:
+        cut = F.lit(scale) * F.col("share") >= F.col("n")
+        full, free = levels.agg(F.sum(F.when(cut, F.col("n")).otherwise(0.0)), F.sum(F.when(cut, 0.0).otherwise(F.col("share")))).first()
+        after = (tokens - full) / free if free else scale
+        if after <= scale * (1 + 1e-12):
+            return scale
+        scale = after
+
+
+def _bound_scale(dim: str, dims: list[str]) -> Column:
+    """What a level's weights are scaled by for those cut at the cells' tokens to sum to its target.
+
+    With the cells of the largest weight over tokens full, the others have to
+    give the rest; of all such scales the largest holds, as the sum of what is
+    cut is the least over them.
+    """
+    level, ratio, others = Window.partitionBy(dim), F.col("weight") / F.col("n_tokens"), [d for d in dims if d != dim]
+    down = level.orderBy(ratio.desc(), *(F.asc(d) for d in others)).rowsBetween(Window.unboundedPreceding, -1)
+    up = level.orderBy(ratio.asc(), *(F.desc(d) for d in others)).rowsBetween(Window.unboundedPreceding, 0)
+    return (F.col(f"to_{dim}") - F.coalesce(F.sum("n_tokens").over(down), F.lit(0))) / F.sum("weight").over(up)
+
+
+def rake_under(weighed: DataFrame, powers: dict[str, float] = POWERS, budget: float = BUDGET, tolerance: float = TOLERANCE) -> DataFrame:
+    """The cells (dimensions, n_tokens, weight, each dimension's target to_*, probability) with tokens; no weight is over n_tokens.
+
+    Weights sum to ``budget`` of all tokens and to the targets in every
+    dimension. A level whose share of the budget is more than its tokens has
+    these as its target, and the others of the dimension share the rest in
+    proportion. Sweeps end as in ``rake``; targets may contradict each other
+    through the bound too.
+    """
+    dims = list(powers)
+    cells = stable(weighed.groupBy(*dims).agg(F.sum("n_tokens").alias("n_tokens")).where("n_tokens > 0"))
+    tokens = budget * (cells.agg(F.sum("n_tokens")).first()[0] or 0)
+    for d, p in powers.items():
+        level = F.sum("n_tokens").over(Window.partitionBy(d)).cast("double")
+        cells = cells.withColumn(f"to_{d}", F.least(level, F.lit(_level_scale(cells.select(d, "n_tokens"), d, p, tokens)) * F.pow(level, F.lit(p))))
+    held = F.least("weight", "n_tokens")
+    cells = stable(cells.withColumn("weight", F.lit(float(budget)) * F.col("n_tokens")).withColumn("error", F.lit(1.0)))
+    errors = []
+    while True:
+        error = F.lit(0.0)
+        for d in dims:
+            level = Window.partitionBy(d)
+            cells = cells.withColumn(f"error_{d}", F.abs(F.sum(held).over(level) / F.col(f"to_{d}") - 1)).withColumn("scale", _bound_scale(d, dims))
+            scaled = F.col("weight") * F.max("scale").over(level)
+            cells = cells.withColumn("weight", F.greatest(F.least(scaled, F.lit(FAR) * F.col("n_tokens")), F.col("n_tokens") / F.lit(FAR)))
+            error = F.greatest(error, F.col(f"error_{d}"))
+        cells = stable(cells.withColumn("error", error).drop("scale", *(f"error_{d}" for d in dims)))
+        worst, mean = cells.agg(F.max("error"), F.sum(F.col("error") * held)).first()
+        errors.append((worst or 0.0, mean or 0.0))
+        if errors[-1][0] < tolerance:
+            break
+        if not _falling(errors):
+            LOG.warning("raking under the bound ended after %d sweeps with a marginal %.3g off its target", len(errors), errors[-1][0])
+            break
+    return cells.withColumn("weight", held).withColumn("probability", F.col("weight") / F.col("n_tokens")).drop("error")
+
+
 def _falling(errors: list[tuple[float, float]]) -> bool:
     """Whether the largest or the mean error of the last PATIENCE sweeps is under FALL of the least before them."""
     old, new = errors[:-PATIENCE], errors[-PATIENCE:]
@@ -120,7 +186,7 @@ def draw(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
 
 
-def mix(docs: DataFrame, powers: dict[str, float] = POWERS, budget: float = BUDGET, seed: str = SEED, sweeps: int | None = None) -> DataFrame:
+def mix(docs: DataFrame, powers: dict[str, float] = POWERS, budget: float = BUDGET, seed: str = SEED) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens, probability, sampled) of each row of ``docs``.
 
     Only ``doc_id``, ``text``, ``source`` and ``lang`` are read. Texts without
@@ -130,7 +196,11 @@ def mix(docs: DataFrame, powers: dict[str, float] = POWERS, budget: float = BUDG
     have one. An empty table gives an empty table.
     """
     weighed = stable(weigh(docs))
-    out = _with_probability(weighed, rates(rake(weighed, powers, sweeps), budget), powers)
+    return _drawn(weighed, rake_under(weighed, powers, budget), powers, seed)
+
+
+def _drawn(weighed: DataFrame, cells: DataFrame, powers: dict[str, float] = POWERS, seed: str = SEED) -> DataFrame:
+    out = _with_probability(weighed, cells, powers)
     return out.withColumn("sampled", draw(F.col("doc_id"), seed) < F.col("probability"))
 
 
@@ -146,14 +216,15 @@ def sample(docs: DataFrame, powers: dict[str, float] = POWERS, budget: float = B
     """The rows of ``docs`` that ``mix`` samples, all columns as they are."""
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     columns = {"source": F.col("row.source").cast("string"), "lang": F.col("row.lang").cast("string"), "topic": topic_of(F.col("row.text"))}
-    cells = rates(rake(stable(weigh(docs)), powers), budget)
+    cells = rake_under(stable(weigh(docs)), powers, budget)
     out = _with_probability(packed.withColumns(columns), cells, powers)
     return out.where(draw(F.col("row.doc_id"), seed) < F.col("probability")).select("row.*")
 
 
 def op10_mixture(spark, sf_dir: str) -> DataFrame:
-    """The query: every document's probability and whether it is in the sample, by the SWEEPS sweeps of its SQL."""
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), sweeps=SWEEPS).withColumn("probability", F.round("probability", 6))
+    """The query: every document's probability and whether it is in the sample, by the arithmetic of its SQL: SWEEPS sweeps without a bound, and a cut."""
+    weighed = stable(weigh(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return _drawn(weighed, rates(rake(weighed, sweeps=SWEEPS))).withColumn("probability", F.round("probability", 6))
 
 
 def _sql() -> str:
