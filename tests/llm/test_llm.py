@@ -449,6 +449,19 @@ def test_suffix_order(body):
     assert suffixes.previous_factors(doc, lcp).tolist() == [least[c] < d for c, d in zip(cut, doc)]
 
 
+@pytest.mark.parametrize("kind", ["words", "one letter", "two letters"])
+def test_anchors_beyond_the_place_bits(kind):
+    rng = random.Random(3)
+    body = {"words": rng.randbytes(3000), "one letter": b"a" * 3000, "two letters": bytes(97 + (rng.random() < 0.1) for _ in range(3000))}[kind]
+    raw = np.frombuffer(body, np.uint8)
+    off = np.array([0, 1500, 1530, 3000])
+    starts, place, key = suffixes.anchors(raw, off, bits=10)
+    assert len(starts) == 1451 + 1421
+    for s, p in zip(starts.tolist(), place.tolist()):
+        _, (alone,), k = suffixes.anchors(raw[s : s + 50], np.array([0, 50]), bits=10)
+        assert p - s == alone and key[p] == k[alone]
+
+
 # pipeline
 
 

@@ -35,6 +35,8 @@ from wavetable.session import stable
 #: Bytes of a string, of an anchor in it, and of the hashed strings that choose the anchor.
 LENGTH, ANCHOR, GRAM = 50, 32, 13
 PLACES = LENGTH - ANCHOR + 1
+#: Low bits of a gram's hash that hold its place; longer bytes are taken in parts.
+PLACE_BITS = 24
 BLOCK_BYTES = 2 << 20
 #: Bytes whose anchors are looked for at once.
 PIECE_BYTES = 1 << 18
@@ -49,23 +51,37 @@ def _words(raw: np.ndarray, order: str = "<") -> np.ndarray:
     return np.ndarray((len(raw) + LENGTH + 7,), f"{order}u8", padded, strides=(1,))
 
 
-def anchors(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(window starts, each window's anchor place, key of the anchor at each byte it starts at or 0)."""
-    n = len(raw)
-    key = np.zeros(n, np.uint64)
-    starts = span_index(off[:-1], np.maximum(0, np.diff(off) - LENGTH + 1))
-    if not len(starts):
-        return starts, starts, key
-    w = _words(raw)
+def _places(w: np.ndarray, n: int, starts: np.ndarray, bits: int) -> np.ndarray:
+    """Each window's anchor place in ``n`` bytes, 2**bits at most, whose words are ``w``."""
+    low = np.uint64((1 << bits) - 1)
     h = mix64(w[:n] * np.uint64(0x9E3779B97F4A7C15) + w[GRAM - 8 : n + GRAM - 8])
-    h = (h & ~np.uint64(0xFFFFFF)) | np.arange(n, dtype=np.uint64)
+    h = (h & ~low) | np.arange(n, dtype=np.uint64)
     size, many = 1, LENGTH - GRAM + 1
     while size * 2 <= many:
         longer = h.copy()
         np.minimum(h[:-size], h[size:], out=longer[:-size])
         h, size = longer, size * 2
     least = np.minimum(h[starts], h[starts + (many - size)])
-    place = starts + ((least & np.uint64(0xFFFFFF)).astype(np.int64) - starts) % PLACES
+    return starts + ((least & low).astype(np.int64) - starts) % PLACES
+
+
+def anchors(raw: np.ndarray, off: np.ndarray, bits: int = PLACE_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window starts, each window's anchor place, key of the anchor at each byte it starts at or 0).
+
+    Parts of 2**bits bytes overlap by a window less a byte, so each window
+    lies in one as a whole; its anchor depends on its own bytes alone.
+    """
+    n = len(raw)
+    key = np.zeros(n, np.uint64)
+    starts = span_index(off[:-1], np.maximum(0, np.diff(off) - LENGTH + 1))
+    if not len(starts):
+        return starts, starts, key
+    w = _words(raw)
+    place, step = np.empty(len(starts), np.int64), (1 << bits) - LENGTH + 1
+    for at in range(0, n, step):
+        i, j = np.searchsorted(starts, [at, at + step])
+        if i < j:
+            place[i:j] = at + _places(w[at:], min(n - at, 1 << bits), starts[i:j] - at, bits)
     used = np.zeros(n, bool)
     used[place] = True
     at = np.flatnonzero(used)
