@@ -60,6 +60,21 @@ def groups(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = G
     release()
 
 
+def gathered(batches: Iterable[pa.RecordBatch], limit: int, text: str = "text") -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in blocks of at most ``limit`` text bytes, or one document, across batches."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for part in groups(batches, text, limit):
+        n = pc.sum(pc.binary_length(part.column(text))).as_py() or 0
+        if held and size + n > limit:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+        held.append(part)
+        size += n
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def span_index(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Concatenated ``arange(start, start + length)``."""
     total = int(lengths.sum())

@@ -1,9 +1,11 @@
-"""Which fingerprints occur in more than one block of documents, without a row for each.
+"""Which fingerprints occur in more than one block of documents.
 
 A block sends its distinct 32-bit fingerprints, bucket by bucket, as packed
 arrays; a bucket's reducer answers each array with one bit for each entry.
 A fingerprint costs four bytes on the way, and one that is in every document
-is sent once for each block.
+is sent once for each block. Buckets without entries send nothing, so rows are
+never more than entries, and with blocks of 16 MB an array has hundreds of
+entries up to some terabytes of text.
 """
 
 from __future__ import annotations
@@ -36,6 +38,16 @@ def _short(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys << np.uint64(bits)) >> np.uint64(32)).astype("<u4")
 
 
+def print_rows(block: int, keys: np.ndarray, buckets: int, note: bytes | None = None) -> pa.RecordBatch:
+    """The rows (block, bucket, n, note, prints) that a block sends for its ascending distinct keys; one of them has its note."""
+    edge, prints = split(keys, buckets)
+    carrier = block % buckets
+    at = [i for i in range(buckets) if edge[i] < edge[i + 1] or note is not None and i == carrier]
+    cols = [pa.array([block] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array([edge[i + 1] - edge[i] for i in at], pa.int32())]
+    cols += [pa.array([note if i == carrier else None for i in at], pa.binary()), pa.array([prints[edge[i] : edge[i + 1]].tobytes() for i in at], pa.binary())]
+    return pa.RecordBatch.from_arrays(cols, names=["block", "bucket", "n", "note", "prints"])
+
+
 def _mark(table: pa.Table, many: int) -> pa.Table:
     each = [np.frombuffer(b, "<u4") for b in table.column("prints").to_pylist()]
     every = np.sort(np.concatenate(each))
@@ -63,4 +75,4 @@ def mark_shared(prints: DataFrame, hot: int = HOT) -> DataFrame:
 
 def flags_of(rows: list[dict], name: str = "flags") -> np.ndarray:
     """All flags of a block, its rows in bucket order."""
-    return np.concatenate([np.unpackbits(np.frombuffer(r[name], np.uint8), count=r["n"]).astype(bool) for r in rows])
+    return np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(r[name], np.uint8), count=r["n"]).astype(bool) for r in rows)])

@@ -5,13 +5,19 @@ modular minimiser: the place of the least 13-byte hash in the window, modulo
 the number of anchor places), so all copies of a window meet at its anchor.
 1. Blocks of documents tell which anchors other blocks have too (sharing.py).
 2. Around shared anchors they send the bytes of the windows, equal segments
-   once a block. Windows of hot anchors go by digest instead, so that no key
-   gathers an unbounded group.
+   once a block, to the bucket of the anchor. Of an anchor that many blocks
+   have each window is a segment of its own and goes to the bucket of its
+   bytes, so that no key gathers an unbounded group.
 3. A bucket sorts the suffixes of its segments at the window starts. In
    suffix order the previous and next entries of a smaller document give the
    longest previous factor; windows where it reaches 50 are marked.
 4. Marks meet their blocks again and the bytes are cut.
-Texts that are equal as a whole are settled by their digest.
+A text that equals a whole text of a smaller document is marked by its digest
+and takes no part in 2 and 3, as all its windows are in that document too.
+
+A block is as large as a worker's memory allows, since blocks and buckets both
+grow with the input: what one sends to another is a row with many entries
+until there are more pairs of them than entries, and an entry a row beyond.
 """
 
 from __future__ import annotations
@@ -28,8 +34,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavetable.llm.blocks import groups, mix64, narrow, pack, release, span_index, unpack, utf8
-from wavetable.llm.sharing import HOT, buckets_for, flags_of, mark_shared, split
+from wavetable.llm.blocks import gathered, mix64, narrow, pack, release, span_index, unpack, utf8
+from wavetable.llm.sharing import HOT, buckets_for, flags_of, mark_shared, print_rows
 from wavetable.session import stable
 
 #: Bytes of a string, of an anchor in it, and of the hashed strings that choose the anchor.
@@ -37,11 +43,11 @@ LENGTH, ANCHOR, GRAM = 50, 32, 13
 PLACES = LENGTH - ANCHOR + 1
 #: Low bits of a gram's hash that hold its place; longer bytes are taken in parts.
 PLACE_BITS = 24
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 16 << 20
 #: Bytes whose anchors are looked for at once.
 PIECE_BYTES = 1 << 18
-#: Segment bytes that a bucket should sort.
-SORTED = 2 << 20
+#: Text bytes for each bucket of segments, buckets at least, and the parts that a bucket is sorted in.
+SORTED, LEAST_BUCKETS, PARTS = 16 << 20, 64, 16
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -95,7 +101,7 @@ def anchors(raw: np.ndarray, off: np.ndarray, bits: int = PLACE_BITS) -> tuple[n
 def _blocks(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     block = TaskContext.get().partitionId() << 32
     press = zstandard.ZstdCompressor(level=1)
-    for part in groups(batches, limit=limit):
+    for part in gathered(batches, limit):
         raw, off = utf8(part.column("text"))
         body = raw.tobytes()
         digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(body[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]), np.int64)
@@ -106,7 +112,7 @@ def _blocks(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[pa.Record
             with pa.ipc.new_stream(sink, rest.schema) as stream:
                 stream.write_batch(rest)
             extra = sink.getvalue().to_pybytes()
-        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([note], pa.binary()), pa.array([press.compress(body)], pa.binary()), pa.array([press.compress(extra)], pa.binary())], names=["block", "note", "body", "extra"])
+        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([len(body)]), *(pa.array([x], pa.binary()) for x in (note, press.compress(body), press.compress(extra)))], names=["block", "size", "note", "body", "extra"])
         block += 1
 
 
@@ -156,12 +162,7 @@ def _prints(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[pa.Reco
     for batch in batches:
         for r in batch.to_pylist():
             keys, _ = Block(r["note"], r["body"]).keys()
-            edge, prints = split(keys, buckets)
-            cols = [np.full(buckets, r["block"]), np.arange(buckets, dtype=np.int32), np.diff(edge).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays(
-                [*map(pa.array, cols), pa.nulls(buckets, pa.binary()), pa.array([prints[edge[i] : edge[i + 1]].tobytes() for i in range(buckets)], pa.binary())],
-                names=["block", "bucket", "n", "note", "prints"],
-            )
+            yield print_rows(r["block"], keys, buckets)
 
 
 def _digests(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,17 +194,42 @@ def _firsts(digest: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _window_digests(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    w, out = _words(raw), []
-    for seed in (1, 2):
-        k = np.full(len(at), seed, np.uint64)
-        for j in (0, 8, 16, 24, 32, 40, 42):
-            k = mix64(k * np.uint64(0x9E3779B97F4A7C15) + w[at + j])
-        out.append(k)
-    return np.stack(out, axis=1)
+    """64 bits of hash of the windows at the places ``at``."""
+    w, k = _words(raw), np.ones(len(at), np.uint64)
+    for j in (0, 8, 16, 24, 32, 40, 42):
+        k = mix64(k * np.uint64(0x9E3779B97F4A7C15) + w[at + j])
+    return k
+
+
+def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, end) of the union of the ranges, ascending; ranges that touch become one."""
+    order = np.lexsort((start, doc))
+    base = doc[order].astype(np.int64) << 33
+    s, e = base + start[order], np.maximum.accumulate(base + end[order])
+    new = np.concatenate([[True], s[1:] > e[:-1]])[: len(s)]
+    first, last = np.flatnonzero(new), np.flatnonzero(np.concatenate([new[1:], [True]])[: len(s)])
+    return s[first] >> 33, s[first] & 0x1FFFFFFFF, e[last] & 0x1FFFFFFFF
+
+
+def _segments(b: Block, where: np.ndarray, keys: np.ndarray, shared: np.ndarray, hot: np.ndarray) -> list[np.ndarray]:
+    """[start, end, route, digest] of the segments around shared anchors in the bytes of the chosen documents."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, 2), np.uint64))]
+    for _, before, part, off in b.pieces(where):
+        s, p, key = anchors(part, off)
+        k = np.searchsorted(keys, key[p])
+        cold, each = shared[k] & ~hot[k], np.flatnonzero(shared[k] & hot[k])
+        first, last = _runs(s[cold], p[cold])
+        a = np.concatenate([s[cold][first], s[each]])
+        z = np.concatenate([s[cold][last], s[each]]) + LENGTH
+        route = np.concatenate([key[p[cold][first]], _window_digests(part, s[each])])
+        body = part.tobytes()
+        digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(body[i:j]) for i, j in zip(a.tolist(), z.tolist(), strict=True)]), np.uint64)
+        found.append((a + before, z + before, route, digest.reshape(-1, 2)))
+    return [np.concatenate(x) for x in zip(*found, strict=True)]
 
 
 def _around(block_table: pa.Table, info: pa.Table, buckets: int) -> pa.Table:
-    """Rows (bucket, kind, block, blob): segments, hot windows, and the marks that the block itself can tell."""
+    """Rows (bucket, kind, block, blob): segments (0), and the marks that the block itself can tell (1)."""
     names = {"bucket": pa.int32(), "kind": pa.int32(), "block": pa.int64(), "blob": pa.binary()}
     if not block_table.num_rows:
         return pa.table({k: pa.array([], t) for k, t in names.items()})
@@ -217,53 +243,26 @@ def _around(block_table: pa.Table, info: pa.Table, buckets: int) -> pa.Table:
     chosen[copies] = False
     where = np.flatnonzero(chosen)
     raw, off = b.only(where)
-    found = [(np.zeros(0, np.int64),) * 3]
-    for _, before, part, part_off in b.pieces(where):
-        s, p, key = anchors(part, part_off)
-        k = np.searchsorted(keys, key[p])
-        use = shared[k]
-        found.append((s[use] + before, p[use] + before, k[use]))
-    start, place, number = (np.concatenate(x) for x in zip(*found, strict=True))
+    start, end, route, digest = _segments(b, where, keys, shared, hot)
     doc = np.searchsorted(off, start, "right") - 1
-    press = zstandard.ZstdCompressor(level=1)
-    out, marks = [], []
-
-    def send(kind: int, bucket: np.ndarray, arrays: list[np.ndarray], bodies: list[bytes] | None = None) -> None:
-        order = np.argsort(bucket, kind="stable")
-        edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for i in range(buckets):
-            rows = order[edge[i] : edge[i + 1]]
-            if len(rows):
-                tail = [np.frombuffer(b"".join([bodies[k] for k in rows.tolist()]), np.uint8)] if bodies is not None else []
-                out.append((i, kind, press.compress(pack([a[rows] for a in arrays] + tail))))
-
-    of_key = lambda k: ((k >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    cold = ~hot[number]
-    first, last = _runs(start[cold], place[cold])
-    if len(first):
-        a, z, d = start[cold][first], start[cold][last] + LENGTH, doc[cold][first]
-        body = raw.tobytes()
-        bodies = [body[i:j] for i, j in zip(a.tolist(), z.tolist(), strict=True)]
-        digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, bodies)), np.uint64).reshape(-1, 2)
-        head, least = _firsts(digest, b.ids[where[d]])
-        later = b.ids[where[d]] > least
-        marks.append((where[d[later]], (a - off[d])[later], (z - off[d])[later]))
-        keep = np.flatnonzero(~later)
-        send(0, of_key(keys[number[cold][first[keep]]]), [b.ids[where[d[keep]]], where[d[keep]].astype(np.int32), (a - off[d])[keep].astype(np.int32), (z - a)[keep].astype(np.int32)], [bodies[k] for k in keep.tolist()])
-    a, d = start[~cold], doc[~cold]
-    if len(a):
-        digest = _window_digests(raw, a)
-        head, least = _firsts(digest, b.ids[where[d]])
-        later = b.ids[where[d]] > least
-        f, g = _runs(a[later], d[later])
-        x = d[later][f]
-        marks.append((where[x], a[later][f] - off[x], a[later][g] + LENGTH - off[x]))
-        keep = np.flatnonzero(~later)
-        send(1, of_key(digest[keep, 0]), [b.ids[where[d[keep]]], where[d[keep]].astype(np.int32), (a - off[d])[keep].astype(np.int32), digest[keep, 0], digest[keep, 1]])
+    ids = b.ids[where[doc]]
+    head, least = _firsts(digest, ids) if len(ids) else (None, ids)
+    later = ids > least
     whole = np.array(copies, np.int64)
-    marks.append((whole, np.zeros(len(whole), np.int64), np.diff(b.off)[whole]))
-    m = [np.concatenate(x).astype(np.int32) for x in zip(*marks, strict=True)]
-    out.append((r["block"] % buckets, 2, press.compress(pack(m))))
+    marks = _merged(np.concatenate([where[doc[later]], whole]), np.concatenate([(start - off[doc])[later], np.zeros(len(whole), np.int64)]), np.concatenate([(end - off[doc])[later], np.diff(b.off)[whole]]))
+    press = zstandard.ZstdCompressor(level=1)
+    out = [(r["block"] % buckets, 1, press.compress(pack([m.astype(np.int32) for m in marks])))]
+    keep = np.flatnonzero(~later)
+    part = ((route[keep] >> np.uint64(32)) * np.uint64(buckets * PARTS) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    keep, part = keep[order], part[order]
+    edge = np.searchsorted(part, np.arange(buckets + 1) * PARTS)
+    for i in range(buckets):
+        x = keep[edge[i] : edge[i + 1]]
+        if len(x):
+            size = end[x] - start[x]
+            arrays = [ids[x], where[doc[x]].astype(np.int32), (start - off[doc])[x].astype(np.int32), size.astype(np.int32), (part[edge[i] : edge[i + 1]] % PARTS).astype(np.uint8), raw[span_index(start[x], size)]]
+            out.append((i, 0, press.compress(pack(arrays))))
     bucket, kind, blob = zip(*out, strict=True)
     release()
     return pa.table([pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), pa.array([r["block"]] * len(out), pa.int64()), pa.array(blob, pa.binary())], names=list(names))
@@ -322,73 +321,74 @@ def previous_factors(doc: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     return (smaller_before(doc, run) >= 0) | (back[::-1] >= 0)
 
 
+def _again(doc: np.ndarray, size: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, first byte, end) of what segments of a smaller document have too, where they meet by a common anchor."""
+    at = np.cumsum(size) - size
+    body = raw.tobytes()
+    digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(body[i : i + n]) for i, n in zip(at.tolist(), size.tolist(), strict=True)]), np.uint64).reshape(-1, 2)
+    head, least = _firsts(digest, doc)
+    later = np.flatnonzero(doc > least)
+    # One segment of each kind is sorted; others of the same document share what is found.
+    own = np.unique(head)
+    many = size[own] - LENGTH + 1
+    place, of = span_index(at[own], many), np.repeat(own, many)
+    rank, lcp = suffix_order(raw, place)
+    hit = np.zeros(len(place), bool)
+    hit[rank] = previous_factors(doc[of][rank], lcp)
+    p, o = place[hit], of[hit]
+    f, g = _runs(p, o)
+    first, last, o = p[f] - at[o[f]], p[g] - at[o[f]] + LENGTH, o[f]
+    same = np.flatnonzero(doc == least)
+    order = np.argsort(o, kind="stable")
+    lo, hi = np.searchsorted(o[order], head[same]), np.searchsorted(o[order], head[same], "right")
+    use = order[span_index(lo, hi - lo)]
+    return np.concatenate([later, np.repeat(same, hi - lo)]), np.concatenate([np.zeros(len(later), np.int64), first[use]]), np.concatenate([size[later], last[use]])
+
+
 def _judge(table: pa.Table) -> pa.Table:
-    """Rows (block, blob) with marks (local, start, end) for a bucket's segments, hot windows and settled marks."""
+    """Rows (block, blob) with marks (local, start, end) from a bucket's segments and settled marks."""
     unzip = zstandard.ZstdDecompressor()
     out: list[tuple[int, bytes]] = []
-    seg, hot = [], []
-    for r in table.to_pylist():
-        blob = unzip.decompress(r["blob"])
-        if r["kind"] == 2:
-            out.append((r["block"], blob))
-        elif r["kind"] == 0:
-            seg.append((r["block"], *unpack(blob, [np.int64, np.int32, np.int32, np.int32, np.uint8])))
+    seg = []
+    for name, kind, blob in zip(*(table.column(c).to_pylist() for c in ("block", "kind", "blob")), strict=True):
+        if kind:
+            out.append((name, unzip.decompress(blob)))
         else:
-            hot.append((r["block"], *unpack(blob, [np.int64, np.int32, np.int32, np.uint64, np.uint64])))
-    found = []
+            seg.append((name, *unpack(unzip.decompress(blob), [np.int64, np.int32, np.int32, np.int32, np.uint8, np.uint8])))
+    del table
     if seg:
-        block = np.repeat([s[0] for s in seg], [len(s[1]) for s in seg])
-        doc, local, start, size, raw = (np.concatenate([s[k] for s in seg]) for k in range(1, 6))
-        size, start = size.astype(np.int64), start.astype(np.int64)
-        at = np.cumsum(size) - size
-        body = raw.tobytes()
-        digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(body[i : i + n]) for i, n in zip(at.tolist(), size.tolist(), strict=True)]), np.uint64).reshape(-1, 2)
-        head, least = _firsts(digest, doc)
-        later = doc > least
-        found.append((block[later], local[later], start[later], start[later] + size[later]))
-        # One segment of each kind is sorted; others of the same document share what is found.
-        own = np.unique(head)
-        many = size[own] - LENGTH + 1
-        place, of = span_index(at[own], many), np.repeat(own, many)
-        rank, lcp = suffix_order(raw, place)
-        hit = np.zeros(len(place), bool)
-        hit[rank] = previous_factors(doc[of][rank], lcp)
-        p, o = place[hit], of[hit]
-        f, g = _runs(p, o)
-        first, last, o = p[f] - at[o[f]], p[g] - at[o[f]] + LENGTH, o[f]
-        same = np.flatnonzero(~later)
-        order = np.argsort(o, kind="stable")
-        lo, hi = np.searchsorted(o[order], head[same]), np.searchsorted(o[order], head[same], "right")
-        each = np.repeat(same, hi - lo)
-        use = order[span_index(lo, hi - lo)]
-        found.append((block[each], local[each], start[each] + first[use], start[each] + last[use]))
-    if hot:
-        block = np.repeat([s[0] for s in hot], [len(s[1]) for s in hot])
-        doc, local, start, d0, d1 = (np.concatenate([s[k] for s in hot]) for k in range(1, 6))
-        _, least = _firsts(np.stack([d0, d1], axis=1), doc)
-        later = np.flatnonzero(doc > least)
-        later = later[np.lexsort((start[later], local[later], block[later]))]
-        b, i, s = block[later], local[later].astype(np.int64), start[later].astype(np.int64)
-        f, g = _runs(s, np.cumsum(np.concatenate([[0], (np.diff(b) != 0) | (np.diff(i) != 0)])) if len(s) else s)
-        found.append((b[f], i[f], s[f], s[g] + LENGTH))
-    if found:
-        b, i, s, e = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(b, kind="stable")
-        names, edge = np.unique(b[order], return_index=True)
-        for name, rows in zip(names.tolist(), np.split(order, edge[1:]), strict=True):
-            out.append((name, pack([x[rows].astype(np.int32) for x in (i, s, e)])))
+        names = np.array([x[0] for x in seg])
+        block = np.repeat(np.arange(len(seg)), [len(x[1]) for x in seg])
+        doc, local, start, size, part, raw = (np.concatenate([x[k] for x in seg]) for k in range(1, 7))
+        seg.clear()
+        size, at = size.astype(np.int64), np.cumsum(size, dtype=np.int64) - size
+        found = [(np.zeros(0, np.int64),) * 3]
+        for k in range(PARTS):
+            x = np.flatnonzero(part == k)
+            if len(x):
+                i, s, e = _again(doc[x], size[x], raw[span_index(at[x], size[x])])
+                found.append((x[i], s + start[x[i]], e + start[x[i]]))
+        i, s, e = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(block[i], kind="stable")
+        i, s, e = i[order], s[order], e[order]
+        edge = np.searchsorted(block[i], np.arange(len(names) + 1))
+        for k, (lo, hi) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)):
+            if lo < hi:
+                marks = _merged(local[i[lo:hi]], s[lo:hi], e[lo:hi])
+                out.append((int(names[k]), pack([m.astype(np.int32) for m in marks])))
     release()
     return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "blob": pa.array([x[1] for x in out], pa.binary())})
 
 
 def _gone(b: Block, marks: pa.Table) -> np.ndarray:
     """Which bytes of a block are marked."""
-    change = np.zeros(len(b.raw) + 1, np.int64)
-    for blob in marks.column("blob").to_pylist():
-        i, s, e = (x.astype(np.int64) for x in unpack(blob, [np.int32, np.int32, np.int32]))
+    change = np.zeros(len(b.raw) + 1, np.int8)
+    each = [unpack(blob, [np.int32, np.int32, np.int32]) for blob in marks.column("blob").to_pylist()]
+    if each:
+        i, s, e = _merged(*(np.concatenate([x[k] for x in each]) for k in range(3)))
         np.add.at(change, b.off[i] + s, 1)
         np.add.at(change, b.off[i] + e, -1)
-    return np.cumsum(change)[:-1] > 0
+    return np.cumsum(change, dtype=np.int8)[:-1] > 0
 
 
 def _report(block_table: pa.Table, marks: pa.Table, texts: bool) -> pa.Table:
@@ -423,15 +423,16 @@ def _replace(block_table: pa.Table, marks: pa.Table, names: list[str]) -> pa.Tab
 
 def marked(docs: DataFrame, block_bytes: int, hot: int) -> tuple[DataFrame, DataFrame]:
     """The checkpointed blocks of ``docs`` with all its columns, and the marks of bytes to remove from them."""
-    blocks = stable(narrow(docs).mapInArrow(lambda it: _blocks(it, block_bytes), "block long, note binary, body binary, extra binary"))
-    count = blocks.count()
-    buckets = buckets_for(count * block_bytes * 3 / (LENGTH - GRAM + 2))
+    cut = narrow(docs).mapInArrow(lambda it: _blocks(it, block_bytes), "block long, size long, note binary, body binary, extra binary")
+    blocks = stable(cut.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block"))
+    size = blocks.agg(F.sum("size")).first()[0] or 0
+    buckets = buckets_for(size * 3 / (LENGTH - GRAM + 2))
     flags = mark_shared(blocks.mapInArrow(lambda it: _prints(it, buckets), "block long, bucket int, n int, note binary, prints binary"), hot)
     texts = blocks.mapInArrow(_digests, "block long, local int, doc_id long, d0 long, d1 long")
     least = texts.groupBy("d0", "d1").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     copies = texts.join(least, ["d0", "d1"]).where("doc_id > least").select("block", F.lit(-1).alias("bucket"), F.col("local").alias("n"), F.lit(None).cast("binary").alias("flags"), F.lit(None).cast("binary").alias("hot"))
     info = flags.select("block", "bucket", "n", "flags", "hot").unionByName(copies)
-    sort_in = max(16, count * block_bytes // SORTED)
+    sort_in = max(LEAST_BUCKETS, size // SORTED)
     bodies = blocks.select("block", "note", "body")
     sent = bodies.groupBy("block").cogroup(info.groupBy("block")).applyInArrow(lambda b, i: _around(b, i, sort_in), "bucket int, kind int, block long, blob binary")
     return blocks, sent.groupBy("bucket").applyInArrow(_judge, "block long, blob binary")
@@ -450,7 +451,7 @@ def remove_repeats(docs: DataFrame, texts: bool = True, block_bytes: int = BLOCK
     """
     blocks, marks = marked(docs.select(F.col("doc_id").cast("long"), "text"), block_bytes, hot)
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>" + ", kept binary" * texts
-    return blocks.drop("extra").groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(lambda b, m: _report(b, m, texts), out)
+    return blocks.drop("extra", "size").groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(lambda b, m: _report(b, m, texts), out)
 
 
 def cut_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
@@ -461,9 +462,10 @@ def cut_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = HOT)
     """
     names = docs.columns
     blocks, marks = marked(docs, block_bytes, hot)
-    return blocks.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(lambda b, m: _replace(b, m, names), docs.schema)
+    return blocks.drop("size").groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(lambda b, m: _replace(b, m, names), docs.schema)
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """The query: what is removed from every document."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), texts=False).drop("spans")
+
