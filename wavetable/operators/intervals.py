@@ -2,26 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavetable.operators.transform import pad
+from wavetable.operators.transform import CHUNK, chunks, filled, repeated, schema_of
+
+#: Width of a bucket in joins of intervals with places, and with seconds.
+PLACES, SECONDS = 64, 3600.0
 
 
 def characteristic(x: Column, kind: str = "square") -> Column:
     return x * x if kind == "square" else F.abs(x)
 
 
+def window_sums(x: np.ndarray, size: int) -> np.ndarray:
+    """Sums of each ``size`` samples in a row, from the sums up to and from the borders of blocks; nothing is subtracted."""
+    many = len(x) - size + 1
+    blocks = np.concatenate([x, np.zeros(-len(x) % size)]).reshape(-1, size)
+    upto, onward = np.cumsum(blocks, axis=1).ravel(), np.cumsum(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    start = np.arange(many)
+    return np.where(start % size == 0, onward[:many], onward[:many] + upto[size - 1 : size - 1 + many])
+
+
+def _ratios(batches: Iterable[pa.RecordBatch], keys: list[str], long: int, short: int, overlap: int) -> Iterator[pa.RecordBatch]:
+    left = long - overlap
+    for batch in batches:
+        at, found = [], []
+        for _, c, n, v in filled(batch, CHUNK + left + max(short, overlap) - 1):
+            many = min(CHUNK, n - c * CHUNK)
+            at.append(c * CHUNK + np.arange(many))
+            found.append(window_sums(v[left:], short)[:many] / (window_sums(v, long)[:many] + 1e-16) * (long / short))
+        if found:
+            yield pa.RecordBatch.from_arrays([*repeated(batch, keys, list(map(len, at))), pa.array(np.concatenate(at)), pa.array(np.concatenate(found))], names=[*keys, "n", "ratio"])
+
+
 def sta_lta(traces: DataFrame, keys: list[str], long: int, short: int, overlap: int = 1, step: int = 1, kind: str = "square") -> DataFrame:
-    """(keys, n, ratio): the mean of the next ``short`` samples over that of the last ``long``, reflected at the ends."""
+    """(keys, n, ratio): the mean of the next ``short`` samples over that of the last ``long``, reflected at the ends.
+
+    Chunks of a trace come with the samples before and after that they need,
+    so no task holds a trace.
+    """
     left = long - overlap
-    wide = pad(traces.withColumn("x", characteristic(F.col("x"), kind)), keys, left, short - 1)
-    by = Window.partitionBy(*keys).orderBy("p")
-    lta = F.sum("x").over(by.rowsBetween(-left, overlap - 1))
-    sta = F.sum("x").over(by.rowsBetween(0, short - 1))
-    size = Window.partitionBy(*keys)
-    out = wide.withColumn("ratio", sta / (lta + 1e-16) * F.lit(long / short)).withColumn("_end", F.max("p").over(size) - (short - 1))
-    return out.where((F.col("p") >= 0) & (F.col("p") <= F.col("_end")) & (F.col("p") % step == 0)).select(*keys, F.col("p").alias("n"), "ratio")
+    cut = chunks(traces.withColumn("x", characteristic(F.col("x"), kind)), keys, left, CHUNK + left + max(short, overlap) - 1, CHUNK, F.ceil(F.col("_size") / CHUNK))
+    out = cut.mapInArrow(lambda it: _ratios(it, keys, long, short, overlap), schema_of(traces, keys, "n long, ratio double"))
+    return out.where(F.col("n") % step == 0) if step > 1 else out
 
 
 def islands(flags: DataFrame, keys: list[str], at: str = "n") -> DataFrame:
@@ -51,9 +79,15 @@ def from_curve(curve: DataFrame, keys: list[str], value: str, level: float, gap:
     return merge(islands(curve.where(F.col(value) > level), keys, at), keys, gap, least)
 
 
+def bucketed(intervals: DataFrame, low: Column, high: Column, width: float) -> DataFrame:
+    """A row of each interval for each bucket ``_k`` of ``width`` that it touches."""
+    return intervals.withColumn("_k", F.explode(F.sequence(F.floor(low / width), F.floor(high / width))))
+
+
 def peaks(intervals: DataFrame, curve: DataFrame, keys: list[str], value: str, at: str = "n") -> DataFrame:
-    """Intervals with the place and value of the curve's first maximum in each."""
-    inside = intervals.join(curve, keys).where((F.col(at) >= F.col("start")) & (F.col(at) <= F.col("end")))
+    """Intervals with the place and value of the curve's first maximum in each, by a join on buckets of places."""
+    spans = bucketed(intervals, F.col("start"), F.col("end"), PLACES)
+    inside = spans.join(curve.withColumn("_k", F.floor(F.col(at) / PLACES)), [*keys, "_k"]).where((F.col(at) >= F.col("start")) & (F.col(at) <= F.col("end")))
     best = F.max(F.struct(F.col(value), (-F.col(at)).alias("at")))
     return inside.groupBy(*keys, "interval_id", "start", "end").agg(best.alias("b")).select(*keys, "interval_id", "start", "end", (-F.col("b.at")).alias(f"{at}_peak"), F.col(f"b.{value}").alias("peak"))
 
@@ -70,12 +104,27 @@ def union_on_grid(spans: DataFrame, keys: list[str], dt: float, gap: float) -> D
 
 
 def assign(items: DataFrame, intervals: DataFrame, keys: list[str], centre: Column) -> DataFrame:
-    """Items with the interval that holds their centre, or else the nearest one; ties go to the first."""
-    c = items.withColumn("_c", centre).withColumn("_row", F.monotonically_increasing_id())
-    far = F.greatest(F.col("i.t_start") - F.col("_c"), F.col("_c") - F.col("i.t_end"), F.lit(0.0))
-    both = c.join(intervals.alias("i"), keys).withColumn("_far", far)
-    best = Window.partitionBy("_row").orderBy("_far", "interval_id")
-    return both.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").drop("_c", "_row", "_far", "_rank")
+    """Items with the interval that holds their centre, or else the nearest one; ties go to the first.
+
+    Intervals of a key must not overlap. Then the nearest is the last that
+    starts up to the centre or the first after, which two passes over items
+    and intervals in order find; an item of a key without intervals is dropped.
+    """
+    one = F.struct(*(F.col(c) for c in items.columns))
+    spans = [c for c in intervals.columns if c not in keys]
+    kinds = dict(intervals.dtypes)
+    none = F.lit(None).cast("struct<" + ",".join(f"{c}:{kinds[c]}" for c in spans) + ">")
+    both = items.select(*keys, centre.alias("_at"), F.lit(1).alias("_item"), one.alias("_one"), none.alias("_span")).unionByName(
+        intervals.select(*keys, F.col("t_start").alias("_at"), F.lit(0).alias("_item"), F.struct(*spans).alias("_span")), allowMissingColumns=True
+    )
+    onward = Window.partitionBy(*keys).orderBy("_at", "_item").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*keys).orderBy(F.desc("_at"), F.desc("_item")).rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn("_a", F.last("_span", True).over(onward)).withColumn("_b", F.last("_span", True).over(back)).where("_item = 1")
+    far = lambda x: F.greatest(F.col(f"{x}.t_start") - F.col("_at"), F.col("_at") - F.col(f"{x}.t_end"), F.lit(0.0))
+    first = F.col("_b").isNull() | (F.col("_a").isNotNull() & (far("_a") <= far("_b")))
+    chosen = near.withColumn("_span", F.when(first, F.col("_a")).otherwise(F.col("_b"))).where(F.col("_span").isNotNull())
+    rest = [F.col(f"_one.{c}") for c in items.columns if c not in keys]
+    return chosen.select(*keys, *rest, *(F.col(f"_span.{c}") for c in spans))
 
 
 def overlaps(start: Column, end: Column, low: float, high: float) -> Column:
@@ -89,10 +138,10 @@ def extend(intervals: DataFrame, before: float | None, after: float | None, last
     return intervals.withColumns({"t_start": F.greatest(F.lit(0.0), F.col("t_start") - a), "t_end": F.least(F.lit(float(last)), F.col("t_end") + b)})
 
 
-def cut_out(traces: DataFrame, intervals: DataFrame, keys: list[str], dt: float, bucket: int = 64) -> DataFrame:
+def cut_out(traces: DataFrame, intervals: DataFrame, keys: list[str], dt: float, bucket: int = PLACES) -> DataFrame:
     """(keys, interval_id, n, x): the samples of each interval, by a join on buckets of places."""
     a, b = F.bround(F.col("t_start") / dt).cast("long"), F.bround(F.col("t_end") / dt).cast("long")
-    spans = intervals.select(*keys, "interval_id", a.alias("_a"), b.alias("_b")).withColumn("_k", F.explode(F.sequence(F.floor(F.col("_a") / bucket), F.floor(F.col("_b") / bucket))))
+    spans = bucketed(intervals.select(*keys, "interval_id", a.alias("_a"), b.alias("_b")), F.col("_a"), F.col("_b"), bucket)
     return traces.withColumn("_k", F.floor(F.col("n") / bucket)).join(spans, [*keys, "_k"]).where((F.col("n") >= F.col("_a")) & (F.col("n") <= F.col("_b"))).select(*keys, "interval_id", "n", "x")
 
 
@@ -104,6 +153,8 @@ def take(traces: DataFrame, dt: float, low: float | None, high: float | None, at
 
 def segments(intervals: DataFrame, dt: float, gap: float, grow: float | None = None) -> DataFrame:
     """(t_start, t_end) that unite the intervals of all traces, grown by ``grow`` seconds or half their length."""
-    one = union_on_grid(intervals.withColumn("_all", F.lit(0)), ["_all"], dt, gap)
+    # United within spans of time first, so that what meets in one task depends on the time line and not on the traces.
+    near = union_on_grid(intervals.withColumn("_all", F.floor(F.col("t_start") / (dt * CHUNK))), ["_all"], dt, gap)
+    one = union_on_grid(near.withColumn("_all", F.lit(0)).withColumn("t_end", F.col("t_end") - dt / 2), ["_all"], dt, gap)
     size = (F.col("t_end") - F.col("t_start")) / 2 if grow is None else F.lit(float(grow))
     return one.select((F.col("t_start") - size).alias("t_start"), (F.col("t_end") + size).alias("t_end"))

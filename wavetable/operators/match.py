@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavetable.operators.intervals import SECONDS, bucketed
 from wavetable.session import stable
 
 
@@ -49,7 +50,10 @@ def pair(pairs: DataFrame, keys: list[str], strict: bool = False) -> DataFrame:
 
 def match(a: DataFrame, b: DataFrame, keys: list[str], reach: float, strict: bool = False) -> DataFrame:
     """(keys, i, ta, j, tb): pairs, and what stays alone on either side."""
-    pairs = pair(near(a, b, keys, reach), keys, strict).drop("d")
+    return _with_alone(a, b, pair(near(a, b, keys, reach), keys, strict).drop("d"), keys)
+
+
+def _with_alone(a: DataFrame, b: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
     alone_a = a.join(pairs.select(*keys, "i"), [*keys, "i"], "left_anti").select(*keys, "i", F.col("t").alias("ta"))
     alone_b = b.join(pairs.select(*keys, "j"), [*keys, "j"], "left_anti").select(*keys, "j", F.col("t").alias("tb"))
     return pairs.unionByName(alone_a, allowMissingColumns=True).unionByName(alone_b, allowMissingColumns=True)
@@ -70,13 +74,14 @@ def _running(cols: list[str], how: str):
     }.get(how, F.col(how))
 
 
-def associate(picks: DataFrame, keys: list[str], locations: dict, reach: float, vote_rate: float, how: str = "mean", every: int = 10) -> DataFrame:
+def associate(picks: DataFrame, keys: list[str], locations: dict, reach: float, vote_rate: float, how: str = "mean") -> DataFrame:
     """(keys, event, station, t): picks that belong together across stations.
 
     Stations are taken by their distance from the first one along the line;
     each is matched to the running aggregate of those before, and rows with
     too few picks are dropped. Events are numbered by their earliest pick.
-    The plan grows with the stations, so every few of them it is cut.
+    A step reads the rows before it and its pairs several times, so both are
+    checkpointed; a step's plan does not grow with the stations.
     """
     first = min(locations.values())
     order = sorted(locations, key=lambda s: (abs(locations[s] - first), s))
@@ -86,12 +91,12 @@ def associate(picks: DataFrame, keys: list[str], locations: dict, reach: float,
         if state is None:
             state, cols = own.withColumnRenamed("t", "t0"), ["t0"]
             continue
-        named = state.withColumn("t", _running(cols, how)).withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("t").asc_nulls_last(), *cols)))
-        right = numbered(own, keys, "j")
-        found = match(named.where("t is not null").select(*keys, "i", "t"), right, keys, reach).select(*keys, "i", "j", F.col("tb").alias(f"t{step}"))
+        named = stable(state.withColumn("t", _running(cols, how)).withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("t").asc_nulls_last(), *cols))))
+        right, left = numbered(own, keys, "j"), named.where("t is not null").select(*keys, "i", "t")
+        pairs = stable(pair(near(left, right, keys, reach), keys).drop("d"))
+        found = _with_alone(left, right, pairs, keys).select(*keys, "i", "j", F.col("tb").alias(f"t{step}"))
         state = named.drop("t").join(found, [*keys, "i"], "full_outer").select(*keys, *cols, f"t{step}")
         cols.append(f"t{step}")
-        state = stable(state) if step % every == 0 else state
     earliest = F.least(*cols) if len(cols) > 1 else F.col(cols[0])
     votes = sum((F.col(c).isNotNull().cast("int") for c in cols[1:]), F.col(cols[0]).isNotNull().cast("int"))
     events = state.where(votes >= vote_rate * len(order)).withColumn("event", F.row_number().over(Window.partitionBy(*keys).orderBy(earliest, *cols)).cast("long"))
@@ -99,9 +104,10 @@ def associate(picks: DataFrame, keys: list[str], locations: dict, reach: float,
     return events.select(*keys, "event", long.alias("p")).select(*keys, "event", "p.station", "p.t").where("t is not null")
 
 
-def first_interval(picks: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFrame:
-    """Picks with the first interval that holds them, or null."""
-    inside = picks.join(intervals, keys).where((F.col("t") >= F.col("t_start")) & (F.col("t") <= F.col("t_end")))
+def first_interval(picks: DataFrame, intervals: DataFrame, keys: list[str], width: float = SECONDS) -> DataFrame:
+    """Picks with the first interval that holds them, or null, by a join on buckets of ``width`` seconds."""
+    spans = bucketed(intervals, F.col("t_start"), F.col("t_end"), width)
+    inside = picks.withColumn("_k", F.floor(F.col("t") / width)).join(spans, [*keys, "_k"]).where((F.col("t") >= F.col("t_start")) & (F.col("t") <= F.col("t_end")))
     found = inside.groupBy(*keys, "i").agg(F.min("interval_id").alias("interval_id"))
     return picks.join(found, [*keys, "i"], "left").select(*keys, "i", "t", "interval_id")
 

@@ -1,7 +1,7 @@
 """Noise levels from order statistics, and what stands out of them.
 
-All levels are windows over (trace, group, frame); only the small tables of
-groups and frames are broadcast, as their size is fixed by the parameters.
+All levels are windows over (trace, group, frame); only the table of groups
+is broadcast, a row for each bin.
 """
 
 from __future__ import annotations
@@ -24,11 +24,10 @@ def in_blocks(cells: DataFrame, groups: list[tuple[int, int]], frame: int, frame
     """Adds ``g``, ``b`` and ``d``: frequency group, stationary frame and dimension of each cell."""
     spark = cells.sparkSession
     g = spark.createDataFrame([(i, a, z) for i, (a, z) in enumerate(groups)], "g int, k_lo long, k_hi long")
-    b = spark.createDataFrame([(i, a, z) for i, (a, z) in enumerate(divide(frames, frame))], "b int, m_lo long, m_hi long")
     k = F.broadcast(g.select("g", F.explode(F.sequence("k_lo", "k_hi")).alias("k")))
-    m = F.broadcast(b.select("b", F.explode(F.sequence("m_lo", "m_hi")).alias("m")))
+    b = F.least(F.floor(F.col("m") / max(1, frame)), F.lit(max(1, frames // max(1, frame)) - 1)).cast("int")
     bins = max(z for _, z in groups) + 1
-    return cells.join(k, "k").join(m, "m").withColumn("d", dimension(F.col("k"), bins))
+    return cells.where((F.col("m") >= 0) & (F.col("m") < frames)).join(k, "k").withColumn("b", b).withColumn("d", dimension(F.col("k"), bins))
 
 
 def level(blocks: DataFrame, keys: list[str], rho: float, least: int, branch: str = "high") -> DataFrame:

@@ -1,8 +1,8 @@
 """Time-frequency transforms on long traces.
 
-A sample goes to the frames that cover it, so the work is grouped by frame
-and no task holds a whole trace; only then rows of one window each meet the
-FFT in Arrow batches.
+Traces are cut into chunks of whole frames with the samples that these cover,
+so a sample is shuffled once, but for those at the borders of chunks, and no
+task holds a whole trace; a chunk's samples meet the FFT in Arrow batches.
 """
 
 from __future__ import annotations
@@ -15,13 +15,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def window(size: int, name: str = "hann") -> np.ndarray:
-    """A periodic analysis window; names with ``one`` are flat."""
-    if "one" in name or name == "boxcar":
+#: Samples of a chunk at least.
+CHUNK = 4096
+#: Cosine sums by name: the window is the sum of (-1)^j a_j cos(2 pi j n / size).
+COSINES = {
+    "hann": (0.5, 0.5),
+    "hamming": (0.54, 0.46),
+    "blackman": (0.42, 0.5, 0.08),
+    "nuttall": (0.3635819, 0.4891775, 0.1365995, 0.0106411),
+    "blackmanharris": (0.35875, 0.48829, 0.14128, 0.01168),
+    "flattop": (0.21557895, 0.41663158, 0.277263158, 0.083578947, 0.006947368),
+}
+
+
+def window(size: int, name: str | tuple = "hann") -> np.ndarray:
+    """A periodic analysis window; names with ``one`` are flat.
+
+    A tuple gives parameters: ("kaiser", beta), ("gaussian", deviation in
+    samples), ("tukey", share that is not flat), ("general_hamming", alpha).
+    """
+    kind, *rest = (name,) if isinstance(name, str) else name
+    n = np.arange(size)
+    if "one" in kind or kind == "boxcar":
         return np.ones(size)
-    if name != "hann":
+    if kind == "cosine":
+        return np.sin(np.pi * (n + 0.5) / (size + 1))
+    if kind == "bartlett":
+        return 1 - np.abs(2 * n / size - 1)
+    if kind == "parzen":
+        x = np.abs(2 * n - size) / (size + 1)
+        return np.where(x <= 0.5, 1 - 6 * x**2 + 6 * x**3, 2 * (1 - x) ** 3)
+    if kind == "kaiser" and rest:
+        return np.i0(rest[0] * np.sqrt(np.maximum(0, 1 - (2 * n / size - 1) ** 2))) / np.i0(rest[0])
+    if kind == "gaussian" and rest:
+        return np.exp(-0.5 * ((n - size / 2) / rest[0]) ** 2)
+    if kind == "tukey" and rest:
+        x = np.minimum(n, size - n) * 2 / (max(rest[0], 1e-12) * size)
+        return np.where(x < 1, 0.5 * (1 - np.cos(np.pi * x)), 1.0)
+    terms = (rest[0], 1 - rest[0]) if kind == "general_hamming" and rest else COSINES.get(kind)
+    if terms is None:
         raise ValueError(f"no window {name!r}")
-    return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
+    return sum((-1) ** j * a * np.cos(2 * np.pi * j * n / size) for j, a in enumerate(terms))
 
 
 def frame_count(n: Column, hop: int) -> Column:
@@ -63,61 +97,101 @@ def pad(traces: DataFrame, keys: list[str], left: int, right: int, mode: str = "
     return out.where((F.col("p") >= -left) & (F.col("p") < F.col("_size") + right)).drop("_size")
 
 
-def frames(traces: DataFrame, keys: list[str], size: int, hop: int, mode: str = "reflect") -> DataFrame:
-    """(keys, m, v): centred frames as arrays of ``size`` samples; frame m starts at m * hop - size // 2."""
-    half = size // 2
+def chunks(traces: DataFrame, keys: list[str], left: int, size: int, step: int, many: Column, mode: str = "reflect") -> DataFrame:
+    """(keys, c, many, w, x): chunks as lists of places and samples, unordered.
+
+    Chunk c has the padded samples from c * step - left on, ``size`` of them;
+    there are ``many`` by the trace's length ``_size``. Places beyond the
+    padding are missing and count as zeros.
+    """
     sizes = traces.groupBy(*keys).agg((F.max("n") + 1).alias("_size"))
-    wide = traces.join(sizes, keys).withColumn("p", F.explode(_padded(F.col("n"), F.col("_size"), mode, half)))
-    q = F.col("p") + half
-    low, high = F.greatest(F.lit(0).cast("long"), F.ceil((q - (size - 1)) / hop)), F.least(F.floor(q / hop), frame_count(F.col("_size"), hop) - 1)
-    wide = wide.where(low <= high).withColumn("m", F.explode(F.sequence(low, high))).withColumn("w", (q - F.col("m") * hop).cast("int"))
-    taken = wide.groupBy(*keys, "m").agg(F.map_from_entries(F.collect_list(F.struct("w", "x"))).alias("_v"))
-    return taken.select(*keys, "m", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at("_v", i), F.lit(0.0))).alias("v"))
+    wide = traces.join(sizes, keys).withColumn("_many", many).withColumn("p", F.explode(_padded(F.col("n"), F.col("_size"), mode, max(left, size - left))))
+    q = F.col("p") + left
+    low, high = F.greatest(F.lit(0).cast("long"), F.ceil((q - (size - 1)) / step)), F.least(F.floor(q / step), F.col("_many") - 1)
+    wide = wide.where((q >= 0) & (low <= high)).withColumn("c", F.explode(F.sequence(low, high))).withColumn("w", (q - F.col("c") * step).cast("int"))
+    return wide.groupBy(*keys, "c").agg(F.max("_size").alias("size"), F.collect_list("w").alias("w"), F.collect_list(F.col("x").cast("double")).alias("x"))
 
 
-def _rfft(batches: Iterable[pa.RecordBatch], keys: list[str], win: np.ndarray, nfft: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        v = np.asarray(batch.column("v").flatten().to_numpy(zero_copy_only=False), float).reshape(-1, len(win))
-        c = np.fft.rfft(v * win, nfft)
-        offsets = pa.array(np.arange(len(c) + 1, dtype=np.int32) * c.shape[1])
-        cols = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(part).ravel())) for part in (c.real, c.imag)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), batch.column("m"), *cols], names=[*keys, "m", "re", "im"])
+def filled(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(row, chunk, length of its trace, samples) of each row of ``chunks``."""
+    places, values = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("w", "x"))
+    edge = np.concatenate([[0], np.cumsum(batch.column("w").value_lengths().to_numpy())])
+    for i, (c, n) in enumerate(zip(batch.column("c").to_pylist(), batch.column("size").to_pylist(), strict=True)):
+        v = np.zeros(size)
+        v[places[edge[i] : edge[i + 1]]] = values[edge[i] : edge[i + 1]]
+        yield i, c, n, v
 
 
-def stft(traces: DataFrame, keys: list[str], size: int, hop: int, nfft: int | None = None, name: str = "hann", mode: str = "reflect") -> DataFrame:
-    """(keys, k, m, re, im, amp) of the windowed frames; not normalised."""
-    nfft, win = nfft or size, window(size, name)
-    kinds = {f.name: f.dataType.simpleString() for f in traces.schema.fields}
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "m long, re array<double>, im array<double>"])
-    wide = frames(traces, keys, size, hop, mode).mapInArrow(lambda it: _rfft(it, keys, win, nfft), schema)
-    cells = wide.select(*keys, "m", F.posexplode(F.arrays_zip("re", "im")).alias("k", "c"))
-    return cells.select(*keys, F.col("k").cast("long"), "m", F.col("c.re").alias("re"), F.col("c.im").alias("im")).withColumn("amp", F.sqrt(F.col("re") ** 2 + F.col("im") ** 2))
+def repeated(batch: pa.RecordBatch, keys: list[str], counts: list[int]) -> list[pa.Array]:
+    """The keys of each row, as often as the counts say."""
+    at = pa.array(np.repeat(np.arange(batch.num_rows), counts))
+    return [batch.column(k).take(at) for k in keys]
+
 
+def schema_of(df: DataFrame, keys: list[str], rest: str) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return ", ".join([*(f"{k} {kinds[k]}" for k in keys), rest])
 
-def _irfft(batches: Iterable[pa.RecordBatch], keys: list[str], win: np.ndarray, nfft: int) -> Iterator[pa.RecordBatch]:
+
+def _per_chunk(size: int, hop: int) -> int:
+    """Frames of a chunk: a few windows at least, so that borders are a small part."""
+    return max(1, max(CHUNK, 4 * size) // hop)
+
+
+def _rfft(batches: Iterable[pa.RecordBatch], keys: list[str], win: np.ndarray, hop: int, nfft: int, per: int) -> Iterator[pa.RecordBatch]:
+    size = (per - 1) * hop + len(win)
     for batch in batches:
-        shape = (batch.num_rows, nfft // 2 + 1)
-        re, im = (np.asarray(batch.column(c).flatten().to_numpy(zero_copy_only=False)).reshape(shape) for c in ("re", "im"))
-        v = np.fft.irfft(re + 1j * im, nfft)[:, : len(win)] * win
-        offsets = pa.array(np.arange(len(v) + 1, dtype=np.int32) * len(win))
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), batch.column("m"), pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(v).ravel()))], names=[*keys, "m", "v"])
+        first, found = [], []
+        for _, c, n, v in filled(batch, size):
+            many = min(per, (n - 1) // hop + 1 - c * per)
+            first.append(c * per + np.arange(many))
+            found.append(np.fft.rfft(np.lib.stride_tricks.sliding_window_view(v, len(win))[: many * hop : hop] * win, nfft))
+        if found:
+            c = np.concatenate(found)
+            offsets = pa.array(np.arange(len(c) + 1, dtype=np.int32) * c.shape[1])
+            cols = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(part).ravel())) for part in (c.real, c.imag)]
+            yield pa.RecordBatch.from_arrays([*repeated(batch, keys, list(map(len, first))), pa.array(np.concatenate(first)), *cols], names=[*keys, "m", "re", "im"])
+
+
+def stft(traces: DataFrame, keys: list[str], size: int, hop: int, nfft: int | None = None, name: str | tuple = "hann", mode: str = "reflect") -> DataFrame:
+    """(keys, k, m, re, im, amp) of the windowed frames, not normalised; frame m starts at m * hop - size // 2."""
+    nfft, win, per = nfft or size, window(size, name), _per_chunk(size, hop)
+    many = F.ceil(frame_count(F.col("_size"), hop) / per)
+    cut = chunks(traces, keys, size // 2, (per - 1) * hop + size, per * hop, many, mode)
+    wide = cut.mapInArrow(lambda it: _rfft(it, keys, win, hop, nfft, per), schema_of(traces, keys, "m long, re array<double>, im array<double>"))
+    cells = wide.select(*keys, "m", F.posexplode(F.arrays_zip("re", "im")).alias("k", "c"))
+    return cells.select(*keys, F.col("k").cast("long"), "m", F.col("c.re").alias("re"), F.col("c.im").alias("im")).withColumn("amp", F.sqrt(F.col("re") ** 2 + F.col("im") ** 2))
 
 
-def istft(cells: DataFrame, keys: list[str], size: int, hop: int, nfft: int, length: int, name: str = "hann") -> DataFrame:
-    """(keys, n, x) by weighted overlap-add of the frames' inverse transforms, for n below ``length``."""
-    win, bins = window(size, name), nfft // 2 + 1
+def _irfft(batches: Iterable[pa.RecordBatch], keys: list[str], win: np.ndarray, hop: int, nfft: int, per: int) -> Iterator[pa.RecordBatch]:
+    size, bins = (per - 1) * hop + len(win), nfft // 2 + 1
+    at = np.arange(per)[:, None] * hop + np.arange(len(win))
+    for batch in batches:
+        m, k, re, im = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("m", "k", "re", "im"))
+        edge = np.concatenate([[0], np.cumsum(batch.column("m").value_lengths().to_numpy())]).tolist()
+        total, weight = np.zeros((batch.num_rows, size)), np.zeros((batch.num_rows, size))
+        for i, (a, z) in enumerate(zip(edge, edge[1:], strict=False)):
+            cells, there = np.zeros((per, bins), complex), np.zeros(per, bool)
+            cells[m[a:z] % per, k[a:z]] = re[a:z] + 1j * im[a:z]
+            there[m[a:z] % per] = True
+            np.add.at(total[i], at[there], np.fft.irfft(cells[there], nfft)[:, : len(win)] * win)
+            np.add.at(weight[i], at[there], np.broadcast_to(win**2, (there.sum(), len(win))))
+        offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * size)
+        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in keys), batch.column("c"), *(pa.ListArray.from_arrays(offsets, pa.array(x.ravel())) for x in (total, weight))], names=[*keys, "c", "v", "q"])
+
+
+def istft(cells: DataFrame, keys: list[str], size: int, hop: int, nfft: int, length: int, name: str | tuple = "hann") -> DataFrame:
+    """(keys, n, x) by weighted overlap-add of the frames' inverse transforms, for n below ``length``; bins without a cell are zero."""
+    win, per = window(size, name), _per_chunk(size, hop)
     if not overlap_ok(win, hop):
         raise ValueError("the window and hop leave samples without weight")
-    kinds = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
-    per = cells.groupBy(*keys, "m").agg(F.map_from_entries(F.collect_list(F.struct(F.col("k").cast("int"), F.struct("re", "im")))).alias("c"))
-    at = lambda part: F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.coalesce(F.element_at("c", k)[part], F.lit(0.0)))
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "m long, v array<double>"])
-    wide = per.select(*keys, F.col("m").cast("long").alias("m"), at("re").alias("re"), at("im").alias("im")).mapInArrow(lambda it: _irfft(it, keys, win, nfft), schema)
-    weights = F.array(*map(F.lit, (win**2).tolist()))
-    rows = wide.select(*keys, "m", F.posexplode(F.arrays_zip("v", weights.alias("q"))).alias("w", "s"))
-    n = F.col("m") * hop - size // 2 + F.col("w")
-    added = rows.select(*keys, n.alias("n"), F.col("s.v").alias("v"), F.col("s.q").alias("q")).groupBy(*keys, "n").agg((F.sum("v") / F.sum("q")).alias("x"))
-    return added.where((F.col("n") >= 0) & (F.col("n") < length))
+    lists = [F.collect_list(F.col(c).cast(kind)).alias(c) for c, kind in (("m", "long"), ("k", "int"), ("re", "double"), ("im", "double"))]
+    cut = cells.groupBy(*keys, F.floor(F.col("m") / per).alias("c")).agg(*lists)
+    wide = cut.mapInArrow(lambda it: _irfft(it, keys, win, hop, nfft, per), schema_of(cells, keys, "c long, v array<double>, q array<double>"))
+    rows = wide.select(*keys, "c", F.posexplode(F.arrays_zip("v", "q")).alias("w", "s"))
+    n = F.col("c") * (per * hop) - size // 2 + F.col("w")
+    inside = rows.select(*keys, n.alias("n"), F.col("s.v").alias("v"), F.col("s.q").alias("q")).where((F.col("n") >= 0) & (F.col("n") < length) & (F.col("q") > 0))
+    return inside.groupBy(*keys, "n").agg((F.sum("v") / F.sum("q")).alias("x"))
 
 
 def wavelet_frequencies(n: int, dt: float, voices: int = 8, low: float | None = None, high: float | None = None) -> np.ndarray:
