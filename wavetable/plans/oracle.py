@@ -156,6 +156,32 @@ ASSOCIATION = {
 }
 
 
+def rebuilt(src: str) -> str:
+    """(tr, n, x): overlap-add of the cells (tr, k, m, re, im) of every frame."""
+    win = "(0.5 - 0.5 * cos(2 * pi() * w / 24))"
+    return (
+        f"SELECT tr, n, sum(v) / max(q) AS x FROM (SELECT tr, m * 6 - 12 + w AS n, {win} * sum(CASE WHEN k IN (0, 16) THEN 1 ELSE 2 END * (re * cos(2 * pi() * k * w / 32) - im * sin(2 * pi() * k * w / 32))) / 32 AS v, 0 AS q FROM {src}, (SELECT w FROM range(24) t(w)) GROUP BY tr, m, w "
+        f"UNION ALL SELECT tr, n, 0.0, q FROM (SELECT DISTINCT tr FROM series), (SELECT m * 6 - 12 + w AS n, sum({win} * {win}) AS q FROM range(120) a(m), range(24) b(w) GROUP BY 1)) WHERE n BETWEEN 0 AND 719 GROUP BY tr, n"
+    )
+
+
+def filtered(gain: str) -> dict[str, str]:
+    """Parts that give ``smooth`` (tr, n, x): the trace and its mirror image through the gain at frequency f, by a plain Fourier sum."""
+    return {
+        "mirrored": "SELECT tr, n, x FROM series UNION ALL SELECT tr, 1439 - n, x FROM series",
+        "spectrum": f"SELECT tr, j, sum(x * cos(2 * pi() * (j * n % 1440) / 1440)) * any_value(g) AS re, -sum(x * sin(2 * pi() * (j * n % 1440) / 1440)) * any_value(g) AS im FROM mirrored, (SELECT j, {gain} AS g FROM (SELECT j, tan(pi() * least(j / 1440::DOUBLE, 0.5 - 1e-12)) AS warp FROM range(721) t(j))) GROUP BY tr, j",
+        "smooth": "SELECT tr, n, sum(CASE WHEN j IN (0, 720) THEN 1 ELSE 2 END * (re * cos(2 * pi() * (j * n % 1440) / 1440) - im * sin(2 * pi() * (j * n % 1440) / 1440))) / 1440 AS x FROM spectrum, (SELECT n FROM range(720) t(n)) GROUP BY tr, n",
+    }
+
+
+def low_pass(edge: str, order: int) -> str:
+    return f"1 / (1 + pow(warp / tan(pi() * {edge}), {2 * order}))"
+
+
+def high_pass(edge: str, order: int) -> str:
+    return f"CASE WHEN warp = 0 THEN 0 ELSE 1 / (1 + pow(tan(pi() * {edge}) / nullif(warp, 0), {2 * order})) END"
+
+
 def sql(select: str, *parts: dict[str, str]) -> str:
     """WITH the parts, each given by name, and the select."""
     named = {k: v for p in parts for k, v in p.items()}
@@ -227,11 +253,26 @@ ORACLE: dict[str, str] = {
     "association_votes": sql("SELECT tr, event, station, round(t, 6) AS t FROM (SELECT tr, event, 0 AS station, t0 AS t FROM events_found UNION ALL SELECT tr, event, 1, t1 FROM events_found UNION ALL SELECT tr, event, 2, t2 FROM events_found) WHERE t IS NOT NULL", ASSOCIATION),
     "topk_clusters": sql(f"SELECT tr, cluster_id, rank, round(energy_peak, 4) AS energy_peak FROM (SELECT *, {DIST} AS rank FROM catalog) WHERE rank <= 3", BASE, LABELLED),
     "denoised_hourly": sql(
-        "SELECT tr, n, round(sum(v) / max(q), 4) + 0.0 AS x FROM (SELECT tr, m * 6 - 12 + w AS n, win * sum(CASE WHEN k IN (0, 16) THEN 1 ELSE 2 END * (re * cos(2 * pi() * k * w / 32) - im * sin(2 * pi() * k * w / 32))) / 32 AS v, 0 AS q FROM (SELECT tr, m, k, CASE WHEN cluster_id IS NULL THEN 0.0 ELSE re END AS re, CASE WHEN cluster_id IS NULL THEN 0.0 ELSE im END AS im FROM cells LEFT JOIN labels USING (tr, k, m)), (SELECT w, 0.5 - 0.5 * cos(2 * pi() * w / 24) AS win FROM range(24) t(w)) GROUP BY tr, m, w, win "
-        "UNION ALL SELECT tr, n, 0.0, q FROM (SELECT DISTINCT tr FROM series), (SELECT m * 6 - 12 + w AS n, sum((0.5 - 0.5 * cos(2 * pi() * w / 24)) * (0.5 - 0.5 * cos(2 * pi() * w / 24))) AS q FROM range(120) a(m), range(24) b(w) GROUP BY 1)) WHERE n BETWEEN 0 AND 719 GROUP BY tr, n", BASE, LABELLED),
+        "SELECT tr, n, round(x, 4) + 0.0 AS x FROM (" + rebuilt("(SELECT tr, m, k, CASE WHEN cluster_id IS NULL THEN 0.0 ELSE re END AS re, CASE WHEN cluster_id IS NULL THEN 0.0 ELSE im END AS im FROM cells LEFT JOIN labels USING (tr, k, m))") + ")", BASE, LABELLED),
+    "denoised_power": sql("SELECT tr, n, round(x, 4) + 0.0 AS x FROM (" + rebuilt("(SELECT tr, m, k, CASE WHEN z > 0 THEN re ELSE 0.0 END AS re, CASE WHEN z > 0 THEN im ELSE 0.0 END AS im FROM tf JOIN scores USING (tr, k, m))") + ")", BASE),
+    "decimated": sql("SELECT tr, n // 4 AS n, round(x, 4) + 0.0 AS x FROM smooth WHERE n % 4 = 0", BASE | filtered(low_pass("0.1", 8))),
+    "denoised_bandpass": sql("SELECT tr, n, round(x, 4) + 0.0 AS x FROM smooth", BASE | filtered(low_pass("(1 / 6::DOUBLE)", 5) + " * " + high_pass("(1 / 48::DOUBLE)", 5))),
+    "cwt_amplitude": sql(
+        "SELECT tr, k, m, round(freq, 6) AS freq, round(re, 3) + 0.0 AS re, round(im, 3) + 0.0 AS im, round(sqrt(re * re + im * im), 3) AS amp FROM (SELECT tr, k, m, any_value(freq) AS freq, "
+        "sum(b * (re * cos(2 * pi() * (j * m % 720) / 720) - im * sin(2 * pi() * (j * m % 720) / 720))) / 720 AS re, sum(b * (re * sin(2 * pi() * (j * m % 720) / 720) + im * cos(2 * pi() * (j * m % 720) / 720))) / 720 AS im "
+        "FROM (SELECT tr, j, k, freq, re, im, 2 * exp(-0.5 * pow(6 / (2 * pi() * freq) * 2 * pi() * j / 720 - 6, 2)) AS b FROM (SELECT tr, j, sum(x * cos(2 * pi() * (j * n % 720) / 720)) AS re, -sum(x * sin(2 * pi() * (j * n % 720) / 720)) AS im FROM series, range(1, 360) t(j) GROUP BY tr, j), "
+        "(SELECT k, 0.5 * pow(2.0::DOUBLE, -k / 4.0) AS freq FROM range(CAST(floor(log2(90) * 4) AS BIGINT) + 1) t(k))) CROSS JOIN range(720) u(m) WHERE b > 1e-14 GROUP BY tr, k, m)", BASE),
+    "detector_components": sql("SELECT tr AS station, interval_id, round(t_start, 4) AS t_start, round(t_end, 4) AS t_end FROM spans", BASE, {"mask_one": "SELECT DISTINCT station AS tr, k, m FROM cells_multi WHERE keep"}, {k: v.replace("FROM mask", "FROM mask_one").replace("JOIN mask ", "JOIN mask_one ") for k, v in LABELLED.items() if k in ("reach", "labels")}, {"catalog": f"SELECT tr, cluster_id, min({STEP} * m - {HALF}) AS time_start, max({STEP} * m + {HALF}) AS time_end FROM labels GROUP BY ALL"}, {k: LABELLED[k] for k in ("grid", "touch", "spans")}),
+    "tolerant_confusion": sql(
+        "SELECT station, CAST(sum(kind = 0 AND lost) AS BIGINT) AS fn, CAST(sum(kind = 0 AND NOT lost) AS BIGINT) AS tp, CAST(sum(CASE WHEN kind = 1 AND wrong THEN greatest(size // 6, 1) ELSE 0 END) AS BIGINT) AS fp, CAST(sum(kind = 2 OR (kind = 1 AND NOT wrong AND sides = 2)) AS BIGINT) AS tn "
+        "FROM (SELECT station, kind, size, missed > 0.5 * size AS lost, sides, size > 6 OR sides = 0 AS wrong FROM (SELECT station, any_value(kind) AS kind, count(*) AS size, sum(NOT g) AS missed, coalesce(arg_min(before, n), 0) + coalesce(arg_max(after, n), 0) AS sides FROM "
+        "(SELECT *, sum(new) OVER (PARTITION BY station ORDER BY n ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN kind = lag(kind) OVER w THEN 0 ELSE 1 END AS new, lag((t AND g)::INT, 1, 0) OVER w AS before, lead((t AND g)::INT, 1, 0) OVER w AS after FROM "
+        "(SELECT *, CASE WHEN t THEN 0 WHEN g THEN 1 ELSE 2 END AS kind FROM (SELECT station, n, max(ratio) > 1.5 AS t, min(ratio) > 1.0 AS g FROM sta_multi GROUP BY ALL)) WINDOW w AS (PARTITION BY station ORDER BY n))) GROUP BY station, run)) GROUP BY station", BASE),
+    "repaired_picks": sql(
+        "SELECT tr, i, round(strong, 6) AS strong, round(CASE WHEN odd AND slope IS NOT NULL THEN middle + slope * (strong - centre) ELSE weak END, 4) AS weak, odd FROM scan LEFT JOIN (SELECT tr, regr_slope(weak, strong) AS slope, avg(weak) AS middle, avg(strong) AS centre FROM scan WHERE NOT odd GROUP BY tr) USING (tr)",
+        PICKS | {"mutual": "SELECT tr, i, ta AS strong, tb AS weak, row_number() OVER (PARTITION BY tr ORDER BY ta, i) AS q FROM found_rank WHERE ri = 1 AND rj = 1"}
+        | {"reach": "scan AS (SELECT tr, i, strong, weak, q, false AS odd, strong AS gs, weak AS gw FROM mutual WHERE q = 1 UNION ALL SELECT tr, i, strong, weak, q, odd, CASE WHEN odd THEN gs ELSE strong END, CASE WHEN odd THEN gw ELSE weak END FROM (SELECT m.*, gs, gw, abs(m.weak - gw - (m.strong - gs)) > abs(m.strong - gs) AS odd FROM scan s JOIN mutual m ON m.tr = s.tr AND m.q = s.q + 1))"}),
     "augment_grid": sql("SELECT tr, level, n, round(x + y / d * level, 6) + 0.0 AS x FROM series JOIN (SELECT n, x AS y, stddev_pop(x) OVER () AS d FROM series WHERE tr = 'error') USING (n), (VALUES (0.5::DOUBLE), (2.0::DOUBLE)) l(level)", BASE),
     "series_daily": "SELECT flag, status, n, coalesce(x, 0.0) AS x FROM (SELECT flag, status, unnest(range(a, b + 1)) AS n FROM (SELECT flag, status, min(n) AS a, max(n) AS b FROM d GROUP BY ALL)) LEFT JOIN d USING (flag, status, n)",
-    "tolerant_confusion": "",
 }
 ORACLE["series_daily"] = "WITH d AS (SELECT l_returnflag AS flag, l_linestatus AS status, CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS n, round(sum(l_extendedprice * (1 - l_discount)), 4) AS x FROM lineitem GROUP BY ALL) " + ORACLE["series_daily"]
-del ORACLE["tolerant_confusion"]

@@ -375,7 +375,7 @@ def augment_grid(spark, d):
 
 @query
 def denoised_power(spark, d):
-    return denoisers.denoise_power(src.hourly(spark, d), TR, P, N, F.col("m") < 60, 1.0)
+    return rounded(denoisers.denoise_power(src.hourly(spark, d), TR, P, N, F.col("m") < 60, 1.0), 4, "x")
 
 
 @query
@@ -385,7 +385,7 @@ def denoised_wavelet(spark, d):
 
 @query
 def denoised_bandpass(spark, d):
-    return transform.bandpass(src.hourly(spark, d), TR, 1.0, 1 / 48, 1 / 6)
+    return rounded(transform.bandpass(src.hourly(spark, d), TR, 1.0, 1 / 48, 1 / 6), 4, "x")
 
 
 @query
@@ -395,7 +395,7 @@ def denoised_sparse(spark, d):
 
 @query
 def cwt_amplitude(spark, d):
-    return transform.cwt(src.hourly(spark, d), TR, 1.0, 4)
+    return rounded(rounded(transform.cwt(src.hourly(spark, d), TR, 1.0, 4), 3, "re", "im", "amp"), 6, "freq")
 
 
 @query
@@ -405,7 +405,7 @@ def envelope_peaks(spark, d):
 
 @query
 def decimated(spark, d):
-    return transform.decimate(src.hourly(spark, d), TR, 4, 1.0)
+    return rounded(transform.decimate(src.hourly(spark, d), TR, 4, 1.0), 4, "x")
 
 
 @query
@@ -436,13 +436,13 @@ def label_octaves(spark, d):
 
 @query
 def detector_components(spark, d):
-    return detectors.detect(src.multi(spark, d), COMP, P, N, component="component")["intervals"]
+    return rounded(detectors.detect(src.multi(spark, d), COMP, P, N, component="component")["intervals"], 4, "t_start", "t_end")
 
 
 @query
 def repaired_picks(spark, d):
     pairs = match.pair(match.near(*_sides(spark, d), TR, 3600.0), TR, strict=True)
-    return match.repair(pairs.select("tr", "i", F.col("ta").alias("strong"), F.col("tb").alias("weak")), TR)
+    return rounded(rounded(match.repair(pairs.select("tr", "i", F.col("ta").alias("strong"), F.col("tb").alias("weak")), TR), 6, "strong"), 4, "weak")
 
 
 def oracle() -> dict[str, str]:

@@ -20,14 +20,34 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     )
 
 
-def stable(df: DataFrame) -> DataFrame:
+def stable(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (local tests) a folder of our own is made.
+    The folder is the session's ``spark.checkpoint.dir``. Only where that is
+    unset and all runs in one process, as in tests, a folder of our own is
+    made; a cluster must name one that its machines share. ``replaces`` is the
+    checkpointed step before in a loop, which nothing reads any more; its
+    files go.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="wavetable-"))
-    return df.checkpoint(eager=True)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that the cluster's machines share")
+            folder = tempfile.mkdtemp(prefix="wavetable-")
+        sc.setCheckpointDir(folder)
+    out = df.checkpoint(eager=True)
+    if replaces is not None:
+        _remove(replaces)
+    return out
+
+
+def _remove(df: DataFrame) -> None:
+    """Deletes the files of a DataFrame that ``stable`` gave as it is."""
+    plan = df._jdf.queryExecution().logical()
+    file = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
+    if file is not None and file.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
