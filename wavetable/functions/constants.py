@@ -37,6 +37,11 @@ def threshold(d: int, rho: float) -> float:
     return (lo + hi) / 2
 
 
+def ratio_of(d: int, rho: float) -> float:
+    """The threshold in units of the mean norm."""
+    return threshold(d, rho) / spread(d)
+
+
 def least_snr(n: int, d: int) -> float:
     """The signal-to-noise ratio taken when none is given."""
     return math.sqrt(2 * math.log(n * d))
@@ -76,6 +81,11 @@ def bin_groups(nf: int, width: int, log: bool = False) -> list[tuple[int, int]]:
     return [(0, 0), *[(a + 1, b + 1) for a, b in inner], (nf - 1, nf - 1)]
 
 
+def group_hertz(groups: list[tuple[int, int]], df: float) -> list[tuple[float, float]]:
+    """The groups' first and last frequencies."""
+    return [(a * df, b * df) for a, b in groups]
+
+
 def in_band(groups: list[tuple[int, int]], low: int, high: int) -> list[tuple[int, int]]:
     """Groups that overlap the bins low .. high."""
     return [(a, b) for a, b in groups if a <= high and b >= low]

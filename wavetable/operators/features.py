@@ -6,8 +6,10 @@ features are columns too; those beyond columns go through ``custom``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,13 +92,40 @@ def shape(table: DataFrame) -> DataFrame:
     )
 
 
-def line(cells: DataFrame, keys: list[str], dt: float, df: float, e: str = "amp") -> DataFrame:
-    """Energy-weighted line f = c0 + c1 t of each cluster, in raw seconds; null where time has no spread."""
-    f, t, w = F.col("k") * F.lit(df), F.col("m") * F.lit(dt), F.col(e)
-    s = cells.groupBy(*keys, "cluster_id").agg(F.sum(w).alias("s"), F.sum(w * t).alias("st"), F.sum(w * f).alias("sf"), F.sum(w * t * t).alias("stt"), F.sum(w * t * f).alias("stf"))
-    det = F.col("s") * F.col("stt") - F.col("st") ** 2
-    c1 = F.when(det > 1e-9 * F.col("s") * F.col("stt"), (F.col("s") * F.col("stf") - F.col("st") * F.col("sf")) / det)
-    return s.select(*keys, "cluster_id", ((F.col("sf") - c1 * F.col("st")) / F.col("s")).alias("c0"), c1.alias("c1"))
+def polynomial(cells: DataFrame, keys: list[str], dt: float, df: float, order: int = 1, e: str = "amp", octaves: bool = False, low: float = 1e-3) -> DataFrame:
+    """(keys, cluster_id, c0, ..., c{order}): each cluster's frequency as a polynomial of its time, by least squares.
+
+    Residuals are multiplied by the energy, so its square is their weight. The
+    time runs from -1 at the cluster's first frame to 1 at its last, which is
+    the domain of the coefficients. ``octaves`` takes the binary logarithm of
+    the frequency, with ``low`` in place of 0. Clusters with no more cells
+    than ``order``, or with fewer frames than coefficients, have nulls. Only
+    sums of powers leave the clusters, and a row for each is solved in Arrow.
+    """
+    f = F.col("k") * F.lit(df)
+    f = F.log2(F.when(f == 0, low).otherwise(f)) if octaves else f
+    by = [*keys, "cluster_id"]
+    whole = Window.partitionBy(*by)
+    first, last = F.min("m").over(whole), F.max("m").over(whole)
+    w = (F.col(e) / F.max(e).over(whole)) ** 2
+    u = F.try_divide(2.0 * (F.col("m") - first), last - first) - 1
+    sums = cells.select(*by, f.alias("_f"), w.alias("_w"), u.alias("_u"), "m").groupBy(*by).agg(
+        F.array(*(F.sum(F.col("_w") * F.pow("_u", F.lit(j))) for j in range(2 * order + 1))).alias("s"),
+        F.array(*(F.sum(F.col("_w") * F.col("_f") * F.pow("_u", F.lit(j))) for j in range(order + 1))).alias("t"),
+        F.count("*").alias("n"), F.count_distinct("m").alias("frames"),
+    )
+    names = [f"c{j}" for j in range(order + 1)]
+
+    def solve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.full((batch.num_rows, order + 1), np.nan)
+            for i, (s, t, n, frames) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("s", "t", "n", "frames")), strict=True)):
+                if n > order and frames > order:
+                    out[i] = np.linalg.solve(np.array([s[j : j + order + 1] for j in range(order + 1)]), t)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in by), *(pa.array(c, from_pandas=True) for c in out.T)], names=[*by, *names])
+
+    kinds = {c.name: c.dataType.simpleString() for c in sums.schema.fields}
+    return sums.mapInArrow(solve, ", ".join([*(f"{c} {kinds[c]}" for c in by), *(f"{c} double" for c in names)]))
 
 
 def arrival(cells: DataFrame, keys: list[str], dt: float, e: str = "amp", mode: str = "first_valley") -> DataFrame:

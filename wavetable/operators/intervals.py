@@ -69,6 +69,12 @@ def merge(intervals: DataFrame, keys: list[str], gap, least=0) -> DataFrame:
     return out.select(*keys, (F.row_number().over(Window.partitionBy(*keys).orderBy("start")) - 1).cast("long").alias("interval_id"), "start", "end")
 
 
+def hulls(labels: DataFrame, keys: list[str], at: str = "m") -> DataFrame:
+    """(keys, interval_id, start, end): from each cluster's first to its last place, united where they touch."""
+    spans = labels.groupBy(*keys, "cluster_id").agg(F.min(at).alias("start"), F.max(at).alias("end"))
+    return merge(spans.drop("cluster_id"), keys, 2)
+
+
 def raster(intervals: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n): the places that integer intervals cover."""
     return intervals.select(*keys, F.explode(F.sequence("start", "end")).alias("n")).distinct()

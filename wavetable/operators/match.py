@@ -59,6 +59,15 @@ def _with_alone(a: DataFrame, b: DataFrame, pairs: DataFrame, keys: list[str]) -
     return pairs.unionByName(alone_a, allowMissingColumns=True).unionByName(alone_b, allowMissingColumns=True)
 
 
+def align(padded: DataFrame, reference: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``padded`` (keys, i, value) with ``index``: the place j in ``reference`` (keys, j, value) of the value of the same rank, -1 for nulls."""
+    by = lambda order: Window.partitionBy(*keys).orderBy(value, order)
+    left = padded.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(by("i")))
+    right = reference.withColumn("_r", F.row_number().over(by("j"))).select(*keys, "_r", F.col("j").alias("index"))
+    found = left.join(right, [*keys, "_r"], "left").select(*keys, "i", "index")
+    return padded.join(found, [*keys, "i"], "left").withColumn("index", F.coalesce("index", F.lit(-1)))
+
+
 def numbered(picks: DataFrame, keys: list[str], name: str) -> DataFrame:
     return picks.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy("t")).cast("long"))
 

@@ -60,6 +60,12 @@ def level(blocks: DataFrame, keys: list[str], rho: float, least: int, branch: st
     return r.groupBy(*by).agg(F.count("*").alias("n"), F.coalesce(*options[branch]).alias("sigma"), F.min("xi").alias("xi"))
 
 
+def to_sigma(cells: DataFrame, bins: int, rho: float, eta: str = "eta") -> DataFrame:
+    """Adds ``sigma``, the deviation behind a threshold ``eta`` on the amplitude of bin k."""
+    xi = F.when(dimension(F.col("k"), bins) == 1, threshold(1, rho)).otherwise(threshold(2, rho))
+    return cells.withColumn("sigma", F.col(eta) / xi)
+
+
 def snr(cells: DataFrame, keys: list[str], groups: list[tuple[int, int]], frame: int, frames: int, rho: float, fraction: float = 0.25, branch: str | None = None, big_rho: float = 4.0) -> DataFrame:
     """Cells with ``sigma``, ``snr`` and ``keep``."""
     blocks = in_blocks(cells, groups, frame, frames)

@@ -25,7 +25,7 @@ def period(cells: DataFrame, keys: list[str], df: float, dt: float, e: str = "am
     """(keys, cluster_id, period): of the centroid or the peak frequency, or the deviation in time about the centroid."""
     f, t, w = F.col("k") * F.lit(df), F.col("m") * F.lit(dt), F.col(e)
     top = F.max(F.struct(F.col(e), (-F.col("k")).alias("k")))
-    value = {"centroid": F.sum(w) / F.sum(f * w), "peak": 1 / (-top["k"] * F.lit(df)), "time": F.sqrt(F.sum(w * t * t) / F.sum(w) - (F.sum(w * t) / F.sum(w)) ** 2)}[how]
+    value = {"centroid": F.try_divide(F.sum(w), F.sum(f * w)), "peak": F.try_divide(F.lit(1.0), -top["k"] * F.lit(df)), "time": F.sqrt(F.sum(w * t * t) / F.sum(w) - (F.sum(w * t) / F.sum(w)) ** 2)}[how]
     return cells.groupBy(*keys, "cluster_id").agg(value.alias("period"))
 
 
@@ -162,27 +162,43 @@ def split_spline(cells: DataFrame, keys: list[str], e: str = "amp", how: str = "
     return curve.groupBy(*keys, "cluster_id").applyInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in by), "phase long"]))
 
 
+def bases(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first place up to each that no higher value cuts off, the least value from there on); one pass with a stack."""
+    start, least, stack = np.empty(len(y), np.int64), np.empty(len(y)), []
+    for i, v in enumerate(y.tolist()):
+        low = v
+        while stack and y[stack[-1]] <= v:
+            low = min(low, least[stack.pop()])
+        start[i], least[i] = stack[-1] + 1 if stack else 0, low
+        stack.append(i)
+    return start, least
+
+
 def peaks(curve: DataFrame, keys: list[str], value: str, at: str = "n", height: float | None = None, prominence: float | None = None, width: float | None = None) -> DataFrame:
     """(keys, at, value, prominence, width): local maxima with their prominence and their width at half of it.
 
     Candidates are found by neighbours' values; their prominence needs the
-    whole curve, so a trace's curve meets in one call.
+    whole curve, so a trace's curve meets in one call, in time that grows with
+    its length and the widths of its peaks.
     """
     kinds = {f.name: f.dataType.simpleString() for f in curve.schema.fields}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(at).reset_index(drop=True)
         y, rows = pdf[value].to_numpy(float), []
-        for i in range(1, len(y) - 1):
-            if not y[i] > y[i - 1] or y[i] < y[i + 1] or (height is not None and y[i] < height):
-                continue
-            above = np.flatnonzero(y > y[i])
-            a, b = above[above < i].max(initial=-1) + 1, above[above > i].min(initial=len(y))
-            p = y[i] - max(y[a : i + 1].min(), y[i:b].min())
-            low = np.flatnonzero(y < y[i] - p / 2)
-            w = low[low > i].min(initial=b) - low[low < i].max(initial=a - 1) - 1
-            if (prominence is None or p >= prominence) and (width is None or w >= width):
-                rows.append((i, p, float(w)))
+        start, left = bases(y)
+        end, right = bases(y[::-1])
+        end, right = len(y) - end[::-1], right[::-1]
+        inner = np.flatnonzero((y[1:-1] > y[:-2]) & (y[1:-1] >= y[2:])) + 1 if len(y) > 2 else np.zeros(0, np.int64)
+        for i in inner[y[inner] >= height].tolist() if height is not None else inner.tolist():
+            p = y[i] - max(left[i], right[i])
+            bar, a, b = y[i] - p / 2, i, i
+            while a > start[i] and y[a - 1] >= bar:
+                a -= 1
+            while b + 1 < end[i] and y[b + 1] >= bar:
+                b += 1
+            if (prominence is None or p >= prominence) and (width is None or b - a + 1 >= width):
+                rows.append((i, p, float(b - a + 1)))
         kept = pdf.iloc[[r[0] for r in rows]].copy()
         return kept.assign(prominence=[r[1] for r in rows], width=[r[2] for r in rows])
 

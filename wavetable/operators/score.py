@@ -102,6 +102,29 @@ def parse_metric(name: str) -> tuple[str, dict]:
     raise ValueError(f"no metric {name!r}")
 
 
+def measure(name: str, keys: list[str]) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """The metric of that name as a function of truth and guess.
+
+    Errors take traces (keys, n, x) of both, flags and cross-entropy (keys, n,
+    flag) and (keys, n, flag) or (keys, n, chance), picks (keys, t) of both.
+    """
+    kind, options = parse_metric(name)
+
+    def run(truth: DataFrame, guess: DataFrame) -> DataFrame:
+        if kind == "picks":
+            from wavetable.operators import match
+
+            found = match.match(match.numbered(truth, keys, "i"), match.numbered(guess, keys, "j"), keys, options["reach"])
+            return rates(picks(found, keys), options["beta"])
+        both = {"lp": ("x", "x"), "flags": ("flag", "flag"), "cross_entropy": ("flag", "chance")}[kind]
+        rows = truth.select(*keys, "n", F.col(both[0]).alias("_truth")).join(guess.select(*keys, "n", F.col(both[1]).alias("_guess")), [*keys, "n"])
+        if kind == "lp":
+            return lp_error(rows, keys, "_truth", "_guess", **options)
+        return rates(flags(rows, keys, "_truth", "_guess"), options["beta"]) if kind == "flags" else cross_entropy(rows, keys, "_truth", "_guess")
+
+    return run
+
+
 def evaluate(cases: Iterable, operator: Callable, metrics: dict[str, Callable], prepare: Callable | None = None) -> list[dict]:
     """Applies the operator to each (input, truth, attributes) and lists its measures; inputs and results are DataFrames."""
     out = []

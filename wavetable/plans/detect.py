@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavetable.functions.constants import bin_groups
-from wavetable.operators import features, intervals, label, match, noise, transform
+from wavetable.operators import features, intervals, label, noise, transform
 from wavetable.params import Spectral
 from wavetable.session import stable
 
@@ -88,7 +88,3 @@ def pick_phases(traces: DataFrame, keys: list[str], height: float, prominence: f
     from wavetable.operators import phases
 
     return phases.peaks(transform.envelope(traces, keys), keys, "x", height=height, prominence=prominence)
-
-
-def associate_picks(picks: DataFrame, keys: list[str], locations: dict, reach: float, vote_rate: float) -> DataFrame:
-    return match.associate(picks, keys, locations, reach, vote_rate)

@@ -201,6 +201,9 @@ MOMENT_SQL = "SELECT tr, cluster_id, sum(amp) AS m00, any_value(f0) AS m10, any_
 ) + f" FROM (SELECT *, sum(amp * k * {DF}) OVER w / sum(amp) OVER w AS f0, sum(amp * m * {STEP}) OVER w / sum(amp) OVER w AS t0 FROM inside WINDOW w AS (PARTITION BY tr, cluster_id)) GROUP BY tr, cluster_id"
 DIST = "row_number() OVER (PARTITION BY tr ORDER BY energy_peak DESC, cluster_id)"
 
+POINTS = {"points": f"SELECT tr, cluster_id, m, k * {DF} AS f, pow(amp / max(amp) OVER w, 2) AS w, 2.0 * (m - min(m) OVER w) / nullif(max(m) OVER w - min(m) OVER w, 0) - 1 AS u FROM inside WINDOW w AS (PARTITION BY tr, cluster_id)"}
+WEIGHED = "SELECT tr, cluster_id, count(DISTINCT m) AS frames, " + ", ".join(f"sum(w{p}) AS {n}" for n, p in (("s", ""), ("su", " * u"), ("suu", " * u * u"), ("s3", " * u * u * u"), ("s4", " * u * u * u * u"), ("sf", " * f"), ("suf", " * u * f"), ("suuf", " * u * u * f"))) + " FROM points GROUP BY tr, cluster_id"
+
 ORACLE: dict[str, str] = {
     "series_hourly": sql("SELECT * FROM series", BASE),
     "sta_lta_ratio": sql(f"SELECT tr, n, {r('ratio')} FROM sta", BASE),
@@ -229,7 +232,27 @@ ORACLE: dict[str, str] = {
         "round(exp(avg(ln(amp))) / avg(amp), 6) AS e_flatness, round(ln(sum(amp)) - sum(amp * ln(amp)) / sum(amp), 6) AS e_entropy FROM inside GROUP BY tr, cluster_id", BASE, LABELLED),
     "catalog_moments": sql("SELECT tr, cluster_id, " + ", ".join(f"round(m{n}, 4) + 0.0 AS m{n}" for n in ["00", "10", "01", "20", "11", "02", "30", "03", "40", "04"]) + ", round(sqrt(m20), 6) AS f_std, round(sqrt(m02), 6) AS t_std, round(CASE WHEN m02 > 0 THEN m04 / (m02 * m02) END, 4) AS t_kurtosis FROM (" + MOMENT_SQL + ")", BASE, LABELLED),
     "catalog_peak_arrival": sql(f"SELECT tr, cluster_id, round(coalesce(max(m) FILTER (WHERE l >= amp), min(m)) * {STEP}, 6) AS arrival FROM (SELECT *, lag(amp) OVER (PARTITION BY tr, cluster_id ORDER BY m) AS l FROM (SELECT i.* FROM inside i JOIN (SELECT tr, cluster_id, arg_min(k, (-amp, k, m)) AS pk, arg_min(m, (-amp, k, m)) AS pm FROM inside GROUP BY ALL) p ON i.tr = p.tr AND i.cluster_id = p.cluster_id AND k = pk AND m <= pm)) GROUP BY ALL", BASE, LABELLED),
-    "catalog_line": sql(f"SELECT tr, cluster_id, round((sf - c1 * st) / s, 6) + 0.0 AS c0, round(c1, 6) + 0.0 AS c1 FROM (SELECT *, CASE WHEN s * stt - st * st > 1e-9 * s * stt THEN (s * stf - st * sf) / (s * stt - st * st) END AS c1 FROM (SELECT tr, cluster_id, sum(amp) AS s, sum(amp * m * {STEP}) AS st, sum(amp * k * {DF}) AS sf, sum(amp * m * {STEP} * m * {STEP}) AS stt, sum(amp * m * {STEP} * k * {DF}) AS stf FROM inside GROUP BY ALL))", BASE, LABELLED),
+    "catalog_line": sql("SELECT tr, cluster_id, round(c0, 6) + 0.0 AS c0, round(c1, 6) + 0.0 AS c1 FROM (SELECT tr, cluster_id, (sf - c1 * su) / s AS c0, c1 FROM (SELECT *, (s * suf - su * sf) / nullif(s * suu - su * su, 0) AS c1 FROM (" + WEIGHED + ")))", BASE, LABELLED, POINTS),
+    "catalog_parabola": sql(
+        "SELECT tr, cluster_id, round(d0 / nullif(d, 0), 4) + 0.0 AS c0, round(d1 / nullif(d, 0), 4) + 0.0 AS c1, round(d2 / nullif(d, 0), 4) + 0.0 AS c2 FROM (SELECT tr, cluster_id, CASE WHEN frames > 2 THEN s * (suu * s4 - s3 * s3) - su * (su * s4 - s3 * suu) + suu * (su * s3 - suu * suu) END AS d, "
+        "sf * (suu * s4 - s3 * s3) - su * (suf * s4 - s3 * suuf) + suu * (suf * s3 - suu * suuf) AS d0, s * (suf * s4 - s3 * suuf) - sf * (su * s4 - s3 * suu) + suu * (su * suuf - suf * suu) AS d1, s * (suu * suuf - suf * s3) - su * (su * suuf - suf * suu) + sf * (su * s3 - suu * suu) AS d2 FROM ("
+        + WEIGHED.replace("* f", "* ln(f) / ln(2)").replace("FROM points", "FROM points_above") + "))", BASE, LABELLED, {"points_above": POINTS["points"].replace("FROM inside", "FROM inside WHERE k > 0")}),
+    "catalog_start": sql(f"SELECT tr, cluster_id, round(min(m) * {STEP}, 6) AS arrival FROM (SELECT i.* FROM inside i JOIN (SELECT tr, cluster_id, arg_min(k, (-amp, k, m)) AS pk FROM inside GROUP BY ALL) p ON i.tr = p.tr AND i.cluster_id = p.cluster_id AND k = pk) GROUP BY ALL", BASE, LABELLED),
+    "component_energy": sql("SELECT station, k, m, round(sqrt(sum(amp * amp)), 4) AS amp FROM tf_multi GROUP BY ALL", BASE),
+    "noise_sigma_robust": sql(f"SELECT tr, g, n, {r('sigma')} FROM (SELECT tr, g, count(*) AS n, coalesce(min_by(s, r) FILTER (WHERE hit), max_by(s, r) FILTER (WHERE r <= n / 2), max_by(s, r) FILTER (WHERE r <= greatest(1, n - 1))) AS sigma FROM rank_high GROUP BY ALL)", BASE),
+    "noise_threshold_sigma": sql(f"SELECT tr, g AS k, round(sigma * xi, 6) AS eta, round(sigma * xi / CASE WHEN g IN (0, {BINS - 1}) THEN {threshold(1, RHO)!r} ELSE {threshold(2, RHO)!r} END, 6) AS sigma FROM sig_high", BASE),
+    "label_hulls": sql("SELECT tr, interval_id, s AS m_start, e AS m_end FROM (" + merged("SELECT tr, min(m) AS s, max(m) AS e FROM labels GROUP BY tr, cluster_id", "tr", 2) + ")", BASE, LABELLED),
+    "cluster_periods": sql(f"SELECT tr, cluster_id, round(sum(amp) / nullif(sum(amp * k * {DF}), 0), 4) AS centroid, round(1 / nullif(arg_min(k, (-amp, k)) * {DF}, 0), 4) AS peak, round(sqrt(sum(amp * m * m * {STEP} * {STEP}) / sum(amp) - pow(sum(amp * m * {STEP}) / sum(amp), 2)), 4) + 0.0 AS time FROM inside GROUP BY ALL", BASE, LABELLED),
+    "cluster_projection": sql("SELECT tr, cluster_id, m, round(c / max(c) OVER (PARTITION BY tr, cluster_id), 6) AS curve FROM (SELECT tr, cluster_id, m, sum(amp) / max(count(*)) OVER (PARTITION BY tr, cluster_id) AS c FROM inside GROUP BY tr, cluster_id, m)", BASE, LABELLED),
+    "cells_smoothed": sql("SELECT a.tr, a.cluster_id, a.k, a.m, round(avg(b.amp), 4) AS amp FROM inside a JOIN inside b ON a.tr = b.tr AND a.cluster_id = b.cluster_id AND abs(a.k - b.k) <= 1 AND abs(a.m - b.m) <= 1 GROUP BY ALL", BASE, LABELLED),
+    "series_chunks": sql("SELECT tr, n // 100 AS chunk_id, count(*) AS samples, round(sum(x), 4) + 0.0 AS total FROM series GROUP BY ALL", BASE),
+    "detrended": sql("SELECT tr, n, round(x - c - s * (n - m), 4) + 0.0 AS x FROM series JOIN (SELECT tr, avg(x) AS c, avg(n) AS m, regr_slope(x, n) AS s FROM series GROUP BY tr) USING (tr)", BASE),
+    "envelope_curve": sql(
+        "SELECT tr, n, round(sqrt(pow(sum(h * (re * cos(2 * pi() * (j * n % 720) / 720) - im * sin(2 * pi() * (j * n % 720) / 720))), 2) + pow(sum(h * (re * sin(2 * pi() * (j * n % 720) / 720) + im * cos(2 * pi() * (j * n % 720) / 720))), 2)) / 720, 4) AS x "
+        "FROM (SELECT tr, j, CASE WHEN j IN (0, 360) THEN 1 ELSE 2 END AS h, sum(x * cos(2 * pi() * (j * n % 720) / 720)) AS re, -sum(x * sin(2 * pi() * (j * n % 720) / 720)) AS im FROM series, range(361) t(j) GROUP BY tr, j), (SELECT n FROM range(720) t(n)) GROUP BY tr, n", BASE),
+    "picks_aligned": sql("SELECT a.tr, a.i, round(a.t, 6) AS t, coalesce(j, -1) AS index FROM (SELECT *, CASE WHEN t IS NOT NULL THEN row_number() OVER (PARTITION BY tr ORDER BY t NULLS LAST, i) END AS q FROM (SELECT tr, i, min(tb) AS t FROM found WHERE i IS NOT NULL GROUP BY ALL)) a LEFT JOIN (SELECT tr, j, row_number() OVER (PARTITION BY tr ORDER BY t, j) AS q FROM (SELECT tr, j, min(tb) AS t FROM found WHERE i IS NOT NULL AND j IS NOT NULL GROUP BY ALL)) b ON a.tr = b.tr AND a.q = b.q", PICKS),
+    "picks_near_points": sql("SELECT a.tr, i, j, round(sqrt(pow(a.t - b.t, 2) + pow(a.station - b.station, 2)), 6) AS d FROM sided a JOIN (SELECT tr, t, station, i AS j FROM sided_errors) b ON a.tr = b.tr AND a.t BETWEEN b.t - 1801 AND b.t + 1801 WHERE sqrt(pow(a.t - b.t, 2) + pow(a.station - b.station, 2)) <= 1800", {name: f"SELECT tr, t, station, row_number() OVER (PARTITION BY tr ORDER BY t, station) AS i FROM (SELECT user_id % 10 AS tr, user_id % 3 AS station, {SECONDS} AS t FROM events WHERE event_type = '{kind}')" for name, kind in (("sided", "purchase"), ("sided_errors", "error"))}),
+    "denoiser_scores": sql("SELECT tr, round(sqrt(sum(pow(g.x - s.x, 2))), 4) AS l2, round(sum(abs(g.x - s.x)) / sum(abs(s.x)), 4) AS rel_l1 FROM series s JOIN (" + rebuilt("(SELECT tr, m, k, CASE WHEN z > 0 THEN re ELSE 0.0 END AS re, CASE WHEN z > 0 THEN im ELSE 0.0 END AS im FROM tf JOIN scores USING (tr, k, m))") + ") g USING (tr, n) GROUP BY tr", BASE),
     "catalog_filtered": sql("SELECT l.tr, l.k, l.m, l.cluster_id FROM labels l SEMI JOIN kept USING (tr, cluster_id)", BASE, LABELLED),
     "catalog_outer_merge": sql("SELECT coalesce(a.tr, b.tr) AS tr, coalesce(a.cluster_id, b.cluster_id) AS cluster_id, round(a.snr_peak, 4) AS snr_peak_old, round(b.snr_peak, 4) AS snr_peak_new, round(b.energy_sum, 4) AS energy_sum FROM (SELECT * FROM catalog WHERE snr_peak > 3) a FULL JOIN (SELECT * FROM catalog WHERE time_end - time_start > 12) b ON a.tr = b.tr AND a.cluster_id = b.cluster_id", BASE, LABELLED),
     "catalog_append": sql("SELECT tr, cluster_id, round(time_start, 4) AS time_start, round(time_end, 4) AS time_end FROM catalog UNION ALL SELECT k.tr, k.cluster_id + coalesce(t.top, 0), round(time_start + 720, 4), round(time_end + 720, 4) FROM kept k LEFT JOIN (SELECT tr, max(cluster_id) AS top FROM catalog GROUP BY tr) t ON k.tr = t.tr", BASE, LABELLED),

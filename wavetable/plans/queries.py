@@ -18,6 +18,7 @@ from wavetable.plans import denoise as denoisers
 from wavetable.plans import detect as detectors
 from wavetable.plans.oracle import CATALOG_COLUMNS, ORACLE
 from wavetable.session import stable
+from wavetable.sources import files
 from wavetable.sources import traces as src
 
 P = Spectral(dt=1.0, window_s=24.0, nfft=32, rho=4.0, size_s=12.0, size_hz=2 / 32)
@@ -229,8 +230,74 @@ def catalog_peak_arrival(spark, d):
 
 @query
 def catalog_line(spark, d):
-    out = features.line(_inside(spark, d), TR, STEP, DF)
-    return out.select("tr", "cluster_id", r("c0").alias("c0"), r("c1").alias("c1"))
+    out = features.polynomial(_inside(spark, d), TR, STEP, DF)
+    return rounded(out, 6, "c0", "c1")
+
+
+@query
+def catalog_parabola(spark, d):
+    out = features.polynomial(_inside(spark, d).where("k > 0"), TR, STEP, DF, 2, octaves=True)
+    return rounded(out, 4, "c0", "c1", "c2")
+
+
+@query
+def catalog_start(spark, d):
+    return rounded(features.arrival(_inside(spark, d), TR, STEP, mode="cluster_start"), 6, "arrival")
+
+
+@query
+def component_energy(spark, d):
+    cells = transform.stft(src.multi(spark, d), COMP, P.window, P.hop, P.fft)
+    return rounded(features.combine_components(cells, ["station"], "amp"), 4, "amp")
+
+
+@query
+def noise_sigma_robust(spark, d):
+    return _sigma(spark, d, 4.0, "robust")
+
+
+@query
+def noise_threshold_sigma(spark, d):
+    blocks = noise.in_blocks(_tf(spark, d), bin_groups(P.bins, 1), P.frame, FRAMES)
+    eta = noise.level(blocks, TR, 4.0, 30, "high").select("tr", F.col("g").cast("long").alias("k"), (F.col("sigma") * F.col("xi")).alias("eta"))
+    return rounded(noise.to_sigma(eta, P.bins, 4.0), 6, "eta", "sigma")
+
+
+@query
+def label_hulls(spark, d):
+    return intervals.hulls(_labels(_cells(spark, d)), TR).withColumnsRenamed({"start": "m_start", "end": "m_end"})
+
+
+@query
+def cluster_periods(spark, d):
+    inside = stable(_inside(spark, d))
+    of = lambda how: phases.period(inside, TR, DF, STEP, how=how).withColumnRenamed("period", how)
+    return rounded(of("centroid").join(of("peak"), [*TR, "cluster_id"]).join(of("time"), [*TR, "cluster_id"]), 4, "centroid", "peak", "time")
+
+
+@query
+def cluster_projection(spark, d):
+    return rounded(phases.project(_inside(spark, d), TR), 6, "curve")
+
+
+@query
+def cells_smoothed(spark, d):
+    return rounded(phases.smooth(_inside(spark, d).select("tr", "cluster_id", "k", "m", "amp"), TR, (1, 1)), 4, "amp")
+
+
+@query
+def series_chunks(spark, d):
+    return rounded(files.chunked(src.hourly(spark, d), 100).groupBy("tr", "chunk_id").agg(F.count("*").alias("samples"), F.sum("x").alias("total")), 4, "total")
+
+
+@query
+def detrended(spark, d):
+    return rounded(transform.detrend(src.hourly(spark, d), TR), 4, "x")
+
+
+@query
+def envelope_curve(spark, d):
+    return rounded(transform.envelope(src.hourly(spark, d), TR), 4, "x")
 
 
 @query
@@ -343,6 +410,26 @@ def association_votes(spark, d):
     return rounded(match.associate(picks, TR, {0: 0.0, 1: 1.0, 2: 2.0}, 7200.0, 0.5), 6, "t")
 
 
+@query
+def picks_aligned(spark, d):
+    found = match.match(*_sides(spark, d), TR, 3600.0)
+    return match.align(found.where("i is not null").groupBy("tr", "i").agg(F.min("tb").alias("t")), found.where("i is not null and j is not null").groupBy("tr", "j").agg(F.min("tb").alias("t")), TR, "t").select("tr", "i", r("t").alias("t"), "index")
+
+
+@query
+def picks_near_points(spark, d):
+    side = lambda kind, name: src.picks(spark, d, kind).withColumn(name, F.row_number().over(Window.partitionBy("tr").orderBy("t", "station")).cast("long"))
+    return rounded(match.near_vectors(side("purchase", "i"), side("error", "j"), TR, ["t", "station"], 1800.0, 2.0), 6, "d")
+
+
+@query
+def denoiser_scores(spark, d):
+    clean = src.hourly(spark, d)
+    guess = stable(denoisers.denoise_power(clean, TR, P, N, F.col("m") < 60, 1.0))
+    rows = score.evaluate([(guess, clean, {})], lambda x: x, {name: score.measure(name, TR) for name in ("l2", "rel l1")})[0]
+    return rounded(rows["l2"].select("tr", F.col("error").alias("l2")).join(rows["rel l1"].select("tr", F.col("error").alias("rel_l1")), TR), 4, "l2", "rel_l1")
+
+
 @query
 def f_beta_flags(spark, d):
     rows = src.table(spark, d, "labels").select((F.col("quality") == 1).alias("truth"), (F.col("toxic") == 0).alias("guess"))
