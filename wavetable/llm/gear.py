@@ -3,8 +3,9 @@
 A gear hash of the last 32 bytes rolls over each text; a chunk ends where the
 hash's low bits are zero, within a least and a largest size, so an insertion
 moves only the borders near it. Chunks are compared by a 128-bit digest. The
-first copy, by document id and position, stays; later ones go if they make a
-run of at least MIN_RUN bytes, as single short chunks recur by chance.
+first copy, by document and position, stays; later ones go if they make a run
+of at least MIN_RUN bytes or the whole text, as single short chunks recur by
+chance.
 """
 
 from __future__ import annotations
@@ -19,10 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavetable.llm.blocks import groups, mix64, narrow, utf8
+from wavetable.session import stable
 
 #: Bytes of a chunk at least and at most, and low bits of the hash that end one.
 LEAST, MOST, MASK = 24, 256, 31
 MIN_RUN = 48
+#: The order of rows without an id, after all others.
+LAST = (1 << 63) - 1
 GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -82,15 +86,15 @@ def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, names=["order", "row", "d0", "d1", "start", "size", "again"])
 
 
-def runs(starts: np.ndarray, sizes: np.ndarray, least: int = MIN_RUN) -> tuple[np.ndarray, np.ndarray]:
-    """(start, end) of the maximal runs of adjacent chunks with at least ``least`` bytes."""
+def runs(starts: np.ndarray, sizes: np.ndarray, least: int = MIN_RUN, whole: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the maximal runs of adjacent chunks with at least ``least`` bytes, or all of ``whole``."""
     order = np.argsort(starts, kind="stable")
     s, e = starts[order].astype(np.int64), (starts + sizes)[order].astype(np.int64)
     if not len(s):
         return s, e
     new = np.concatenate([[True], s[1:] > e[:-1]])
     first, last = s[new], e[np.concatenate([new[1:], [True]])]
-    keep = last - first >= least
+    keep = (last - first >= least) | (last - first == whole)
     return first[keep], last[keep]
 
 
@@ -101,7 +105,7 @@ def _cut(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBat
         for k, spans in enumerate(part.column("spans").to_pylist()):
             body = raw[off[k] : off[k + 1]]
             pairs = np.array([(x["start"], x["size"]) for x in spans or ()], np.int64).reshape(-1, 2)
-            first, last = runs(pairs[:, 0], pairs[:, 1], least)
+            first, last = runs(pairs[:, 0], pairs[:, 1], least, len(body))
             stay = np.ones(len(body), bool)
             for a, b in zip(first.tolist(), last.tolist(), strict=True):
                 stay[a:b] = False
@@ -112,30 +116,31 @@ def _cut(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cols], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
 
 
-def row_key(doc_id, text):
-    """Tells rows with one id apart by their text; equal rows share it."""
-    return F.xxhash64(doc_id, text)
-
-
 def dedupe_chunks(docs: DataFrame, least: int = MIN_RUN) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept) of each row of ``docs``.
 
     Only ``doc_id`` and ``text`` are read. ``spans`` are the removed byte
     ranges of the text's UTF-8 and ``kept`` the other bytes. Null and empty
-    texts have none. The first copy of a chunk is the first one in the text
-    with the smallest id. Rows that share an id take nothing from each other,
-    and rows without an id count as one document after all others. A digest's
-    smallest and largest id are aggregated before the shuffle; only digests of
-    several documents are joined back, where Spark can split a skewed one.
+    texts have none. Documents come in the order of their ids; texts that
+    share an id are documents of their own, in the order of a hash; equal rows
+    with an id are one document, given twice. Rows without an id come last,
+    each a document, in the order in which they were first read. The first
+    copy of a chunk is the first one in the first document that has it. A
+    digest's first document is aggregated before the shuffle; only digests
+    that occur again are joined back, where Spark can split a skewed one. A
+    row is found again by its id and 64 bits of hash of its text.
     """
-    last = F.lit((1 << 63) - 1).cast("long")
-    docs = narrow(docs).select(F.col("doc_id").cast("long"), "text").withColumn("row", row_key(F.col("doc_id"), F.col("text")))
-    every = docs.where("text is not null").select(F.coalesce("doc_id", last).alias("order"), "row", "text").mapInArrow(_chunks, "order long, row long, d0 long, d1 long, start int, size int, again boolean")
-    first = every.where("not again").groupBy("d0", "d1").agg(F.min("order").alias("first"), F.max("order").alias("last")).where("first < last").drop("last")
-    found = every.join(first, ["d0", "d1"], "left").where(F.col("again") | (F.col("order") > F.col("first"))).select("row", "start", "size")
-    spans = found.groupBy("row").agg(F.collect_set(F.struct("start", "size")).alias("spans"))
+    docs = narrow(docs).select(F.col("doc_id").cast("long"), "text")
+    # Rows without an id are numbered once and for all.
+    loose = stable(docs.where("doc_id is null").withColumn("row", F.monotonically_increasing_id())).withColumn("order", F.lit(LAST))
+    docs = docs.where("doc_id is not null").withColumn("row", F.xxhash64("text")).withColumn("order", F.col("doc_id")).unionByName(loose)
+    every = docs.where("text is not null").select("order", "row", "text").mapInArrow(_chunks, "order long, row long, d0 long, d1 long, start int, size int, again boolean")
+    own = F.struct("order", "row")
+    first = every.where("not again").groupBy("d0", "d1").agg(F.min(own).alias("first"), F.count("*").alias("many")).where("many > 1").drop("many")
+    found = every.join(first, ["d0", "d1"], "left").where(F.col("again") | (own > F.col("first"))).select("order", "row", "start", "size")
+    spans = found.groupBy("order", "row").agg(F.collect_set(F.struct("start", "size")).alias("spans"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary"
-    return docs.join(spans, "row", "left").select("doc_id", "text", "spans").mapInArrow(lambda it: _cut(it, least), out)
+    return docs.join(spans, ["order", "row"], "left").select("doc_id", "text", "spans").mapInArrow(lambda it: _cut(it, least), out)
 
 
 def op3_chunk_dedup(spark, sf_dir: str) -> DataFrame:
