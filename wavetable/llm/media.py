@@ -241,7 +241,8 @@ def media_clips(docs: DataFrame, keep_media: bool = False) -> DataFrame:
     ignored, whatever their names). A null text is empty; an empty one is a
     single frame of 255s. Repeated rows and repeated or null ids each give
     their own row; equal texts give equal values. ``keep_media`` adds the
-    stored bytes as ``media``.
+    stored bytes as ``media``. Sizes in RIFF have 32 bits, which a string of
+    Spark, two gigabytes at most, cannot exceed.
     """
     docs = narrow(docs).select(F.col("doc_id").cast("long"), "text")
     return docs.mapInArrow(lambda it: _run(it, keep_media), SCHEMA + (", media binary" if keep_media else ""))

@@ -131,8 +131,8 @@ def fold(doc_id):
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from at most ``sample`` labelled rows of either class outside the held-out fold.
 
-    An id with both labels teaches nothing; a repeated document counts once
-    for each row. The driver gets the sample's features, some kilobytes each.
+    An id with both labels teaches nothing; of rows that share an id one
+    counts. The driver gets the sample's features, some kilobytes each.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~fold(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most")).where("quality = _most").drop("_most")
     known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -142,8 +142,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if not rows:
         return fit([], np.zeros(0))
     picked = docs.sparkSession.createDataFrame(rows, "doc_id long, quality int")
-    there = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text").mapInArrow(_found, "doc_id long, quality int, found binary").collect()
-    there.sort(key=lambda r: (r["doc_id"], bytes(r["found"])))
+    found = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text").mapInArrow(_found, "doc_id long, quality int, found binary")
+    there = sorted(found.groupBy("doc_id", "quality").agg(F.min("found").alias("found")).collect(), key=lambda r: r["doc_id"])
     return fit([np.frombuffer(bytes(r["found"]), np.int32) for r in there], np.array([r["quality"] for r in there]))
 
 
