@@ -58,6 +58,95 @@ def test_reconstruction(spark):
         transform.istft(cells, ["tr"], 12, 12, 16, 60)
 
 
+def test_windows():
+    for size in (8, 9, 24):
+        for name, want in (("hamming", np.hamming), ("blackman", np.blackman), ("bartlett", np.bartlett), ("hann", np.hanning)):
+            assert np.allclose(transform.window(size, name), want(size + 1)[:-1])
+        assert np.allclose(transform.window(size, ("kaiser", 5.0)), np.kaiser(size + 1, 5.0)[:-1])
+        for name in ("nuttall", "blackmanharris", "parzen", "cosine", "flattop", ("gaussian", 3.0), ("tukey", 0.5), ("general_hamming", 0.6)):
+            w = transform.window(size, name)
+            assert len(w) == size and np.allclose(w[1:], w[1:][::-1]) and w.max() <= 1 + 1e-6
+    assert np.allclose(transform.window(8, ("tukey", 1.0)), transform.window(8)) and np.allclose(transform.window(8, ("general_hamming", 0.54)), transform.window(8, "hamming"))
+    with pytest.raises(ValueError):
+        transform.window(8, "saw")
+
+
+@pytest.mark.parametrize("size,hop,mode", [(64, 16, "reflect"), (100, 30, "zero"), (24, 6, "wrap")])
+def test_transform_over_many_chunks(spark, monkeypatch, size, hop, mode):
+    monkeypatch.setattr(transform, "CHUNK", 128)
+    x = RNG.standard_normal(1000)
+    cells = transform.stft(long(spark, {"a": x}), ["tr"], size, hop, 128, mode=mode)
+    y = np.pad(x, size // 2 + size, mode={"zero": "constant"}.get(mode, mode))[size:]
+    got = cells.toPandas().sort_values(["m", "k"])
+    assert got.m.max() == 999 // hop
+    want = np.stack([np.fft.rfft(y[m * hop : m * hop + size] * transform.window(size), 128) for m in range(999 // hop + 1)]).ravel()
+    assert np.allclose(got.re + 1j * got.im, want)
+    back = transform.istft(cells, ["tr"], size, hop, 128, 1000).toPandas().sort_values("n")
+    # Past the centre of the last window's tail samples are known only through the padding.
+    assert np.allclose(back.x[: 999 // hop * hop], x[: 999 // hop * hop])
+
+
+@given(st.lists(st.integers(-5, 5), min_size=1, max_size=60), st.integers(1, 12))
+def test_window_sums(x, size):
+    if len(x) >= size:
+        got = intervals.window_sums(np.array(x, float), size)
+        assert got.tolist() == [sum(x[i : i + size]) for i in range(len(x) - size + 1)]
+
+
+def test_moving_average_over_chunks(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "CHUNK", 64)
+    x = RNG.standard_normal(500)
+    got = intervals.sta_lta(long(spark, {"a": x}), ["tr"], 40, 7).toPandas().sort_values("n")
+    y = np.pad(x, (39, 6), mode="reflect") ** 2
+    assert np.allclose(got.ratio, [y[i + 39 : i + 46].sum() / y[i : i + 40].sum() * 40 / 7 for i in range(500)])
+
+
+def test_wavelet_coefficients(spark):
+    x = RNG.standard_normal(96)
+    got = transform.cwt(long(spark, {"a": x}), ["tr"], 0.5, 3).toPandas()
+    freqs = transform.wavelet_frequencies(96, 0.5, 3)
+    spectrum, f = np.fft.fft(x), np.fft.fftfreq(96, 0.5)
+    for k, centre in enumerate(freqs):
+        gain = np.array([2 * np.exp(-0.5 * (transform.MORLET * q / centre - transform.MORLET) ** 2) if q > 0 else 0 for q in f])
+        part = got[got.k == k].sort_values("m")
+        assert np.allclose(part.freq, centre) and np.allclose(part.re + 1j * part.im, np.fft.ifft(spectrum * gain))
+
+
+def test_sparse_coding_minimises(spark):
+    """The shrinkage has less of its objective than the trace's own coefficients and than none."""
+    n = np.arange(240)
+    x = np.sin(2 * np.pi * 0.1 * n) * (np.abs(n - 120) < 40) + 0.05 * RNG.standard_normal(240)
+    back = transform.sparse_gabor(long(spark, {"a": x}), ["tr"], 24, 6, 0.3).toPandas().sort_values("n").x.to_numpy()
+    assert np.corrcoef(back, x)[0, 1] > 0.9 and np.abs(back[:60]).max() < 0.1 < np.abs(x[:60]).max()
+
+
+def test_debias_fits_what_is_left(spark):
+    n = np.arange(240)
+    x = np.sin(2 * np.pi * 0.125 * n) * (np.abs(n - 120) < 60)
+    run = lambda **o: transform.sparse_gabor(long(spark, {"a": x}), ["tr"], 24, 6, 0.5, **o).toPandas().sort_values("n").x.to_numpy()
+    plain, fitted = run(), run(debias=40)
+    assert np.abs(fitted - x).sum() < 0.5 * np.abs(plain - x).sum()
+    assert np.allclose(run(rounds=400, tolerance=1e-6), run(rounds=400), atol=1e-3)
+
+
+def test_grid_has_no_silent_loss(spark):
+    from wavetable.sources import traces
+
+    rows = spark.createDataFrame([("a", 0, 1.0), ("a", 5, 2.0)], "tr string, n long, x double")
+    assert sorted((r.n, r.x) for r in traces.fill_grid(rows, ["tr"], 6).collect()) == [(0, 1.0), (1, 0.0), (2, 0.0), (3, 0.0), (4, 0.0), (5, 2.0)]
+    with pytest.raises(Exception, match="outside the grid"):
+        traces.fill_grid(rows, ["tr"], 5).collect()
+
+
+def test_persistence_in_octaves():
+    place = np.array([(4, 0), (8, 0), (16, 0), (9, 1), (30, 5)])
+    value = np.array([1.0, 3.0, 2.0, 0.5, 0.7])
+    linear, _ = phases.persistence(value, place, (1, 1), 0.0)
+    assert linear.tolist() == [0, 1, 2, 1, 4]
+    wide, prominence = phases.persistence(value, place, (1, 1), 0.0, octaves=1.0)
+    assert wide.tolist() == [1, 1, 1, 1, 4] and set(prominence) == {1, 4}
+
+
 def test_wavelet_keeps_a_tone(spark):
     x = np.sin(2 * np.pi * 0.1 * np.arange(400)) * np.hanning(400)
     cells = transform.cwt(long(spark, {"a": x}), ["tr"], 1.0, 8)
@@ -157,6 +246,43 @@ def test_moving_average(spark):
     assert np.allclose(got.ratio, want)
 
 
+def test_nearest_interval(spark):
+    rng = np.random.default_rng(2)
+    edges = np.sort(rng.random(20) * 100).reshape(-1, 2)
+    spans = spark.createDataFrame([("a", i, float(s), float(e)) for i, (s, e) in enumerate(edges)], "tr string, interval_id long, t_start double, t_end double")
+    centre = [float(c) for c in rng.random(60) * 120 - 10]
+    items = spark.createDataFrame([("a", i, c) for i, c in enumerate(centre)] + [("b", 99, 1.0)], "tr string, item long, c double")
+    got = {r["item"]: r.interval_id for r in intervals.assign(items, spans, ["tr"], F.col("c")).collect()}
+    far = [[max(s - c, c - e, 0.0) for s, e in edges] for c in centre]
+    assert got == {i: int(np.argmin(f)) for i, f in enumerate(far)}
+
+
+def test_hulls_alignment_and_deviations(spark):
+    rows = [("a", 1, 3), ("a", 1, 6), ("a", 2, 7), ("a", 2, 9), ("a", 3, 20), ("a", 3, 18)]
+    got = intervals.hulls(spark.createDataFrame(rows, "tr string, cluster_id long, m long"), ["tr"]).collect()
+    assert sorted((r.start, r.end) for r in got) == [(3, 9), (18, 20)]
+    padded, reference = [5.0, None, 1.0, 3.0, None], [10.0, 30.0, 20.0]
+    left = spark.createDataFrame([("a", i, v) for i, v in enumerate(padded)], "tr string, i long, v double")
+    right = spark.createDataFrame([("a", j, v) for j, v in enumerate(reference)], "tr string, j long, v double")
+    assert {r.i: r["index"] for r in match.align(left, right, ["tr"], "v").collect()} == {0: 1, 1: -1, 2: 0, 3: 2, 4: -1}
+    eta = noise.to_sigma(spark.createDataFrame([("a", k, 6.0) for k in range(3)], "tr string, k long, eta double"), 3, 4.0).collect()
+    assert {r.k: r.sigma for r in eta} == pytest.approx({0: 6 / constants.threshold(1, 4.0), 1: 6 / constants.threshold(2, 4.0), 2: 6 / constants.threshold(1, 4.0)})
+    assert constants.ratio_of(2, 4.0) == pytest.approx(constants.threshold(2, 4.0) / constants.spread(2)) and constants.group_hertz([(1, 4)], 0.5) == [(0.5, 2.0)]
+
+
+@pytest.mark.parametrize("order,octaves", [(1, False), (2, False), (3, True)])
+def test_polynomial(spark, order, octaves):
+    rng = np.random.default_rng(4)
+    rows = [("a", c, int(k), int(m), float(a)) for c in (1, 2) for k, m, a in zip(rng.integers(0, 12, 30), rng.integers(5 * c, 30, 30), rng.random(30) + 0.1)] + [("a", 3, 4, 7, 1.0), ("a", 3, 5, 7, 2.0)]
+    got = {r.cluster_id: r for r in features.polynomial(spark.createDataFrame(rows, "tr string, cluster_id long, k long, m long, amp double"), ["tr"], 0.5, 0.25, order, octaves=octaves).collect()}
+    for c in (1, 2):
+        k, m, a = (np.array([r[i] for r in rows if r[1] == c], float) for i in (2, 3, 4))
+        f = np.log2(np.where(k == 0, 1e-3, k * 0.25)) if octaves else k * 0.25
+        want = np.polynomial.Polynomial.fit((m - m.min()) * 0.5, f, order, w=a).coef
+        assert [got[c][f"c{j}"] for j in range(order + 1)] == pytest.approx(want.tolist(), rel=1e-6, abs=1e-9)
+    assert got[3].c0 is None
+
+
 def pair_loop(a, b, reach):
     d = np.abs(np.subtract.outer(a, b))
     d[d > reach] = np.inf
@@ -194,6 +320,101 @@ def test_association_and_repair(spark):
     assert [r.i for r in fixed if r.odd] == [5] and {r.i: r.weak for r in fixed}[5] == pytest.approx(10.0)
 
 
+def test_association_plan_does_not_grow(spark):
+    rows = [("e", s, 100.0 * e + 0.1 * s) for e in range(3) for s in range(12)]
+    picks = spark.createDataFrame(rows, "tr string, station int, t double")
+    out = match.associate(picks, ["tr"], {s: float(s) for s in range(12)}, 1.0, 0.6)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") < 20
+    assert {(r.event, r.station, round(r.t, 6)) for r in out.collect()} == {(e + 1, s, round(100.0 * e + 0.1 * s, 6)) for _, s, t in rows for e in range(3)}
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.integers(0, 6), min_size=1, max_size=40))
+def test_bases(y):
+    start, least = phases.bases(np.array(y, float))
+    for i in range(len(y)):
+        a = max([j for j in range(i) if y[j] > y[i]], default=-1) + 1
+        assert (start[i], least[i]) == (a, min(y[a : i + 1]))
+
+
+def test_curve_peaks(spark):
+    y = np.round(RNG.standard_normal(80).cumsum(), 2)
+    got = {r.n: (r.prominence, r.width) for r in phases.peaks(long(spark, {"a": y}), ["tr"], "x").collect()}
+    want = {}
+    for i in range(1, 79):
+        if y[i] > y[i - 1] and y[i] >= y[i + 1]:
+            a = max([j for j in range(i) if y[j] > y[i]], default=-1) + 1
+            b = min([j for j in range(i + 1, 80) if y[j] > y[i]], default=80)
+            p = y[i] - max(y[a : i + 1].min(), y[i:b].min())
+            low = [j for j in range(80) if y[j] < y[i] - p / 2]
+            want[i] = (p, min([j for j in low if j > i], default=b) - max([j for j in low if j < i], default=a - 1) - 1)
+    assert set(got) == set(want) and all(got[i] == pytest.approx(want[i]) for i in want)
+
+
+def test_coloured_noise(spark):
+    flat = long(spark, {"a": np.zeros(4096), "b": np.zeros(4096)})
+    out = score.augment(flat, ["tr"], [2.0], [0.0, 1.0, 2.0], 2).toPandas()
+    again = score.augment(flat.repartition(3), ["tr"], [2.0], [0.0, 1.0, 2.0], 2).toPandas()
+    by = ["tr", "level", "colour", "repeat", "n"]
+    assert np.array_equal(out.sort_values(by).x, again.sort_values(by).x) and len(out) == 2 * 3 * 2 * 4096
+    for (_, _, colour, _), part in out.groupby(by[:-1]):
+        power, f = np.abs(np.fft.rfft(part.sort_values("n").x))[1:] ** 2, np.arange(1, 2049)
+        slope = np.polyfit(np.log(f), np.log(power), 1)[0]
+        assert part.x.std() == pytest.approx(2.0, rel=0.05) and slope == pytest.approx(-colour, abs=0.15)
+    gone = score.augment(flat.withColumn("x", F.lit(1.0)), ["tr"], [0.0], repeats=40, dropout=0.5).groupBy("tr", "repeat").agg(F.min("x").alias("a"), F.max("x").alias("b")).collect()
+    assert {(r.a, r.b) for r in gone} == {(0.0, 0.0), (1.0, 1.0)}
+
+
+def test_measures_by_name(spark):
+    a, b = long(spark, {"a": [3.0, 0.0, 4.0]}), long(spark, {"a": [3.0, 5.0, 4.0]})
+    assert score.measure("l1", ["tr"])(a, b).first().error == 5.0 and score.measure("rel l2", ["tr"])(a, b).first().error == pytest.approx(1.0)
+    picks = lambda ts: spark.createDataFrame([("a", t) for t in ts], "tr string, t double")
+    assert score.measure("picks2.5 f0.5", ["tr"])(picks([1.0, 9.0]), picks([2.0, 30.0])).select("tp", "fp", "fn").first() == (1, 1, 1)
+    flag = lambda vs, name="flag": spark.createDataFrame([("a", n, v) for n, v in enumerate(vs)], f"tr string, n long, {name} {'double' if name == 'chance' else 'boolean'}")
+    assert score.measure("f1", ["tr"])(flag([True, False, True]), flag([True, True, False])).first().f == pytest.approx(0.5, abs=1e-6)
+    assert score.measure("bce", ["tr"])(flag([True, False]), flag([0.5, 0.5], "chance")).first().cross_entropy == pytest.approx(np.log(2))
+    got = score.evaluate([(b, a, {"case": 1})], lambda x: x.withColumn("x", F.col("x") - 1), {"l1": score.measure("l1", ["tr"])})
+    assert got[0]["case"] == 1 and got[0]["l1"].first().error == 6.0
+
+
+def brute_basins(value, place, reach, least):
+    """Peaks' basins by lowering the level one point at a time over plain sets."""
+    order = sorted(range(len(value)), key=lambda i: (-value[i], tuple(place[i])))
+    basins = []
+    for i in order:
+        if value[i] <= 0:
+            continue
+        near = [b for b in basins if any(all(abs(p - q) <= r for p, q, r in zip(place[i], place[j], reach)) for j in b["in"])]
+        if not near:
+            basins.append({"top": i, "in": {i}, "names": {i: i}})
+            continue
+        next_to = [j for b in near for j in b["in"] if all(abs(p - q) <= r for p, q, r in zip(place[i], place[j], reach))]
+        home = min(next_to, key=lambda j: (-value[j], j))
+        whole = {"top": None, "in": {i}, "names": {}}
+        tops = sorted((b["top"] for b in near), key=lambda t: (-value[t], t))
+        for b in near:
+            whole["in"] |= b["in"]
+            whole["names"] |= b["names"]
+        whole["names"][i] = whole["names"][home]
+        for t in tops[1:]:
+            if value[t] - value[i] < least:
+                whole["names"] = {j: tops[0] if n == t else n for j, n in whole["names"].items()}
+        whole["top"] = tops[0]
+        basins = [b for b in basins if b not in near] + [whole]
+    return {j: n for b in basins for j, n in b["names"].items()}
+
+
+def test_persistence_without_merging():
+    rng = np.random.default_rng(11)
+    for _ in range(5):
+        place = np.argwhere(rng.random((7, 8)) < 0.8)
+        value = rng.random(len(place)).round(3) + 0.01
+        basin, prominence = phases.persistence(value, place, (1, 1), 0.0)
+        want = brute_basins(value.tolist(), place.tolist(), (1, 1), 0.0)
+        assert basin.tolist() == [want[i] for i in range(len(value))]
+        assert prominence[int(np.argmax(value))] == pytest.approx(value.max())
+
+
 def test_scores(spark):
     assert score.parse_metric("rel l2") == ("lp", {"relative": True, "p": 2.0})
     assert score.parse_metric("picks2.5 f0.5") == ("picks", {"reach": 2.5, "beta": 0.5})

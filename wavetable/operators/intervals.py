@@ -28,13 +28,13 @@ def window_sums(x: np.ndarray, size: int) -> np.ndarray:
     return np.where(start % size == 0, onward[:many], onward[:many] + upto[size - 1 : size - 1 + many])
 
 
-def _ratios(batches: Iterable[pa.RecordBatch], keys: list[str], long: int, short: int, overlap: int) -> Iterator[pa.RecordBatch]:
+def _ratios(batches: Iterable[pa.RecordBatch], keys: list[str], long: int, short: int, overlap: int, chunk: int) -> Iterator[pa.RecordBatch]:
     left = long - overlap
     for batch in batches:
         at, found = [], []
-        for _, c, n, v in filled(batch, CHUNK + left + max(short, overlap) - 1):
-            many = min(CHUNK, n - c * CHUNK)
-            at.append(c * CHUNK + np.arange(many))
+        for _, c, n, v in filled(batch, chunk + left + max(short, overlap) - 1):
+            many = min(chunk, n - c * chunk)
+            at.append(c * chunk + np.arange(many))
             found.append(window_sums(v[left:], short)[:many] / (window_sums(v, long)[:many] + 1e-16) * (long / short))
         if found:
             yield pa.RecordBatch.from_arrays([*repeated(batch, keys, list(map(len, at))), pa.array(np.concatenate(at)), pa.array(np.concatenate(found))], names=[*keys, "n", "ratio"])
@@ -46,9 +46,9 @@ def sta_lta(traces: DataFrame, keys: list[str], long: int, short: int, overlap:
     Chunks of a trace come with the samples before and after that they need,
     so no task holds a trace.
     """
-    left = long - overlap
-    cut = chunks(traces.withColumn("x", characteristic(F.col("x"), kind)), keys, left, CHUNK + left + max(short, overlap) - 1, CHUNK, F.ceil(F.col("_size") / CHUNK))
-    out = cut.mapInArrow(lambda it: _ratios(it, keys, long, short, overlap), schema_of(traces, keys, "n long, ratio double"))
+    left, chunk = long - overlap, CHUNK
+    cut = chunks(traces.withColumn("x", characteristic(F.col("x"), kind)), keys, left, chunk + left + max(short, overlap) - 1, chunk, F.ceil(F.col("_size") / chunk))
+    out = cut.mapInArrow(lambda it: _ratios(it, keys, long, short, overlap, chunk), schema_of(traces, keys, "n long, ratio double"))
     return out.where(F.col("n") % step == 0) if step > 1 else out
 
 

@@ -48,17 +48,24 @@ def largest_gap(prominence: np.ndarray, least: int = 1, most: int | None = None)
     return float(p[least - 1 + int(np.argmax(gap))])
 
 
-def persistence(value: np.ndarray, place: np.ndarray, reach: tuple[int, ...], least: float) -> tuple[np.ndarray, dict[int, float]]:
+def persistence(value: np.ndarray, place: np.ndarray, reach: tuple[int, ...], least: float, octaves: float | None = None) -> tuple[np.ndarray, dict[int, float]]:
     """(basin of each point, prominence of each peak): a watershed from above; basins that meet merge while the lower peak stands out by less than ``least``.
 
     The base level is 0, so the highest peak's prominence is its value.
-    Points of value 0 or less belong to no basin (-1).
+    Points of value 0 or less belong to no basin (-1). ``octaves`` replaces
+    the reach in the first dimension by a ratio, of one place at least.
     """
     order = np.lexsort((*place.T[::-1], -value))
     at = {tuple(p): i for i, p in enumerate(place.tolist())}
     moves = [m for m in np.stack(np.meshgrid(*[np.arange(-r, r + 1) for r in reach], indexing="ij"), -1).reshape(-1, len(reach)).tolist() if any(m)]
     up, prominence = np.full(len(value), -1), {}
 
+    def near(p: list[int]) -> list[tuple]:
+        if octaves is None:
+            return [tuple(a + b for a, b in zip(p, m, strict=True)) for m in moves]
+        ks = range(min(p[0] - 1, round(p[0] * 2**-octaves)), max(p[0] + 1, round(p[0] * 2**octaves)) + 1)
+        return [q for k in ks for m in range(p[1] - reach[1], p[1] + reach[1] + 1) if (q := (k, m)) != tuple(p)]
+
     def top(i: int) -> int:
         while up[i] != i:
             up[i] = up[up[i]]
@@ -68,7 +75,7 @@ def persistence(value: np.ndarray, place: np.ndarray, reach: tuple[int, ...], le
     for i in order.tolist():
         if value[i] <= 0:
             continue
-        around = [j for m in moves if (j := at.get(tuple(np.add(place[i], m).tolist()))) is not None and up[j] >= 0]
+        around = [j for q in near(place[i].tolist()) if (j := at.get(q)) is not None and up[j] >= 0]
         if not around:
             up[i], prominence[i] = i, float(value[i])
             continue
@@ -85,7 +92,7 @@ def persistence(value: np.ndarray, place: np.ndarray, reach: tuple[int, ...], le
     return np.array([top(i) if up[i] >= 0 else -1 for i in range(len(value))]), prominence
 
 
-def split_persistent(cells: DataFrame, keys: list[str], reach: tuple[int, int] = (1, 1), least: float | None = None, e: str = "amp", most: int | None = None) -> DataFrame:
+def split_persistent(cells: DataFrame, keys: list[str], reach: tuple[int, int] = (1, 1), least: float | None = None, e: str = "amp", most: int | None = None, octaves: float | None = None) -> DataFrame:
     """(keys, cluster_id, k, m, phase): basins of the energy on the plane, from 0 by their first frame."""
     kinds = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
 
@@ -93,9 +100,9 @@ def split_persistent(cells: DataFrame, keys: list[str], reach: tuple[int, int] =
         value, place = pdf[e].to_numpy(float), pdf[["k", "m"]].to_numpy(np.int64)
         bar = least
         if bar is None:
-            _, prominence = persistence(value, place, reach, 0.0)
+            _, prominence = persistence(value, place, reach, 0.0, octaves)
             bar = largest_gap(np.array(list(prominence.values())), 1, most) if prominence else 0.0
-        basin, _ = persistence(value, place, reach, bar)
+        basin, _ = persistence(value, place, reach, bar, octaves)
         names = pd.DataFrame({"b": basin, "m": pdf["m"]}).groupby("b")["m"].min().reset_index().sort_values(["m", "b"])
         number = {b: n for n, b in enumerate(names.loc[names.b >= 0, "b"])}
         return pdf.drop(columns=[e]).assign(phase=[number.get(b, -1) for b in basin])

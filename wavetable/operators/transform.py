@@ -290,8 +290,14 @@ def detrend(traces: DataFrame, keys: list[str], kind: str = "linear") -> DataFra
     return traces.join(fit, keys).withColumn("x", F.col("x") - F.col("_c") - slope * (F.col("n") - F.col("_n"))).drop("_c", "_n", "_s")
 
 
-def sparse_gabor(traces: DataFrame, keys: list[str], size: int, hop: int, penalty: float, rounds: int = 30) -> DataFrame:
-    """(keys, n, x): the trace from few coefficients, by accelerated soft thresholding on a tight frame; a task holds one trace."""
+def sparse_gabor(traces: DataFrame, keys: list[str], size: int, hop: int, penalty: float, rounds: int = 30, tolerance: float = 0.0, debias: int = 0) -> DataFrame:
+    """(keys, n, x): the trace from few coefficients, by accelerated soft thresholding on a tight frame; a task holds one trace.
+
+    Rounds end early once the coefficients move by less than ``tolerance`` of
+    their norm. ``debias`` is the number of conjugate-gradient steps that then
+    fit the coefficients that are left to the trace by least squares, without
+    the penalty.
+    """
     win = window(size)
     rate = np.sqrt((win**2).reshape(-1, hop).sum(axis=0)) if size % hop == 0 else None
     if rate is None:
@@ -318,7 +324,21 @@ def sparse_gabor(traces: DataFrame, keys: list[str], size: int, hop: int, penalt
             mag = np.abs(g)
             new = g * np.maximum(0, 1 - penalty / np.maximum(mag, 1e-300))
             t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
+            moved = np.linalg.norm(new - c)
             z, c, t = new + (t - 1) / t2 * (new - c), new, t2
+            if moved <= tolerance * np.linalg.norm(c):
+                break
+        support = c != 0
+        r = np.where(support, fwd(pad - back(c)), 0)
+        p, left = r, np.vdot(r, r).real
+        for _ in range(debias):
+            if left <= 1e-24 * max(1.0, np.vdot(c, c).real):
+                break
+            q = np.where(support, fwd(back(p)), 0)
+            step = left / np.vdot(p, q).real
+            c, r = c + step * p, r - step * q
+            before, left = left, np.vdot(r, r).real
+            p = r + left / before * p
         return back(c)[lead : lead + n]
 
     return _filtered(traces, keys, change)

@@ -19,9 +19,11 @@ def seconds(ts: Column) -> Column:
 
 
 def fill_grid(sums: DataFrame, keys: list[str], length: int) -> DataFrame:
-    """Every key with n = 0 .. length - 1, and 0 where there is no sample."""
+    """Every key with n = 0 .. length - 1, and 0 where there is no sample; one outside is an error."""
+    inside = F.col("n").between(0, length - 1)
+    sums = sums.withColumn("x", F.when(inside, F.col("x")).otherwise(F.raise_error(F.concat(F.lit(f"sample outside the grid of {length}: "), F.col("n").cast("string")))))
     grid = sums.select(*keys).distinct().withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(length - 1).cast("long"))))
-    return grid.join(sums, [*keys, "n"], "left").withColumn("x", F.coalesce("x", F.lit(0.0)))
+    return grid.join(sums, [*keys, "n"], "full").withColumn("x", F.coalesce("x", F.lit(0.0)))
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
