@@ -8,6 +8,8 @@ import regex
 
 #: Up to here every code point has been assigned, with one general category, in all Unicode versions in use.
 SETTLED = "ɏ"
+#: Pre-tokens that a worker remembers, and characters of one at most; longer ones are worked out each time.
+REMEMBERED, LONGEST = 400_000, 64
 
 
 def settled(text: str) -> bool:
@@ -23,14 +25,16 @@ def settled(text: str) -> bool:
 class Pieces(dict):
     """What ``make`` gives for a pre-token, made once while it stays in the cache."""
 
-    def __init__(self, make, most: int = 400_000):
+    def __init__(self, make):
         super().__init__()
-        self._make, self._most = make, most
+        self._make = make
 
     def __missing__(self, piece: str):
-        if len(self) >= self._most:
-            self.clear()
-        out = self[piece] = self._make(piece)
+        out = self._make(piece)
+        if len(piece) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = out
         return out
 
 

@@ -22,12 +22,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from wavetable.llm.blocks import groups, narrow
-from wavetable.llm.pretokens import settled, splitter
+from wavetable.llm.pretokens import LONGEST, REMEMBERED, settled, splitter
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 LIMIT = 512
-#: Distinct pre-tokens that a worker remembers.
-TABLE = 400_000
 
 
 class Counts:
@@ -59,11 +57,12 @@ class Counts:
         """(tokens, distinct pre-tokens) of each text; the latter is None where the text was counted whole."""
         each = [self.frequencies(t) if self.by_piece and settled(t) else None for t in texts]
         distinct = set().union(*(x[0] for x in each if x))
-        if len(self.known) + len(distinct) > TABLE:
+        if len(self.known) + len(distinct) > REMEMBERED:
             self.known.clear()
         new = [p for p in distinct if p not in self.known]
-        self.known.update(zip(new, map(len, self.library.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        pieces = self.known
+        counted = dict(zip(new, map(len, self.library.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+        pieces = {p: self.known[p] for p in distinct if p in self.known} | counted
+        self.known.update((p, n) for p, n in counted.items() if len(p) <= LONGEST)
         return [(sum([f * pieces[p] for p, f in x[0].items()]) + x[1], len(x[0])) if x else (len(self.library.encode(t, add_special_tokens=False).ids), None) for t, x in zip(texts, each, strict=True)]
 
 
