@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -50,6 +49,8 @@ def codes(values: pa.Array) -> np.ndarray:
 
 def repeated(word: np.ndarray, doc: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Marks words in windows that their document has twice or more; exact, by doubling (window: a power of two)."""
+    import pandas as pd
+
     n = len(word)
     covered = np.zeros(n + 1, np.int64)
     if n >= window:

@@ -226,7 +226,7 @@ def _sql() -> str:
         f" UNION ALL SELECT * REPLACE (k + 1 AS k) FROM ({step}) WHERE k < {SQL_SWEEPS})"
     )
     parts.append(f"p AS (SELECT source, lang, topic, least(1.0, weight / n) AS probability FROM s WHERE k = {SQL_SWEEPS})")
-    u = f"('0x' || substr(md5(w.doc_id || ':{SEED}'), 1, 12))::BIGINT / {16**12}.0::DOUBLE"
+    u = f"('0x' || substr(md5(coalesce(w.doc_id::VARCHAR, '') || ':{SEED}'), 1, 12))::BIGINT / {16**12}.0::DOUBLE"
     return (
         "WITH RECURSIVE " + ",\n".join(parts) + f"\nSELECT w.*, round(coalesce(p.probability, 1.0), 4) AS probability, {u} < coalesce(p.probability, 1.0) AS sampled FROM w LEFT JOIN p"
         " ON w.source IS NOT DISTINCT FROM p.source AND w.lang IS NOT DISTINCT FROM p.lang AND w.topic IS NOT DISTINCT FROM p.topic"
