@@ -6,7 +6,7 @@ from tests.conftest import same
 from wavetable.plans.queries import QUERIES, oracle
 
 ORACLE = oracle()
-FAST = [q for q in QUERIES if q in ORACLE and q != "label_cells_multitrace"]
+FAST = [q for q in QUERIES if q in ORACLE]
 
 
 @pytest.mark.parametrize("name", FAST)

@@ -63,10 +63,10 @@ def cells(src: str, sig: str, keys: str) -> str:
     return f"SELECT c.*, sigma, amp / (sigma + 1e-8) AS snr, amp > sigma * xi AND m >= {EDGE} AND m < {FRAMES - EDGE - 1} AS keep FROM {src} c JOIN {sig} z ON {' AND '.join(f'c.{k} = z.{k}' for k in keys.split(', '))} AND c.k = z.g"
 
 
-def labels(mask: str, keys: str, dims: str, least: str) -> tuple[str, str]:
-    """(recursive part's name and body, labelled cells) of a mask."""
+def labels(mask: str, keys: str, dims: str, least: str, near: str | None = None) -> tuple[str, str]:
+    """(recursive part's name and body, labelled cells) of a mask; ``near`` tells which cells b touch r."""
     d = dims.split(", ")
-    near = " AND ".join(f"abs(b.{x} - r.{x}) <= 1" for x in d)
+    near = near or " AND ".join(f"abs(b.{x} - r.{x}) <= 1" for x in d)
     root = ", ".join(f"r{x}" for x in d)
     code = f"CAST(r{d[0]} AS BIGINT)"
     for x in d[1:]:
@@ -112,6 +112,7 @@ BASE |= {
 }
 WALK, LABELS = labels("mask", "tr", "k, m", "max(k) - min(k) + 1 >= 2 AND max(m) - min(m) + 1 >= 2")
 WALK_C, LABELS_C = labels("mask_multi", "component", "c, k, m", "max(k) - min(k) + 1 >= 2 AND max(m) - min(m) + 1 >= 2 AND count(DISTINCT c) >= 2")
+WALK_O, LABELS_O = labels("mask", "tr", "k, m", "max(m) - min(m) + 1 >= 2", "abs(b.m - r.m) <= 1 AND b.k BETWEEN least(r.k - 1, round_even(r.k * pow(2.0::DOUBLE, -0.5), 0)) AND greatest(r.k + 1, round_even(r.k * pow(2.0::DOUBLE, 0.5), 0))")
 HALF = f"({STEP} * m / (m + 1) / 2)"
 LABELLED: dict[str, str] = {
     "reach": WALK,
@@ -225,6 +226,7 @@ ORACLE: dict[str, str] = {
     "mask_any_component": sql("SELECT station, k, m, bool_or(keep) AS keep FROM cells_multi GROUP BY ALL", BASE),
     "label_cells": sql("SELECT tr, k, m, cluster_id FROM labels", BASE, LABELLED),
     "label_cells_multitrace": sql("SELECT component, c, k, m, cluster_id FROM labels", BASE, {"reach": WALK_C, "labels": LABELS_C}),
+    "label_octaves": sql("SELECT tr, k, m, cluster_id FROM labels", BASE, {"reach": WALK_O, "labels": LABELS_O}),
     "cluster_extent_filter": sql("SELECT tr, cluster_id, min(k) AS k_lo, max(k) AS k_hi, min(m) AS m_lo, max(m) AS m_hi, count(*) AS cells FROM labels GROUP BY ALL HAVING max(k) - min(k) >= 2 AND max(m) - min(m) >= 2", BASE, LABELLED),
     "catalog_bbox": sql(f"SELECT tr, cluster_id, {CATALOG_OUT} FROM catalog", BASE, LABELLED),
     "catalog_energy_stats": sql(
