@@ -503,6 +503,22 @@ def test_files(spark, tmp_path):
     assert Spectral.from_dict(PRESETS["denoise"].as_dict()) == PRESETS["denoise"]
 
 
+def test_detector_on_files(spark, tmp_path):
+    from wavetable.sources import synthetic
+
+    df = synthetic.bursts(spark, 1, 1, 3000).withColumn("delta", F.lit(0.005)).drop("component").cache()
+    p = Spectral(**(PRESETS["components"].as_dict() | {"band_hz": (2.0, 30.0), "size_hz": 4.0}))
+    for name in ("one.parquet", "two.parquet"):
+        df.coalesce(1).write.parquet(str(tmp_path / "in" / name))
+    used = detectors.detect_on_files(spark, f"{tmp_path}/in/*", ["station"], p, 3000, str(tmp_path / "out"), kind="parquet")
+    got, params = files.load(spark, str(tmp_path / "out"), ["catalog", "intervals"])
+    whole = detectors.detect(df.select("station", "n", "x"), ["station"], p, 3000)["catalog"].collect()
+    per = got["catalog"].groupBy("source_file").count().collect()
+    assert used == p == Spectral.from_dict(params) and len(per) == 2 and {r["count"] for r in per} == {len(whole)} and whole
+    with pytest.raises(ValueError):
+        files.one_step(df.withColumn("delta", F.col("n") * 1.0))
+
+
 def test_streaming(spark, sf, tmp_path):
     from wavetable.sources import traces
     from wavetable.streaming import streams

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavetable.functions.constants import bin_groups
 from wavetable.operators import features, intervals, label, noise, transform
 from wavetable.params import Spectral
 from wavetable.session import stable
+from wavetable.sources import files
 
 
 def cells_of(traces: DataFrame, keys: list[str], p: Spectral, length: int) -> DataFrame:
@@ -55,6 +56,32 @@ def detect(traces: DataFrame, keys: list[str], p: Spectral, length: int, compone
     return {"cells": cells, "labels": labels, "catalog": catalog, "likelihood": curve, "intervals": found, "picks": top}
 
 
+def detect_on_files(spark: SparkSession, path: str, keys: list[str], p: Spectral, length: int, out: str, names: tuple[str, ...] = ("catalog", "intervals", "picks"), component: str | None = None, kind: str | None = None, chunk: int | None = None) -> Spectral:
+    """Runs ``detect`` on every file of traces (keys, n, x and, if there, delta) under ``path`` and writes the relations to ``out``.
+
+    A file is a key of its own (``source_file``), by which results are
+    partitioned, so all files are one job and each keeps its results apart.
+    ``chunk`` cuts traces into pieces of so many samples, keys too
+    (``chunk_id``). Where the files' sampling step is not ``p.dt``, the
+    parameters are taken over to it; files of several steps are an error. A
+    later run replaces only the files that it reads. Returns the parameters
+    used, which are saved too.
+    """
+    rows = files.read_any(spark, path, kind)
+    if "delta" in rows.columns:
+        step = files.one_step(rows)
+        p = p if step == p.dt else p.with_step(step)
+    by = ["source_file", *keys]
+    if chunk is not None:
+        rows = files.chunked(rows, chunk).withColumn("n", F.col("n") % chunk)
+        by, length = [*by, "chunk_id"], chunk
+    found = detect(rows.select(*by, "n", "x"), by, p, length, component)
+    for name in names:
+        found[name].write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_file").parquet(f"{out}/{name}")
+    files.save({}, out, p.as_dict(), spark=spark)
+    return p
+
+
 def detect_sta_lta(traces: DataFrame, keys: list[str], long: int, short: int, level: float, gap: int, least: int = 0, over: list[str] | None = None, how: str = "max") -> dict[str, DataFrame]:
     """Curve, intervals and peaks of the moving-average detector; ``over`` keeps these keys and aggregates the rest."""
     curve = intervals.sta_lta(traces, keys, long, short)

@@ -46,9 +46,8 @@ def one_step(headers: DataFrame) -> float:
     return float(rows[0][0])
 
 
-def save(relations: Mapping[str, DataFrame], path: str, params: Mapping | None = None, partition_by: list[str] | None = None) -> None:
+def save(relations: Mapping[str, DataFrame], path: str, params: Mapping | None = None, partition_by: list[str] | None = None, spark: SparkSession | None = None) -> None:
     """Each relation as a Parquet folder of its name, and the parameters as JSON."""
-    spark = None
     for name, df in relations.items():
         spark = df.sparkSession
         (df.write.mode("overwrite").partitionBy(*partition_by) if partition_by else df.write.mode("overwrite")).parquet(f"{path}/{name}")
