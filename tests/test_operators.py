@@ -488,6 +488,19 @@ def test_scale_invariance(spark):
     assert masks[0] == masks[1] and masks[0]
 
 
+def test_replaced_checkpoints_go(spark):
+    import os
+
+    from wavetable.session import stable
+
+    where = lambda df: df._jdf.queryExecution().logical().rdd().getCheckpointFile().get().removeprefix("file:")
+    a = stable(spark.range(100).repartition(3))
+    old = where(a)
+    assert os.path.isdir(old)
+    b = stable(a.withColumn("x", F.col("id") * 2), a)
+    assert not os.path.exists(old) and os.path.isdir(where(b)) and b.agg(F.sum("x")).first()[0] == 9900
+
+
 def test_files(spark, tmp_path):
     df = long(spark, {"a": [3.0, 1.0, 2.0]})
     assert files.pack(df, ["tr"]).first().x == [3.0, 1.0, 2.0]
@@ -535,6 +548,25 @@ def test_streaming(spark, sf, tmp_path):
     assert got == want
 
 
+def test_streaming_frames_and_sessions(spark, tmp_path):
+    from wavetable.streaming import streams
+
+    rows = [("a", 10 * i, float(i % 4)) for i in range(30)] + [("b", s, 1.0) for s in (0, 20, 200, 215, 900)]
+    df = spark.createDataFrame(rows, "tr string, s long, x double").select("tr", F.timestamp_seconds("s").alias("ts"), "x")
+    df.write.parquet(str(tmp_path / "in"))
+    for name, f in (("frames", lambda x: streams.frame_energy(x, ["tr"], "60 seconds", "30 seconds", "1 hour")), ("runs", lambda x: streams.sessions(x, ["tr"], "30 seconds", "1 hour"))):
+        q = f(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName(name).outputMode("complete").start()
+        q.processAllAvailable()
+        q.stop()
+    frames = {(r.tr, r.window.start.timestamp()): r.energy for r in spark.table("frames").collect()}
+    want = {}
+    for tr, s, x in rows:
+        for start in range(s // 30 * 30 - 30, s // 30 * 30 + 1, 30):
+            want[tr, float(start)] = want.get((tr, float(start)), 0) + x * x
+    assert frames == want
+    assert sorted((r.tr, r.session_window.start.timestamp(), r.n) for r in spark.table("runs").collect()) == [("a", 0.0, 30), ("b", 0.0, 2), ("b", 200.0, 2), ("b", 900.0, 1)]
+
+
 def test_synthetic_and_export(spark, tmp_path):
     from wavetable.sources import synthetic
 

@@ -42,7 +42,7 @@ def ratio_of(d: int, rho: float) -> float:
     return threshold(d, rho) / spread(d)
 
 
-def least_snr(n: int, d: int) -> float:
+def least_snr(n: float, d: int) -> float:
     """The signal-to-noise ratio taken when none is given."""
     return math.sqrt(2 * math.log(n * d))
 

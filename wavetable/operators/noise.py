@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavetable.functions.constants import divide, least_count, spread, threshold
+from wavetable.functions.constants import divide, least_count, least_snr, spread, threshold
 
 #: Added to the level before dividing.
 TINY = 1e-8
@@ -66,10 +66,12 @@ def to_sigma(cells: DataFrame, bins: int, rho: float, eta: str = "eta") -> DataF
     return cells.withColumn("sigma", F.col(eta) / xi)
 
 
-def snr(cells: DataFrame, keys: list[str], groups: list[tuple[int, int]], frame: int, frames: int, rho: float, fraction: float = 0.25, branch: str | None = None, big_rho: float = 4.0) -> DataFrame:
-    """Cells with ``sigma``, ``snr`` and ``keep``."""
+def snr(cells: DataFrame, keys: list[str], groups: list[tuple[int, int]], frame: int, frames: int, rho: float | None, fraction: float = 0.25, branch: str | None = None, big_rho: float = 4.0) -> DataFrame:
+    """Cells with ``sigma``, ``snr`` and ``keep``; without ``rho`` it follows from the mean length of the frames' blocks."""
     blocks = in_blocks(cells, groups, frame, frames)
-    first = divide(frames, frame)[0]
+    spans = divide(frames, frame)
+    first = spans[0]
+    rho = rho or least_snr(sum(z - a for a, z in spans) / len(spans), 2)
     least = least_count(first[1] - first[0] + 1, fraction)
     levels = level(blocks, keys, rho, least, branch or ("high" if rho >= big_rho else "low"))
     out = blocks.join(levels.drop("n"), [*keys, "g", "b"])

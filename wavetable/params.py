@@ -13,7 +13,7 @@ class Spectral:
     window_s: float
     overlap: float = 0.75
     nfft: int | None = None
-    rho: float = 8.0
+    rho: float | None = 8.0
     big_rho: float = 4.0
     least_fraction: float = 0.25
     frame_s: float | None = None

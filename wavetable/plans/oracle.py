@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wavetable.functions.constants import bin_groups, spread, threshold
+from wavetable.functions.constants import bin_groups, least_snr, spread, threshold
 
 EPOCH = "TIMESTAMP '2024-01-01'"
 HOUR = f"CAST(floor((epoch_us(ts) - epoch_us({EPOCH})) / 3600000000) AS BIGINT)"
@@ -223,6 +223,7 @@ ORACLE: dict[str, str] = {
     "noise_sigma_grouped": sql(f"SELECT tr, CAST(g AS BIGINT) AS g, n, {r('sigma')} FROM sig_groups", BASE),
     "trim_mask": sql("SELECT tr, k, m FROM mask", BASE),
     "snr_cells": sql(f"SELECT tr, k, m, {r('snr')}, keep FROM cells", BASE),
+    "snr_cells_auto": sql(f"SELECT tr, k, m, {r('snr')}, keep FROM cells_auto", BASE, {"rank_auto": ranked("tf", "tr", "k", least_snr(FRAMES - 1, 2)), "sig_auto": sigma("rank_auto", "tr", "low"), "cells_auto": cells("tf", "sig_auto", "tr")}),
     "mask_any_component": sql("SELECT station, k, m, bool_or(keep) AS keep FROM cells_multi GROUP BY ALL", BASE),
     "label_cells": sql("SELECT tr, k, m, cluster_id FROM labels", BASE, LABELLED),
     "label_cells_multitrace": sql("SELECT component, c, k, m, cluster_id FROM labels", BASE, {"reach": WALK_C, "labels": LABELS_C}),

@@ -7,6 +7,7 @@ six of them, a bin one thirty-second of a cycle an hour.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -181,6 +182,12 @@ def snr_cells(spark, d):
     return _cells(spark, d).select("tr", "k", "m", r("snr").alias("snr"), "keep")
 
 
+@query
+def snr_cells_auto(spark, d):
+    cells = detectors.cells_of(src.hourly(spark, d), TR, replace(P, rho=None), N)
+    return cells.select("tr", "k", "m", r("snr").alias("snr"), "keep")
+
+
 @query
 def mask_any_component(spark, d):
     return noise.over_components(_cells_multi(spark, d), ["station", "k", "m"], "keep")
