@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import os
+import threading
+import time
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,13 +28,35 @@ def narrow(docs: DataFrame) -> DataFrame:
     return docs
 
 
+#: Seconds between two looks at whether this worker is idle, and the share of them that it works for if not.
+LOOK, WORKS = 1.0, 0.05
+_tidied = {"process": 0}
+
+
 def release() -> None:
-    """Gives freed memory of this worker back to the machine; idle workers stay alive for a while."""
+    """Gives freed memory of this worker back to the machine."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError):
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def tidy() -> None:
+    """From now on this worker gives its freed memory back when it falls idle; Spark keeps idle workers for a minute."""
+    if _tidied["process"] != os.getpid():
+        _tidied["process"] = os.getpid()
+        threading.Thread(target=_give_back, daemon=True).start()
+
+
+def _give_back() -> None:
+    worked, before = True, time.process_time()
+    while True:
+        time.sleep(LOOK)
+        busy = time.process_time() - before >= WORKS * LOOK
+        if worked and not busy:
+            release()
+        worked, before = busy, time.process_time()
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls are empty."""
     column = pc.fill_null(column.cast(pa.large_binary()), b"")
@@ -45,6 +70,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def groups(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = GROUP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most ``limit`` text bytes, or one document."""
+    tidy()
     for batch in batches:
         n = batch.num_rows
         if not n:

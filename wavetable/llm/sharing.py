@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from wavetable.llm.blocks import release
+from wavetable.llm.blocks import release, tidy
 
 #: Fingerprints that a bucket should hold.
 BUCKET = 1 << 20
@@ -49,6 +49,7 @@ def print_rows(block: int, keys: np.ndarray, buckets: int, note: bytes | None =
 
 
 def _mark(table: pa.Table, many: int) -> pa.Table:
+    tidy()
     each = [np.frombuffer(b, "<u4") for b in table.column("prints").to_pylist()]
     every = np.sort(np.concatenate(each))
     twice, count = np.unique(every[1:][every[1:] == every[:-1]], return_counts=True)

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavetable.llm.blocks import gathered, mix64, narrow, pack, release, span_index, unpack, utf8
+from wavetable.llm.blocks import gathered, mix64, narrow, pack, release, span_index, tidy, unpack, utf8
 from wavetable.llm.sharing import HOT, buckets_for, flags_of, mark_shared, print_rows
 from wavetable.session import stable
 
@@ -120,6 +120,7 @@ class Block:
     """A block's documents: ids, which ids there are, offsets, digests and bytes."""
 
     def __init__(self, note: bytes, body: bytes):
+        tidy()
         self.ids, self.valid, self.off, digest = unpack(note, [np.int64, bool, np.int64, np.int64])
         self.digest = digest.reshape(-1, 2)
         size = int(self.off[-1])
@@ -347,6 +348,7 @@ def _again(doc: np.ndarray, size: np.ndarray, raw: np.ndarray) -> tuple[np.ndarr
 
 def _judge(table: pa.Table) -> pa.Table:
     """Rows (block, blob) with marks (local, start, end) from a bucket's segments and settled marks."""
+    tidy()
     unzip = zstandard.ZstdDecompressor()
     out: list[tuple[int, bytes]] = []
     seg = []
@@ -422,20 +424,23 @@ def _replace(block_table: pa.Table, marks: pa.Table, names: list[str]) -> pa.Tab
 
 
 def marked(docs: DataFrame, block_bytes: int, hot: int) -> tuple[DataFrame, DataFrame]:
-    """The checkpointed blocks of ``docs`` with all its columns, and the marks of bytes to remove from them."""
-    cut = narrow(docs).mapInArrow(lambda it: _blocks(it, block_bytes), "block long, size long, note binary, body binary, extra binary")
-    blocks = stable(cut.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block"))
+    """The checkpointed blocks of ``docs`` with all its columns, and the marks of bytes to remove from them.
+
+    Blocks meet segments and marks by the same exchange, which Spark makes once.
+    """
+    blocks = stable(narrow(docs).mapInArrow(lambda it: _blocks(it, block_bytes), "block long, size long, note binary, body binary, extra binary"))
     size = blocks.agg(F.sum("size")).first()[0] or 0
     buckets = buckets_for(size * 3 / (LENGTH - GRAM + 2))
     flags = mark_shared(blocks.mapInArrow(lambda it: _prints(it, buckets), "block long, bucket int, n int, note binary, prints binary"), hot)
+    # The aggregate is cut off from the join, so that a digest of very many texts is a skewed join that Spark can split.
     texts = blocks.mapInArrow(_digests, "block long, local int, doc_id long, d0 long, d1 long")
-    least = texts.groupBy("d0", "d1").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    least = stable(texts.groupBy("d0", "d1").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"))
     copies = texts.join(least, ["d0", "d1"]).where("doc_id > least").select("block", F.lit(-1).alias("bucket"), F.col("local").alias("n"), F.lit(None).cast("binary").alias("flags"), F.lit(None).cast("binary").alias("hot"))
     info = flags.select("block", "bucket", "n", "flags", "hot").unionByName(copies)
     sort_in = max(LEAST_BUCKETS, size // SORTED)
-    bodies = blocks.select("block", "note", "body")
+    bodies = blocks.drop("size")
     sent = bodies.groupBy("block").cogroup(info.groupBy("block")).applyInArrow(lambda b, i: _around(b, i, sort_in), "bucket int, kind int, block long, blob binary")
-    return blocks, sent.groupBy("bucket").applyInArrow(_judge, "block long, blob binary")
+    return bodies, sent.groupBy("bucket").applyInArrow(_judge, "block long, blob binary")
 
 
 def remove_repeats(docs: DataFrame, texts: bool = True, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
@@ -451,7 +456,7 @@ def remove_repeats(docs: DataFrame, texts: bool = True, block_bytes: int = BLOCK
     """
     blocks, marks = marked(docs.select(F.col("doc_id").cast("long"), "text"), block_bytes, hot)
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>" + ", kept binary" * texts
-    return blocks.drop("extra", "size").groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(lambda b, m: _report(b, m, texts), out)
+    return blocks.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(lambda b, m: _report(b, m, texts), out)
 
 
 def cut_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
@@ -462,10 +467,21 @@ def cut_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES, hot: int = HOT)
     """
     names = docs.columns
     blocks, marks = marked(docs, block_bytes, hot)
-    return blocks.drop("size").groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(lambda b, m: _replace(b, m, names), docs.schema)
+    return blocks.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(lambda b, m: _replace(b, m, names), docs.schema)
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """The query: what is removed from every document."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), texts=False).drop("spans")
 
+
+#: The least document of each 50-byte window, runs of the windows to remove, and the pieces between.
+SQL = f"""WITH d AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS size FROM documents),
+w AS MATERIALIZED (SELECT doc_id, i, b[i + 1:i + {LENGTH}] AS s FROM (SELECT doc_id, b, unnest(range(size - {LENGTH - 1})) AS i FROM d)),
+hit AS (SELECT doc_id, i FROM w JOIN (SELECT s, min(doc_id) AS least FROM w GROUP BY s) USING (s) WHERE doc_id > least),
+run AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {LENGTH} THEN 0 ELSE 1 END AS new FROM hit)),
+span AS MATERIALIZED (SELECT doc_id, min(i) AS a, max(i) + {LENGTH} AS z FROM run GROUP BY doc_id, r),
+cut AS (SELECT doc_id, a, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM (SELECT doc_id, a, z FROM span UNION ALL SELECT doc_id, size, NULL FROM d)),
+kept AS (SELECT doc_id, string_agg(hex(b[p + 1:a]), '' ORDER BY a, p) AS k FROM cut JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, size AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(c, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, sum(z - a) AS n, count(*) AS c FROM span GROUP BY doc_id) USING (doc_id)"""
