@@ -3,39 +3,53 @@
 A document is the set of its distinct word shingles, hashed to 64 bits.
 Two exact bounds find candidates. A set that links with another shares most
 of its shingles, so one of which too many occur nowhere else is out; a fixed
-range of the hashes is enough to tell for most. Sets of a size band that link
-differ in at most K shingles, so of K + 1 parts of the hash range one at
-least holds the same shingles in both. Sets with an equal part form groups;
-groups that overlap are cut into tiles of consecutive sizes. In a tile the
-bit counts of hashed bitmaps bound each overlap from above, and only pairs
-that pass and are not yet connected get the exact intersection of their
-sorted arrays. Equal sets are one node throughout.
+range of the hashes is enough to tell for most. Two sets that link have one
+shingle at least in common among the first few of each, in any one order of
+all shingles; the order here is by rarity (in no other set, in few blocks of
+documents, in many), so that few sets meet by chance. Sets that meet form
+groups; groups that overlap are cut into blocks of consecutive sizes, and
+pairs of blocks whose sizes can link are tiles. In a tile the bit counts of
+hashed bitmaps bound each overlap from above, and only pairs that pass and
+are not yet connected get the exact intersection of their sorted arrays.
+Equal sets are one node throughout.
+
+In a group of several blocks the links inside blocks come first, then those
+between the sets that stand for what is connected by then, dealt to other
+blocks each round. What is left over is compared with all the rest, so that a
+large group of near copies costs in proportion to its size, and only sets
+that link with few of their group cost a comparison with all of it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavetable.llm.blocks import groups, mix64, narrow, pack, release, unpack
+from wavetable.llm.blocks import gathered, groups, mix64, narrow, pack, release, tidy, unpack
 from wavetable.llm.components import components
 from wavetable.llm.host_rules import words
-from wavetable.llm.sharing import buckets_for, flags_of, mark_shared, split
+from wavetable.llm.sharing import buckets_for, flags_of, mark_shared, print_rows
 from wavetable.session import stable
 
-#: Ratio of neighbouring band borders.
-RATIO = 1.5
-#: Sets and shingles of a block; a tile is two blocks at most.
-BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
+#: Text bytes of a block of documents, and the blocks beside its own in which a shingle is common.
+BLOCK_BYTES, COMMON = 16 << 20, 8
+
+
+@dataclass(frozen=True)
+class Tiling:
+    """Sets and shingles of a block, as expected; a tile is two blocks at most."""
+
+    sets: int = 1024
+    shingles: int = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -50,9 +64,9 @@ class Rule:
         """The largest set that one of ``size`` can link with."""
         return size * self.den // self.num
 
-    def apart(self, a, b):
-        """In how many shingles linked sets of sizes a and b can differ at most."""
-        return (a + b) * (self.den - self.num) // (self.den + self.num)
+    def prefix(self, size):
+        """How many of a set's first shingles have one in common with those of any set it links with."""
+        return size - (size * self.num + self.den - 1) // self.den + 1
 
     def share(self):
         """The share of the hash range that tells whether a set may link: twice what a linked set can have alone, and a little more."""
@@ -69,19 +83,6 @@ class Rule:
         return self.den * common >= self.num * (a + b - common)
 
 
-@lru_cache(maxsize=8)
-def bands(rule: Rule, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lower borders of the bands up to size ``most``, and each band's number of parts.
-
-    A band takes the pairs whose smaller set is in it.
-    """
-    low = [1]
-    while low[-1] <= most:
-        low.append(max(low[-1] + 1, int(low[-1] * RATIO)))
-    top = np.array(low[1:]) - 1
-    return np.array(low), rule.apart(top, rule.largest(top)) + 1
-
-
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     """The ascending distinct shingle hashes of each text; A to Z count as a to z."""
     n = len(texts)
@@ -113,83 +114,71 @@ def class_of(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes(), seed=len(shingles))).astype(np.int64))
 
 
-def part_keys(sets: list[np.ndarray], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the set, key) of the parts of all sets, in every band where each can be in a pair."""
-    size = np.array([len(s) for s in sets], np.int64)
-    low, parts = bands(rule, int(size.max(initial=1)) + 1)
-    flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
-    at = np.concatenate([[0], np.cumsum(size)])
-    own = np.searchsorted(low, size, "right") - 1
-    index, keys, level = [], [], 0
-    while True:
-        band = own - level
-        there = (band >= 0) & (size > 0)
-        there[there] &= size[there] <= rule.largest(low[band[there] + 1] - 1)
-        if not there.any():
-            break
-        level += 1
-        chosen = np.flatnonzero(there & (parts[np.maximum(band, 0)] > 1))
-        if not len(chosen):
-            continue
-        p = parts[band[chosen]]
-        base = np.cumsum(p) - p
-        row = np.repeat(np.arange(len(chosen)), size[chosen])
-        member = np.concatenate([np.arange(at[i], at[i + 1]) for i in chosen])
-        part = base[row] + ((flat[member] >> np.uint64(32)) * p[row].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        edge = np.searchsorted(part, np.arange(p.sum() + 1))
-        first = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(flat[member]))])
-        value = first[edge[1:]] - first[edge[:-1]]
-        number = np.arange(p.sum()) - np.repeat(base, p)
-        where = np.repeat(band[chosen], p).astype(np.uint64) << np.uint64(32) | number.astype(np.uint64)
-        index.append(np.repeat(chosen, p))
-        keys.append(mix64(value ^ mix64(where + np.uint64(1))))
-    if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(index), np.concatenate(keys).view(np.int64)
-
-
 def _blocks(batches: Iterable[pa.RecordBatch], rule: Rule, buckets: int) -> Iterator[pa.RecordBatch]:
     """Rows (block, bucket, n, note, prints); one row's note has the block's documents, and which bucket's differs by block."""
     block = TaskContext.get().partitionId() << 32
-    top = np.uint64(rule.sampled())
-    for part in groups(batches):
-        sets = shingle_sets(part.column("text"), rule.width)
-        size = np.array([len(s) for s in sets], np.int64)
-        name = np.array([class_of(s) for s in sets], np.int64)
-        known, first, local = np.unique(name, return_index=True, return_inverse=True)
-        low = [sets[i][: np.searchsorted(sets[i], top)] for i in first.tolist()]
-        key = np.concatenate(low)
-        owner = np.repeat(np.arange(len(known)), [len(s) for s in low])
-        keys, entry, count = np.unique(key, return_inverse=True, return_counts=True)
-        edge, prints = split(keys * np.uint64(rule.stretch()), buckets)
-        # An entry of one class only is undecided: (entry, class) for those.
-        alone = count[entry] == 1
-        ids = part.column("doc_id")
-        note = pack([pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), pc.is_valid(ids).to_numpy(zero_copy_only=False), size, name, local.astype(np.int32), entry[alone].astype(np.int32), np.bincount(owner[alone], minlength=len(known)).astype(np.int32)])
-        at, carrier = range(buckets), block % buckets
+    top, press = np.uint64(rule.sampled()), zstandard.ZstdCompressor(level=1)
+    for whole in gathered(batches, BLOCK_BYTES):
+        size, local, number, low = [], [], {}, []
+        for part in groups([whole]):
+            for x in shingle_sets(part.column("text"), rule.width):
+                size.append(len(x))
+                local.append(number.setdefault(class_of(x), len(number)))
+                if len(low) < len(number):
+                    low.append(x[: np.searchsorted(x, top)].copy())
+        keys, entry, count = np.unique(np.concatenate(low), return_inverse=True, return_counts=True)
+        ids = whole.column("doc_id")
+        step = np.diff(entry, prepend=0)
+        arrays = [pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), pc.is_valid(ids).to_numpy(zero_copy_only=False), np.array(size, np.int64), np.array(list(number), np.int64), np.array(local, np.int32)]
+        arrays += [(step & 0xFFFF).astype(np.uint16), (step >> 16).astype(np.int32), np.array([len(x) for x in low], np.int32), np.packbits(count > 1)]
         # Prints within a bucket stay distinct unless two keys share their 32 bits; those are decided as shared, which is safe.
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(buckets, block)), pa.array(np.arange(buckets, dtype=np.int32)), pa.array(np.diff(edge).astype(np.int32)), pa.array([note if i == carrier else None for i in at], pa.binary()), pa.array([prints[edge[i] : edge[i + 1]].tobytes() for i in at], pa.binary())],
-            names=["block", "bucket", "n", "note", "prints"],
-        )
+        yield print_rows(block, keys * np.uint64(rule.stretch()), buckets, press.compress(pack(arrays)))
         block += 1
 
 
-def _documents(table: pa.Table) -> pa.Table:
-    """(doc_id, n_shingles, class, alone) of a block from its answered rows."""
+def _documents(table: pa.Table, rule: Rule) -> pa.Table:
+    """(doc_id, n_shingles, class, ranks) of a block from its answered rows.
+
+    One document of each class that may link has ``ranks``: a bit for each of
+    its sampled shingles in the order of hashes, set if another set has it
+    too, and then a bit for each, set if it is common.
+    """
+    tidy()
     rows = table.sort_by("bucket").to_pylist()
-    note = next(r["note"] for r in rows if r["note"] is not None)
-    ids, valid, size, name, local, entry, many = unpack(note, [np.int64, bool, np.int64, np.int64, np.int32, np.int32, np.int32])
-    lonely = np.bincount(np.repeat(np.arange(len(many)), many)[~flags_of(rows)[entry]], minlength=len(many))
-    return pa.table({"doc_id": pa.array(ids, mask=~valid), "n_shingles": size, "class": pa.array(name, mask=size == 0), "alone": lonely[local].astype(np.int64)})
+    note = zstandard.ZstdDecompressor().decompress(next(r["note"] for r in rows if r["note"] is not None))
+    ids, valid, size, name, local, low, high, many, several = unpack(note, [np.int64, bool, np.int64, np.int64, np.int32, np.uint16, np.int32, np.int32, np.uint8])
+    entry = np.cumsum(low + (high.astype(np.int64) << 16))
+    shared, common = flags_of(rows), flags_of(rows, "hot")
+    shared = (shared | np.unpackbits(several, count=len(shared)).astype(bool))[entry]
+    common = common[entry]
+    edge = np.concatenate([[0], np.cumsum(many)])
+    alone = np.diff(np.concatenate([[0], np.cumsum(~shared)])[edge])
+    ranks, done = [None] * len(ids), np.zeros(len(name), bool)
+    for i in np.flatnonzero(valid & (size > 0) & (alone[local] * rule.den <= size * (rule.den - rule.num))).tolist():
+        k = local[i]
+        if not done[k]:
+            done[k] = True
+            ranks[i] = np.concatenate([np.packbits(x[edge[k] : edge[k + 1]]) for x in (shared, common)]).tobytes()
+    release()
+    return pa.table({"doc_id": pa.array(ids, mask=~valid), "n_shingles": size, "class": pa.array(name[local], mask=size == 0), "ranks": pa.array(ranks, pa.binary())})
 
 
 def document_classes(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(doc_id, n_shingles, class, alone) of each row: ``alone`` of the set's sampled shingles occur in no other set that is known of."""
+    """(doc_id, n_shingles, class, ranks) of each row; without ``ranks`` in any row a class links with none."""
     size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = buckets_for(size / 6 * rule.share())
     rows = narrow(docs).mapInArrow(lambda it: _blocks(it, rule, buckets), "block long, bucket int, n int, note binary, prints binary")
-    return mark_shared(rows).groupBy("block").applyInArrow(_documents, "doc_id long, n_shingles long, class long, alone long")
+    return mark_shared(rows, COMMON).groupBy("block").applyInArrow(lambda t: _documents(t, rule), "doc_id long, n_shingles long, class long, ranks binary")
+
+
+def prefix_keys(members: np.ndarray, ranks: bytes, rule: Rule) -> np.ndarray:
+    """The shingles in a set's prefix that another set has too, by rarity and hash."""
+    m = int(np.searchsorted(members, np.uint64(rule.sampled())))
+    bits = np.unpackbits(np.frombuffer(ranks, np.uint8)).reshape(2, -1)[:, :m] if m else np.zeros((2, 0), np.uint8)
+    rank = np.full(len(members), 3, np.uint8)
+    rank[:m] = bits[0] + bits[1]
+    first = np.argsort(rank, kind="stable")[: rule.prefix(len(members))]
+    return members[first[rank[first] > 0]]
 
 
 def _sets(batches: Iterable[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
@@ -197,14 +186,15 @@ def _sets(batches: Iterable[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBa
         sets = shingle_sets(part.column("text"), rule.width)
         there = np.array([class_of(s) if len(s) else 0 for s in sets]) == part.column("class").to_numpy()
         where = np.flatnonzero(there).tolist()
-        yield pa.RecordBatch.from_arrays([part.column("class").take(pa.array(where, pa.int64())), pa.array([len(sets[i]) for i in where], pa.int64()), pa.array([sets[i].tobytes() for i in where], pa.binary())], names=["class", "n", "members"])
+        at = pa.array(where, pa.int64())
+        yield pa.RecordBatch.from_arrays([part.column("class").take(at), pa.array([len(sets[i]) for i in where], pa.int64()), part.column("ranks").take(at), pa.array([sets[i].tobytes() for i in where], pa.binary())], names=["class", "n", "ranks", "members"])
 
 
-def _parts(batches: Iterable[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterable[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     for part in groups(batches, "members"):
-        sets = [np.frombuffer(m, np.uint64) for m in part.column("members").to_pylist()]
-        index, keys = part_keys(sets, rule)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), part.column("class").take(pa.array(index))], names=["key", "class"])
+        keys = [prefix_keys(np.frombuffer(m, np.uint64), r, rule) for m, r in zip(part.column("members").to_pylist(), part.column("ranks").to_pylist(), strict=True)]
+        index = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), part.column("class").take(pa.array(index))], names=["key", "class"])
 
 
 def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
@@ -215,10 +205,11 @@ def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
     return np.packbits(out, axis=1).view(np.uint64)
 
 
-def link_tile(sets: list[np.ndarray], block: np.ndarray, rule: Rule) -> tuple[np.ndarray, int]:
+def link_tile(sets: list[np.ndarray], block: np.ndarray, rule: Rule, known: np.ndarray | None = None) -> tuple[np.ndarray, int]:
     """A label for each set of a tile, equal where links connect them, and the number of exact intersections.
 
-    In a tile of two blocks, pairs inside either block are left to its own tile.
+    In a tile of two blocks, pairs inside either block are left to its own
+    tile. Sets of one ``known`` component are connected from the start.
     """
     order = np.argsort([len(s) for s in sets], kind="stable")
     sets, block = [sets[i] for i in order], block[order]
@@ -227,6 +218,9 @@ def link_tile(sets: list[np.ndarray], block: np.ndarray, rule: Rule) -> tuple[np
     bits = min(1 << 16, max(256, 1 << int(2 * size.max() - 1).bit_length()))
     maps = np.concatenate([bitmaps(sets[i : i + 256], bits) for i in range(0, len(sets), 256)])
     label, exact = np.arange(len(sets)), 0
+    if known is not None:
+        _, first, inverse = np.unique(known[order], return_index=True, return_inverse=True)
+        label = first[inverse]
     for a in range(len(sets)):
         end = int(np.searchsorted(size, rule.largest(size[a]), "right"))
         b = np.arange(a + 1, end)
@@ -248,49 +242,89 @@ def link_tile(sets: list[np.ndarray], block: np.ndarray, rule: Rule) -> tuple[np
 
 
 def _link(table: pa.Table, rule: Rule) -> pa.Table:
-    table = table.group_by("class").aggregate([("members", "min"), ("block", "min")])
+    tidy()
+    table = table.group_by("class").aggregate([("members", "min"), ("side", "min"), ("known", "min")])
     sets = [np.frombuffer(m, np.uint64) for m in table.column("members_min").to_pylist()]
-    node = table.column("class").to_numpy()
-    label, _ = link_tile(sets, table.column("block_min").to_numpy(), rule)
-    moved = np.flatnonzero(label != np.arange(len(label)))
+    node, known = table.column("class").to_numpy(), table.column("known_min").to_numpy()
+    label, _ = link_tile(sets, table.column("side_min").to_numpy(), rule, known)
+    moved = np.flatnonzero(known != known[label])
     release()
-    return pa.table({"a": node[moved], "b": node[label[moved]]})
+    return pa.table({"a": known[moved], "b": known[label[moved]]}) if len(node) else pa.table({"a": node, "b": node})
 
 
-def candidate_sets(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
-    """(class, n, members) of the classes that may link with another one."""
-    may = F.col("alone") * rule.den <= F.col("n_shingles") * (rule.den - rule.num)
-    chosen = classes.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.min("alone").alias("alone"), F.first("n_shingles").alias("n_shingles")).where(may)
-    texts = docs.join(chosen.select("doc_id", "class"), "doc_id").select("text", "class")
-    return texts.mapInArrow(lambda it: _sets(it, rule), "class long, n long, members binary")
+def candidate_sets(docs: DataFrame, classes: DataFrame, rule: Rule, repeated: bool = True) -> DataFrame:
+    """(class, n, ranks, members) of the classes that may link with another one; ``repeated``: whether ids may repeat."""
+    chosen = classes.where("ranks is not null").groupBy("class").agg(F.min(F.struct("doc_id", "ranks")).alias("of")).select("class", "of.doc_id", "of.ranks")
+    sets = docs.join(chosen, "doc_id").select("text", "class", "ranks").mapInArrow(lambda it: _sets(it, rule), "class long, n long, ranks binary, members binary")
+    return sets.dropDuplicates(["class"]) if repeated else sets
 
 
 def candidate_groups(sets: DataFrame, rule: Rule) -> DataFrame:
-    """(node, component) of the classes that share a part with another, joined over all their parts."""
-    parts = sets.select("class", "members").mapInArrow(lambda it: _parts(it, rule), "key long, class long")
-    first = F.min("class").over(Window.partitionBy("key").orderBy("class").rowsBetween(Window.unboundedPreceding, 0))
-    return components(parts.withColumn("first", first).where("class != first").select(F.col("class").alias("a"), F.col("first").alias("b")))
+    """(node, component) of the classes that share a key with another, joined over all their keys."""
+    keys = sets.select("class", "ranks", "members").mapInArrow(lambda it: _keys(it, rule), "key long, class long")
+    first = keys.groupBy("key").agg(F.min("class").alias("b"), F.max("class").alias("last")).where("b < last").drop("last")
+    return components(keys.join(first, "key").select(F.col("class").alias("a"), "b"))
+
 
+def numbered(nodes: DataFrame, tiling: Tiling, seed: int = 0) -> DataFrame:
+    """``nodes`` (group, n, class, ...) with a ``block`` of about ``tiling`` each; consecutive sizes, hashes within a size.
 
-def class_links(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    Only counts by group and size are put in order, so no task sees a group.
+    """
+    share = F.greatest(F.count("*") / tiling.sets, F.count("*") * F.col("n") / tiling.shingles)
+    before = Window.partitionBy("group").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = nodes.groupBy("group", "n").agg(share.alias("share")).withColumn("before", F.coalesce(F.sum("share").over(before), F.lit(0.0)))
+    spread = F.pmod(F.xxhash64("class", F.lit(seed)), F.lit(1 << 24)) / F.lit(1 << 24)
+    return nodes.join(sizes, ["group", "n"]).withColumn("block", F.floor(F.col("before") + F.col("share") * spread)).drop("before", "share")
+
+
+def _linked(sets: DataFrame, placed: DataFrame, keys: list[str], rule: Rule) -> DataFrame:
+    """Links between ``known`` components in the tiles that (class, side, known, *keys) places sets in."""
+    tiled = sets.select("class", "members").join(placed.select("class", "side", "known", *keys), "class")
+    return tiled.groupBy(*keys).applyInArrow(lambda t: _link(t, rule), "a long, b long")
+
+
+def _left_over(nodes: DataFrame, sets: DataFrame, rule: Rule, tiling: Tiling) -> DataFrame:
+    """Links between components of the same group, all pairs of sets compared but those in a group's largest component."""
+    many = nodes.groupBy("group", "known").agg(F.count("*").alias("many"))
+    main = many.groupBy("group").agg(F.max(F.struct("many", "known")).alias("of"), F.count("*").alias("parts")).where("parts > 1").select("group", F.col("of.known").alias("main"))
+    sides = nodes.join(main, "group").withColumn("rest", F.col("known") != F.col("main")).drop("main")
+    sides = sides.withColumn("whole", F.col("group")).withColumn("group", F.xxhash64("whole", "rest"))
+    placed = stable(numbered(sides, tiling).withColumn("group", F.col("whole")))
+    blocks = placed.groupBy("group", "rest", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    left, right = blocks.where("rest").alias("l"), blocks.alias("r")
+    near = (F.col("l.group") == F.col("r.group")) & (F.col("r.low") * rule.num <= F.col("l.high") * rule.den) & (F.col("l.low") * rule.num <= F.col("r.high") * rule.den)
+    tiles = left.join(right, near & (~F.col("r.rest") | (F.col("l.block") <= F.col("r.block"))))
+    side = lambda x, to: tiles.select("l.group", F.col("l.block").alias("i"), F.col("r.block").alias("j"), F.col("r.rest").alias("same"), F.lit(to).alias("side"), F.col(f"{x}.rest").alias("rest"), F.col(f"{x}.block").alias("block"))
+    sent = side("l", 0).unionByName(side("r", 1).where("not same or i < j"))
+    at = placed.join(sent, ["group", "rest", "block"])
+    return _linked(sets, at, ["group", "i", "j", "same"], rule)
+
+
+def class_links(docs: DataFrame, classes: DataFrame, rule: Rule, tiling: Tiling = Tiling(), repeated: bool = True) -> DataFrame:
     """Links (a, b) between classes that connect exactly what all their links connect."""
-    sets = stable(candidate_sets(docs, classes, rule))
+    sets = stable(candidate_sets(docs, classes, rule, repeated))
     found = candidate_groups(sets, rule).select(F.col("node").alias("class"), F.col("component").alias("group"))
-    upto = Window.partitionBy("group").orderBy("n", "class").rowsBetween(Window.unboundedPreceding, -1)
-    block = F.greatest(F.floor(F.coalesce(F.sum("n").over(upto), F.lit(0)) / BLOCK_SHINGLES), F.floor(F.coalesce(F.count("n").over(upto), F.lit(0)) / BLOCK_SETS))
-    nodes = sets.select("class", "n").distinct().join(found, "class")
-    nodes = stable(nodes.withColumn("block", block.cast("long")))
-    blocks = nodes.groupBy("group", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    left, right = blocks.alias("l"), blocks.alias("r")
-    near = (F.col("l.group") == F.col("r.group")) & (F.col("l.block") <= F.col("r.block")) & (F.col("r.low") * rule.num <= F.col("l.high") * rule.den)
-    tiles = left.join(right, near).select(F.col("l.group").alias("group"), F.col("l.block").alias("i"), F.col("r.block").alias("j"))
-    sides = tiles.withColumn("block", F.explode(F.array_distinct(F.array("i", "j"))))
-    placed = nodes.select("class", "group", "block").join(sides, ["group", "block"])
-    tiled = sets.select("class", "members").join(placed, "class")
-    return tiled.groupBy("group", "i", "j").applyInArrow(lambda t: _link(t, rule), "a long, b long")
-
-
-def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    nodes = stable(numbered(sets.select("class", "n").join(found, "class"), tiling).withColumn("known", F.col("class")))
+    links = stable(_linked(sets, nodes.withColumn("side", F.lit(0)), ["group", "block"], rule))
+    large = nodes.groupBy("group").agg(F.max("block").alias("most")).where("most > 0").select("group")
+    nodes, before, seed, last = stable(nodes.drop("block").join(large, "group")), None, 0, False
+    if nodes.isEmpty():
+        return links
+    sets = sets.select("class", "members")
+    while True:
+        known = nodes.drop("known").join(components(links).withColumnRenamed("node", "class"), "class", "left")
+        nodes, seed = stable(known.withColumn("known", F.coalesce("component", "class")).drop("component"), nodes), seed + 1
+        stand = numbered(nodes.where("class = known"), tiling, seed)
+        count, most = stand.agg(F.count("*"), F.max("block")).first()
+        if last or before is not None and count > before / 2:
+            return links.unionByName(_left_over(nodes, sets, rule, tiling))
+        # A round that has each group in one block has compared all that stand for something.
+        before, last = count, not most
+        links = stable(links.unionByName(_linked(sets, stand.withColumn("side", F.lit(0)), ["group", "block"], rule)))
+
+
+def jaccard_components(docs: DataFrame, rule: Rule = Rule(), tiling: Tiling = Tiling()) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of ``docs``.
 
     Only ``doc_id`` and ``text`` are read. Texts without words have no
@@ -303,18 +337,18 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     classes = stable(document_classes(docs, rule))
     docs = docs.where("doc_id is not null")
     known = classes.where("doc_id is not null and class is not null")
-    of_class = components(class_links(docs, known, rule))
-    least = known.groupBy("class").agg(F.min("doc_id").alias("least")).join(of_class.withColumnRenamed("node", "class"), "class", "left")
-    # A class and the ids in it: ids with two texts tie their classes together.
-    tied = known.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a != b")
+    # Ids with two texts tie their classes together.
+    several = stable(known.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("class").alias("a"), F.max("class").alias("b")).where("n > 1"))
+    links, tied = class_links(docs, known, rule, tiling, not several.isEmpty()), several.where("a != b")
     if not tied.isEmpty():
-        several = known.join(tied.select("doc_id", "a"), "doc_id").select("a", F.col("class").alias("b"))
-        of_class = components(of_class.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(several))
-        least = known.groupBy("class").agg(F.min("doc_id").alias("least")).join(of_class.withColumnRenamed("node", "class"), "class", "left")
+        links = links.unionByName(known.join(tied.select("doc_id", "a"), "doc_id").select("a", F.col("class").alias("b")))
+    of_class = components(links)
+    least = known.groupBy("class").agg(F.min("doc_id").alias("least")).join(of_class.withColumnRenamed("node", "class"), "class", "left")
     least = least.withColumn("component", F.coalesce("component", "class"))
-    smallest = least.groupBy("component").agg(F.min("least").alias("component_id"))
+    # Cut off from the join, so that a component of very many classes is a skewed join that Spark can split.
+    smallest = stable(least.groupBy("component").agg(F.min("least").alias("component_id")))
     answer = least.join(smallest, "component").select("class", "component_id")
-    out = classes.drop("alone").join(answer, "class", "left")
+    out = classes.drop("ranks").join(answer, "class", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"))
 
@@ -331,3 +365,14 @@ def keep_one(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 def op7_jaccard(spark, sf_dir: str) -> DataFrame:
     """The query: components of all documents at 0.9 over three-word shingles."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), Rule(3, 90, 100))
+
+
+#: All pairs of documents with a common shingle, those that link, and what they reach.
+SQL = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda s: s <> '') AS a FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(a[i:i + 2], ' ') AS g FROM (SELECT doc_id, a, unnest(range(1, greatest(len(a) - 1, least(len(a) + 1, 2)))) AS i FROM w)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT l.doc_id AS x, r.doc_id AS y, count(*) AS c FROM s l JOIN s r ON l.g = r.g AND l.doc_id < r.doc_id GROUP BY ALL),
+near AS MATERIALIZED (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 90 * (a.n + b.n - c)),
+edge AS MATERIALIZED (SELECT x, y FROM near UNION ALL SELECT y, x FROM near),
+reach(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT y, root FROM reach JOIN edge ON x = doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id) LEFT JOIN n USING (doc_id)"""
