@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -118,14 +119,25 @@ def test_shards_round_trip(spark, docs, tmp_path):
     assert {(r.slot, bytes(r.ids)) for r in some} <= {(r.slot, bytes(r.ids)) for r in rows}
 
 
-# 2 and 10 have SQL
+# 2, 7, 9 and 10 have SQL
 
 
-@pytest.mark.parametrize("name", ["op2_host_rules", "op10_mixture"])
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql(spark, duck, sf, name):
     same(registry.queries()[name](spark, sf), duck.sql(registry.oracle_sql()[name]))
 
 
+@pytest.mark.parametrize("name", ["op2_host_rules", "op10_mixture"])
+def test_sql_on_odd_rows(spark, odd, tmp_path, name):
+    import duckdb
+
+    # The SQL tells documents apart by their ids.
+    odd.select("doc_id", "text", "lang", "source").where("doc_id is not null").dropDuplicates(["doc_id"]).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    same(registry.queries()[name](spark, str(tmp_path)), con.sql(registry.oracle_sql()[name]))
+
+
 def test_host_is_rejected(spark):
     good = "this text has quite a lot of different words so that no rule has any reason to fail it at all {}"
     rows = [(i, "bad words only" if i % 10 else good.format(i), "spam") for i in range(200)] + [(1000 + i, good.format(i), f"h{i % 20}") for i in range(200)]
@@ -133,11 +145,7 @@ def test_host_is_rejected(spark):
     assert not any(r.kept for r in out if r.doc_id < 1000) and all(r.kept for r in out if r.doc_id >= 1000)
 
 
-def test_raking_meets_targets(docs):
-    cells = mixture.rake(mixture.weigh(docs), sweeps=60).toPandas()
-    for d, p in mixture.POWERS.items():
-        share = cells.groupby(d).n_tokens.sum() ** p
-        assert np.allclose(cells.groupby(d).weight.sum(), share / share.sum(), atol=1e-3)
+def test_plan_is_native(docs):
     out = mixture.mix(docs).toPandas()
     assert (out.probability * out.n_tokens).sum() == pytest.approx(mixture.BUDGET * out.n_tokens.sum(), rel=1e-6)
     plan = mixture.mix(docs)._jdf.queryExecution().toString()
@@ -150,19 +158,31 @@ def tied_rows():
     return [(0, f"s{s}", f"l{k}", t, int(n * (0.99 if k == s % 2 else 0.01) * (0.5 + rng.random()))) for s, n in enumerate(sizes) for k in range(2) for t in ("a", "b", "c")]
 
 
+CELLS = "doc_id long, source string, lang string, topic string, n_tokens long"
+
+
 def test_raking_of_tied_sources_meets_targets(spark, caplog):
-    cells = mixture.rake(spark.createDataFrame(tied_rows(), "doc_id long, source string, lang string, topic string, n_tokens long"))
+    cells = mixture.rake(spark.createDataFrame(tied_rows(), CELLS), budget=0.01)
     got = mixture.marginals(cells).toPandas()
     assert len(got) == 8 + 2 + 3 and np.allclose(got.reached, got.target, rtol=1e-7, atol=0)
-    for d, p in mixture.POWERS.items():
-        share = cells.toPandas().groupby(d).n_tokens.sum() ** p
-        assert np.allclose(got[got.dimension == d].set_index("level").target.sort_index(), share / share.sum())
+    rows = cells.toPandas()
+    assert (rows.weight <= rows.n_tokens).all() and rows.weight.sum() == pytest.approx(0.01 * rows.n_tokens.sum())
     assert not caplog.records
 
 
+@pytest.mark.parametrize("few", [100_000, 1])
+def test_raking_to_given_targets(spark, monkeypatch, few):
+    monkeypatch.setattr(mixture, "FEW_CELLS", few)
+    shares = {"lang": {"l0": 3.0, "l1": 1.0}, "topic": {"a": 1.0, "b": 1.0}}
+    rows = mixture.rake(spark.createDataFrame(tied_rows(), CELLS), {"lang": 0.9, "topic": 0.9}, 0.2, targets=shares).toPandas()
+    total = 0.2 * rows.n_tokens.sum()
+    lang, topic = rows.groupby("lang").weight.sum() / total, rows.groupby("topic").weight.sum() / total
+    assert lang["l0"] == pytest.approx(0.75) and topic["a"] == pytest.approx(0.5) and topic["c"] < 1e-9
+
+
 def test_raking_reports_contradicting_targets(spark, caplog):
     rows = [(0, "s0", "l0", "a", 900), (0, "s1", "l1", "a", 50), (0, "s1", "l0", "b", 50)]
-    got = mixture.marginals(mixture.rake(spark.createDataFrame(rows, "doc_id long, source string, lang string, topic string, n_tokens long"))).toPandas()
+    got = mixture.marginals(mixture.rake(spark.createDataFrame(rows, CELLS), budget=0.3)).toPandas()
     assert (got.reached / got.target - 1).abs().max() > 1e-3 and "off its target" in caplog.text
 
 
@@ -193,23 +213,41 @@ def test_gear_hash_and_shift():
     assert len(ends & moved) > 0.9 * len(ends)
 
 
-def test_chunk_dedup(docs):
-    got = {r.doc_id: r for r in gear.dedupe_chunks(docs).collect()}
-    seen = set()
-    for r in sorted(docs.collect(), key=lambda r: r.doc_id):
-        body, last, later = (r.text or "").encode(), 0, []
-        for e in gear.chunks(np.frombuffer(body, np.uint8)):
-            if body[last:e] in seen:
-                later.append((last, e - last))
-            seen.add(body[last:e])
-            last = e
-        a = np.array(later, np.int64).reshape(-1, 2)
-        first, end = gear.runs(a[:, 0], a[:, 1])
-        stay = np.ones(len(body), bool)
-        for x, y in zip(first, end):
-            stay[x:y] = False
-        kept = np.frombuffer(body, np.uint8)[stay].tobytes()
-        assert bytes(got[r.doc_id].kept) == kept and got[r.doc_id].kept_sha256 == hashlib.sha256(kept).hexdigest()
+def brute_chunks(rows):
+    """What ``dedupe_chunks`` removes, row by row in its order; rows without an id in the given one."""
+    import xxhash
+
+    def key(r):
+        return (r[0] is None, r[0] or 0, np.int64(np.uint64(xxhash.xxh64_intdigest((r[1] or "").encode(), seed=42))) if r[0] is not None and r[1] is not None else 42 if r[0] is not None else 0)
+
+    seen, done, out = set(), {}, collections.Counter()
+    for d, t in sorted(rows, key=key):
+        body, last, later = (t or "").encode(), 0, []
+        if d is None or (d, t) not in done:
+            for e in gear.chunks(np.frombuffer(body, np.uint8)):
+                if body[last:e] in seen:
+                    later.append((last, e - last))
+                seen.add(body[last:e])
+                last = e
+            a = np.array(later, np.int64).reshape(-1, 2)
+            first, end = gear.runs(a[:, 0], a[:, 1], whole=len(body))
+            stay = np.ones(len(body), bool)
+            for x, y in zip(first, end):
+                stay[x:y] = False
+            done[d, t] = np.frombuffer(body, np.uint8)[stay].tobytes()
+        out[d, done[d, t], hashlib.sha256(done[d, t]).hexdigest()] += 1
+    return out
+
+
+def test_chunk_dedup(docs, odd, spark):
+    same = random.Random(4).randbytes(3000).hex()
+    more = spark.createDataFrame([(None, same), (None, same), (7, same[:2000]), (7, same[1000:]), (7, same[1000:]), (3, "short"), (4, "short"), (5, "")], "doc_id long, text string").coalesce(1)
+    for df in (docs.select("doc_id", "text"), odd.select("doc_id", "text"), more):
+        got = collections.Counter((r.doc_id, bytes(r.kept), r.kept_sha256) for r in gear.dedupe_chunks(df).collect())
+        assert got == brute_chunks([(r.doc_id, r.text) for r in df.collect()])
+    got = gear.dedupe_chunks(more).collect()
+    assert sorted(r.n_removed for r in got if r.doc_id is None) == [6000, 6000]
+    assert [r.n_removed for r in got if r.doc_id == 4] == [5]
 
 
 # 4 classifier
@@ -232,6 +270,48 @@ def test_dual_descent_separates():
     assert ((m.score(found) >= 0.5) == (label == 1)).all()
 
 
+def test_fit_by_brute_force():
+    """Ratios counted one by one, and the primal of the hinge loss next to one that long projected ascent reaches."""
+    rng = np.random.default_rng(3)
+    words = rng.permutation(1 << nbsvm.BITS)[:120]
+    found = [np.unique(words[rng.integers(0, 80, 25) + (20 if i % 2 else 0)]).astype(np.int32) for i in range(60)]
+    label = (np.arange(60) + (rng.random(60) < 0.1)) % 2
+    m = nbsvm.fit(found, label, passes=300)
+    y = np.where(label == 1, 1.0, -1.0)
+    p, q = ({k: 1 + sum(k in f for f, v in zip(found, y) if v == s) for k in words.tolist()} for s in (1, -1))
+    a, b = (sum(x.values()) + (1 << nbsvm.BITS) - len(words) for x in (p, q))
+    ratio = {k: np.log(p[k] / a) - np.log(q[k] / b) for k in words.tolist()}
+    cols = sorted(ratio)
+    x = np.array([[ratio[k] * (k in f) / len(f) ** 0.5 for k in cols] + [1.0] for f in found])
+    alpha = np.zeros(60)
+    gram = (x * y[:, None]) @ (x * y[:, None]).T
+    top = np.linalg.eigvalsh(gram)[-1]
+    for _ in range(20_000):
+        alpha = np.clip(alpha + (1 - gram @ alpha) / top, 0, nbsvm.COST)
+    best = alpha.sum() - alpha @ gram @ alpha / 2
+    w = np.array([m.weights[k] / ratio[k] if ratio[k] else 0.0 for k in cols] + [m.bias])
+    primal = w @ w / 2 + nbsvm.COST * np.maximum(0, 1 - y * (x @ w)).sum()
+    assert best * (1 - 1e-9) <= primal <= best * 1.01
+    margin = x @ w
+    assert np.allclose(m.score(found), 1 / (1 + np.exp(-nbsvm.STEEP * margin)), atol=1e-4)
+
+
+def test_quality_of_odd_rows(spark, odd, labels):
+    got = nbsvm.quality_scores(odd, labels).collect()
+    score = collections.defaultdict(set)
+    for r in got:
+        score[r.doc_id].add(r.score)
+        assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5)
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+    assert score[1] == score[2] and score[3] == score[4] <= score[None] and score[10] == score[11]
+    rows = [(1, "the first text"), (1, "another text"), (2, "x"), (3, "the first text")]
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    mark = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    want = nbsvm.quality_scores(once, mark).collect()
+    many = nbsvm.quality_scores(spark.createDataFrame(rows * 20, "doc_id long, text string"), mark).collect()
+    assert {(r.doc_id, r.score) for r in many} == {(r.doc_id, r.score) for r in want}
+
+
 # 5 and 6 tokens
 
 
@@ -329,10 +409,70 @@ def test_tiles_in_two_blocks():
     assert len(set(halves.tolist())) == 1
 
 
-def test_components(spark):
+def near_copies(many, words, changes, seed):
+    """Copies of one text with a few words replaced each, some too far off to link, and some of which link only with each other."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    out = []
+    for i in range(many):
+        t = list(base)
+        for _ in range(rng.randrange(changes) if i % 20 else words // 8):
+            t[rng.randrange(words)] = f"c{rng.randrange(50)}"
+        out.append((i, " ".join(t)))
+    return out + [(many + i, " ".join(base[: words // 2] + [f"d{j}" for j in range(words // 2)] + ["e"] * (i % 2))) for i in range(40)]
+
+
+def by_matrix(rows, rule):
+    """Components of texts by the product of their 0-1 matrix."""
+    sets = [shingles(t, rule.width) for _, t in rows]
+    number = {}
+    x = np.zeros((len(sets), len(set().union(*sets))), np.float32)
+    for i, s in enumerate(sets):
+        x[i, [number.setdefault(g, len(number)) for g in s]] = 1
+    common, size = x @ x.T, x.sum(axis=1)
+    links = rule.den * common >= rule.num * (size[:, None] + size[None] - common)
+    left, out = np.ones(len(sets), bool), {}
+    for i, (d, _) in enumerate(rows):
+        if left[i]:
+            seen = new = links[i] & left
+            while new.any():
+                grown = links[new].any(axis=0) & left & ~seen
+                seen, new = seen | grown, grown
+            left &= ~seen
+            out |= {rows[k][0]: d for k in np.flatnonzero(seen).tolist()}
+    return out
+
+
+@pytest.mark.parametrize("rule", [jaccard.Rule(3, 90, 100), jaccard.Rule(5, 80, 100)])
+@pytest.mark.parametrize("many,sets", [(400, 16), (5000, 512)])
+def test_large_group_in_many_blocks(spark, rule, many, sets):
+    rows = near_copies(many, 200, 4 if rule.num == 90 else 6, many)
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), rule, jaccard.Tiling(sets, 1 << 20)).collect()
+    want = by_matrix(rows, rule)
+    assert len(set(want.values())) > 20 and {r.doc_id: r.component_id for r in got} == want
+
+
+@given(st.integers(1, 60), st.integers(0, 12), st.integers(0, 12), st.randoms())
+@settings(max_examples=200, deadline=None)
+def test_prefixes_of_linked_sets_meet(size, own, other, rng):
+    rule = rng.choice([jaccard.Rule(3, 90, 100), jaccard.Rule(5, 80, 100)])
+    every = np.random.default_rng(rng.randrange(1 << 30)).integers(0, 1 << 63, size + own + other).astype(np.uint64) * np.uint64(2)
+    sets = [np.unique(every[: size + own]), np.unique(np.concatenate([every[:size], every[size + own :]]))]
+    common = {int(x) for x in every[:size] if rng.random() < 0.5}
+    keys = []
+    for x in sets:
+        low = x[x < np.uint64(rule.sampled())]
+        bits = [[int(v) in set(every[:size].tolist()) for v in low], [int(v) in common for v in low]]
+        keys.append(set(jaccard.prefix_keys(x, np.concatenate([np.packbits(np.array(b, bool)) for b in bits]).tobytes(), rule).tolist()))
+    if rule.links(size, len(sets[0]), len(sets[1])):
+        assert keys[0] & keys[1]
+
+
+@pytest.mark.parametrize("few", [components.FEW, 5, 0])
+def test_components(spark, few):
     rng = random.Random(6)
     pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(50)]
-    got = {r.node: r.component for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(pairs, "a long, b long"), few).collect()}
     root = {}
 
     def top(x):
@@ -350,10 +490,7 @@ def test_components(spark):
 def test_sharing(spark):
     keys = [np.unique(np.random.default_rng(s).integers(0, 1 << 63, 200).astype(np.uint64)) for s in range(3)]
     keys[1] = np.unique(np.concatenate([keys[1], keys[0][:50]]))
-    rows = []
-    for b, k in enumerate(keys):
-        edge, prints = sharing.split(k, 4)
-        rows += [(b, i, int(edge[i + 1] - edge[i]), None, prints[edge[i] : edge[i + 1]].tobytes()) for i in range(4)]
+    rows = [(r["block"], r["bucket"], r["n"], r["note"], r["prints"]) for b, k in enumerate(keys) for r in sharing.print_rows(b, k, 4).to_pylist()]
     out = sharing.mark_shared(spark.createDataFrame(rows, "block long, bucket int, n int, note binary, prints binary"), hot=1).collect()
     for b, k in enumerate(keys):
         flags = sharing.flags_of(sorted((r.asDict() for r in out if r.block == b), key=lambda r: r["bucket"]))
@@ -364,6 +501,22 @@ def test_sharing(spark):
 # 8 media
 
 
+def cuts(samples):
+    """The shots one frame after the other, from counted histograms."""
+    h = [[int(((x.ravel() >> 4) == b).sum()) for b in range(media.BINS)] for x in samples]
+    change = [sum(abs(a - b) for a, b in zip(x, y)) / samples[0].size for x, y in zip(h, h[1:])]
+    out, first = [], 0
+    for i, c in enumerate(change):
+        old = [min(x, media.CAP) for x in change[max(0, i - media.WINDOW) : i]]
+        if i >= 2:
+            mean = sum(old) / len(old)
+            dev = max(0.0, sum(x * x for x in old) / len(old) - mean * mean) ** 0.5
+            if c > mean + max(media.FLOOR, media.SIGMAS * dev) + 1e-12:
+                out.append((first, i + 1))
+                first = i + 1
+    return [*out, (first, len(samples))]
+
+
 def test_media(docs, odd):
     for df in (docs, odd):
         texts = collections.defaultdict(set)
@@ -372,6 +525,9 @@ def test_media(docs, odd):
             assert fps == 25 and hashlib.sha256(bytes(r.media)).hexdigest() == r.media_sha256
             assert hashlib.sha256(media.decode_frames(stored).tobytes()).hexdigest() == r.payload_sha256
             assert r.clips[0].first_frame == 0 and r.clips[-1].end_frame == len(stored) == r.payload_bytes // 576
+            assert r.media_bytes == len(r.media) and [(c.first_frame, c.end_frame) for c in r.clips] == cuts(media.decode_frames(stored))
+            assert all((c.start_s, c.end_s) == (c.first_frame / fps, c.end_frame / fps) for c in r.clips)
+            assert r.tail_crc32 == zlib.crc32(media.decode_frames(stored).tobytes()[-32:])
             texts[r.doc_id].add(r.payload_sha256)
         for r in df.collect():
             b = (r.text or "").encode()
@@ -422,6 +578,24 @@ def test_repeats(docs, odd, block, hot):
         assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in got)
 
 
+def test_strings_shorter_than_the_length_are_kept(spark):
+    rng = random.Random(8)
+    for n in (20, 32, 45, 49, 50):
+        a, b, c = ("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=k)) for k in (650, 650, n))
+        df = spark.createDataFrame([(1, a + c + b), (2, b[::-1] + c + a[::-1])], "doc_id long, text string")
+        got = {r.doc_id: r.n_removed for r in suffixes.remove_repeats(df).collect()}
+        assert got == {1: 0, 2: 50 if n == 50 else 0}
+
+
+def test_passage_behind_many_bytes(spark):
+    rng = np.random.default_rng(5)
+    letters = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes().decode()
+    passage = letters(4000)
+    rows = [(1, letters(100) + passage), (2, letters(17_900_000) + passage + letters(30)), (3, passage[5:4000])]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, [(s.start, s.end) for s in r.spans]) for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), texts=False).collect()}
+    assert got == {1: (4100, 0, []), 2: (17_904_030, 4000, [(17_900_000, 17_904_000)]), 3: (3995, 3995, [(0, 3995)])}
+
+
 def test_cut_keeps_columns(odd):
     got = suffixes.cut_repeats(odd)
     assert got.schema.names == odd.schema.names and got.count() == len(odd_rows())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from wavetable.llm import host_rules, mixture
+from wavetable.llm import host_rules, jaccard, mixture, suffixes
 from wavetable.llm.bpe import op5_byte_bpe
 from wavetable.llm.gear import op3_chunk_dedup
 from wavetable.llm.host_rules import op2_host_rules
@@ -22,4 +22,4 @@ def queries() -> dict[str, Callable]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_host_rules": host_rules.SQL, "op10_mixture": mixture.SQL}
+    return {"op2_host_rules": host_rules.SQL, "op7_jaccard": jaccard.SQL, "op9_suffix_dedup": suffixes.SQL, "op10_mixture": mixture.SQL}
