@@ -310,6 +310,37 @@ def test_matching(spark):
         assert c.tp == len(got) and c.fn == 12 - len({i for i, _ in got}) and c.fp == 15 - len({j for _, j in got})
 
 
+def test_paired_has_what_all_near_pairs_give(spark):
+    rng = np.random.default_rng(5)
+    sides, want, mutual = ([], []), set(), set()
+    for tr in range(12):
+        times = [np.round(rng.random(n) * 40 - 20, tr % 3).tolist() for n in rng.integers(0, 25, 2)]
+        for side, ts in zip(sides, times):
+            side += [(f"t{tr}", n, t) for n, t in zip(rng.permutation(len(ts)).tolist(), ts)] + [(f"t{tr}", 90, None), (f"t{tr}", 91, float("nan")), (None, tr, 0.0)]
+        a, b = ([t for _, _, t in sorted(r for r in side if r[0] == f"t{tr}" and r[1] < 90)] for side in sides)
+        want |= {(f"t{tr}", i, j) for i, j in pair_loop(np.array(a), np.array(b), 2.0)} if a and b else set()
+        near = lambda x, ys: min(((abs(x - y), n) for n, y in enumerate(ys) if abs(x - y) <= 2.0), default=(0, -1))[1]
+        mutual |= {(f"t{tr}", i, near(t, b)) for i, t in enumerate(a) if near(t, b) >= 0 and near(b[near(t, b)], a) == i}
+    left, right = (spark.createDataFrame(side, f"tr string, {name} long, t double") for side, name in zip(sides, "ij"))
+    for strict, expected in ((False, want), (True, mutual)):
+        got = match.paired(left, right, ["tr"], 2.0, strict).collect()
+        assert sorted((r.tr, r.i, r.j) for r in got) == sorted(expected) and all(r.d == abs(r.ta - r.tb) for r in got)
+
+
+def test_repair_streams_by_trace(spark):
+    rows = [(tr, i, float(i), 2.0 * i + (40 if i % 50 == 7 else 0)) for tr in ("a", None, "b") for i in range(120)] + [("c", 0, 1.0, None), ("c", 1, None, 2.0)]
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        df = match.repair(spark.createDataFrame(rows, "tr string, i long, strong double, weak double"), ["tr"], 1.5)
+        got = df.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert {(r.tr, r.i) for r in got if r.odd} == {(tr, i) for tr in ("a", None, "b") for i in (7, 57, 107)} and len(got) == len(rows)
+    assert sorted(r.weak for r in got if r.tr == "a" and r.odd) == pytest.approx([14.0, 114.0, 214.0])
+    assert "FlatMapGroups" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_association_and_repair(spark):
     rows = [("e", s, 10.0 * e + 0.1 * s) for e in range(3) for s in range(4) if (e, s) != (2, 1) and not (e == 1 and s > 0)]
     picks = spark.createDataFrame(rows, "tr string, station int, t double")

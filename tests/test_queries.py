@@ -1,5 +1,6 @@
 """Every registered signal query against its SQL on the smallest tables."""
 
+import duckdb
 import pytest
 
 from tests.conftest import same
@@ -24,3 +25,36 @@ def test_entry_points(spark):
 
     assert e.entry(spark).count() > 0
     assert set(QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def most_rows(df):
+    """The most rows that one operator of the plan gave."""
+    df.collect()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        plan = todo.pop()
+        kind = plan.getClass().getSimpleName()
+        todo += [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else []
+        todo += [plan.children().apply(n) for n in range(plan.children().size())]
+        rows = plan.metrics().get("numOutputRows")
+        most = max(most, rows.get().value() if rows.isDefined() else 0)
+    return most
+
+
+@pytest.fixture(scope="module")
+def crowded(tmp_path_factory):
+    """Events of one user group, all within an hour, some at one time: a folder, their number, and DuckDB with them."""
+    folder, n = tmp_path_factory.mktemp("crowded"), 1500
+    con = duckdb.connect()
+    con.sql("SET timezone = 'UTC'")
+    con.sql(f"CREATE TABLE events AS SELECT n AS event_id, TIMESTAMP '2024-01-05 23:30:00' + to_milliseconds(hash(n % 1400) % 3500000) AS ts, 10 * (n // 2 % 3) AS user_id, ['purchase', 'error'][n % 2 + 1] AS event_type, 1.0::DOUBLE AS value FROM range({n}) t(n)")
+    con.sql(f"COPY events TO '{folder}/events.parquet'")
+    return str(folder), n, con
+
+
+@pytest.mark.parametrize("name", ["repaired_picks"])
+def test_crowded_picks_make_no_rows_for_all_pairs(spark, crowded, name):
+    folder, n, con = crowded
+    out = QUERIES[name](spark, folder)
+    assert most_rows(out) <= 4 * n
+    same(out, con.sql(ORACLE[name]))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from collections.abc import Iterator
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from wavetable.operators.intervals import SECONDS, bucketed
 from wavetable.session import stable
@@ -37,15 +42,61 @@ def pair(pairs: DataFrame, keys: list[str], strict: bool = False) -> DataFrame:
 
     For each i the closest j whose nearest is i, and for each j the closest i
     whose nearest is j; the union may use an element twice. ``strict`` keeps
-    mutual nearest ones only, which are one to one.
+    mutual nearest ones only, which are one to one. ``paired`` gives the same
+    from the sides, without all near pairs.
     """
     of_i, of_j = Window.partitionBy(*keys, "i").orderBy("d", "j"), Window.partitionBy(*keys, "j").orderBy("d", "i")
-    ranked = pairs.withColumn("_j", F.row_number().over(of_i)).withColumn("_i", F.row_number().over(of_j))
+    ranked = pairs.withColumn("_j", F.row_number().over(of_i) == 1).withColumn("_i", F.row_number().over(of_j) == 1)
+    return _taken(ranked, keys, strict).distinct()
+
+
+def _taken(ranked: DataFrame, keys: list[str], strict: bool) -> DataFrame:
+    """Of pairs with ``_i``, whether i is the nearest of j, and ``_j``, whether j is that of i, those that are taken up."""
     if strict:
-        return ranked.where("_i = 1 and _j = 1").drop("_i", "_j")
-    one = ranked.where("_i = 1").withColumn("_r", F.row_number().over(of_i)).where("_r = 1")
-    two = ranked.where("_j = 1").withColumn("_r", F.row_number().over(of_j)).where("_r = 1")
-    return one.unionByName(two).drop("_i", "_j", "_r").distinct()
+        return ranked.where("_i and _j").drop("_i", "_j")
+    one, two = Window.partitionBy(*keys, "i").orderBy(F.desc("_i"), "d", "j"), Window.partitionBy(*keys, "j").orderBy(F.desc("_j"), "d", "i")
+    first = ranked.withColumn("_one", F.row_number().over(one) == 1).withColumn("_two", F.row_number().over(two) == 1)
+    return first.where("(_i and _one) or (_j and _two)").drop("_i", "_j", "_one", "_two")
+
+
+def _nearest(a: DataFrame, b: DataFrame, keys: list[str], reach: float) -> DataFrame:
+    """(keys, i, ta, j, tb, d, _i, _j): the pairs of near ones where i is the nearest of j (``_i``) or j that of i (``_j``).
+
+    Rows at one time have the same distances, so the least id stands for them,
+    and no row has more than a neighbour before and one after it in time. Times
+    are sorted in buckets wider than ``reach``; the first and the last time of
+    a side in a bucket are also put in the bucket before and after it.
+    """
+    width = 2 * reach
+
+    def times(side: DataFrame, name: str) -> DataFrame:
+        known = [F.col(c).isNotNull() for c in (*keys, "t")]
+        return side.where(reduce(Column.__and__, known) & ~F.isnan("t")).groupBy(*keys, "t").agg(F.min(name).alias(name)).withColumn("_k", F.floor(F.col("t") / width))
+
+    def rows(side: DataFrame, name: str) -> DataFrame:
+        ends = side.groupBy(*keys, "_k").agg(F.min("t").alias("_t0"), F.min_by(name, "t").alias("_x0"), F.max("t").alias("_t1"), F.max_by(name, "t").alias("_x1"))
+        sent = F.explode(F.array(*(F.struct((F.col("_k") + step).alias("k"), F.col(f"_t{end}").alias("t"), F.col(f"_x{end}").alias("x")) for end, step in enumerate((-1, 1)))))
+        sent = ends.select(*keys, sent.alias("_e")).select(*keys, F.col("_e.k").alias("_k"), "_e.t", F.col("_e.x").alias(name), F.lit(False).alias("_own"))
+        return side.withColumn("_own", F.lit(True)).unionByName(sent).withColumn(f"_{name}", F.struct("t", name)).drop(name)
+
+    both = rows(times(a, "i"), "i").unionByName(rows(times(b, "j"), "j"), allowMissingColumns=True).repartition(*keys, "_k")
+    bucket, first = Window.partitionBy(*keys, "_k"), F.col("_i").isNotNull()
+    before, after = bucket.orderBy("t", F.desc(first)), bucket.orderBy(F.desc("t"), first)
+    seen = both.select("*", *(F.last(f"_{x}", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(f"_{x}{way}") for way, w in enumerate((before, after)) for x in "ij")).where("_own")
+
+    def closest(x: str) -> Column:
+        gaps = ((F.abs(F.col("t") - F.col(f"_{x}{way}.t")), F.col(f"_{x}{way}")) for way in range(2))
+        return F.least(*(F.when(d <= reach, F.struct(d.alias("d"), at[x].alias(x), at["t"].alias("t"))) for d, at in gaps))
+
+    found = seen.withColumn("_to", F.when(first, closest("j"))).withColumn("_from", F.when(~first, closest("i"))).where("_to is not null or _from is not null")
+    either = lambda of_a, of_b: F.when(first, F.col(of_a)).otherwise(F.col(of_b))
+    pairs = found.select(*keys, either("_i.i", "_from.i").alias("i"), either("t", "_from.t").alias("ta"), either("_to.j", "_j.j").alias("j"), either("_to.t", "t").alias("tb"), either("_to.d", "_from.d").alias("d"), first.alias("_a"))
+    return pairs.groupBy(*keys, "i", "ta", "j", "tb", "d").agg(F.max(~F.col("_a")).alias("_i"), F.max("_a").alias("_j"))
+
+
+def paired(a: DataFrame, b: DataFrame, keys: list[str], reach: float, strict: bool = False) -> DataFrame:
+    """(keys, i, ta, j, tb, d): ``pair`` of the near pairs, of which only nearest ones are made; rows grow with the sides."""
+    return _taken(_nearest(a, b, keys, reach), keys, strict)
 
 
 def match(a: DataFrame, b: DataFrame, keys: list[str], reach: float, strict: bool = False) -> DataFrame:
@@ -126,22 +177,25 @@ def repair(picks: DataFrame, keys: list[str], eps: float = 1.0) -> DataFrame:
 
     In the order of the strong picks, one is odd if its step from the last
     good pair differs by more than ``eps`` of the strong step; that is a scan
-    with state, so a trace's picks meet in one call.
+    with state, so a trace's picks pass one task in order, batch by batch.
     """
-    import pandas as pd
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["strong", "i"]).reset_index(drop=True)
-        odd, good = [], 0
-        for n, (s, w) in enumerate(zip(pdf["strong"], pdf["weak"], strict=True)):
-            step = s - pdf["strong"][good]
-            odd.append(n > 0 and abs(w - pdf["weak"][good] - step) > eps * abs(step))
-            good = good if odd[-1] else n
-        return pdf.assign(odd=odd)
-
-    kinds = {f.name: f.dataType.simpleString() for f in picks.schema.fields}
-    head = ", ".join(f"{k} {kinds[k]}" for k in [*keys, "i"])
-    scanned = picks.select(*keys, "i", "strong", "weak").groupBy(*keys).applyInPandas(scan, f"{head}, strong double, weak double, odd boolean")
+    import pyarrow as pa
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, good = None, (0.0, 0.0)
+        for batch in batches:
+            odd = []
+            traces = zip(*(batch.column(k).to_pylist() for k in keys), strict=True) if keys else [()] * len(batch)
+            for at, s, w in zip(traces, *(batch.column(c).to_pylist() for c in ("strong", "weak")), strict=True):
+                s, w = math.nan if s is None else s, math.nan if w is None else w
+                step = s - good[0]
+                odd.append(at == last and abs(w - good[1] - step) > eps * abs(step))
+                last, good = at, good if odd[-1] else (s, w)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(odd, pa.bool_())], names=[*batch.schema.names, "odd"])
+
+    rows = picks.select(*keys, "i", F.col("strong").cast("double").alias("strong"), F.col("weak").cast("double").alias("weak"))
+    in_order = (rows.repartition(*keys) if keys else rows.repartition(1)).sortWithinPartitions(*keys, F.col("strong").asc_nulls_last(), "i")
+    scanned = in_order.mapInArrow(scan, StructType([*rows.schema.fields, StructField("odd", BooleanType())]))
     fit = scanned.where("not odd").groupBy(*keys).agg(F.regr_slope("weak", "strong").alias("_s"), F.regr_intercept("weak", "strong").alias("_c"))
     line = F.when(F.col("odd") & F.col("_s").isNotNull(), F.col("_c") + F.col("_s") * F.col("strong")).otherwise(F.col("weak"))
-    return scanned.join(fit, keys, "left").withColumn("weak", line).drop("_s", "_c")
+    return (scanned.join(fit, keys, "left") if keys else scanned.crossJoin(fit)).withColumn("weak", line).drop("_s", "_c")

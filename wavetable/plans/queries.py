@@ -535,7 +535,7 @@ def detector_components(spark, d):
 
 @query
 def repaired_picks(spark, d):
-    pairs = match.pair(match.near(*_sides(spark, d), TR, 3600.0), TR, strict=True)
+    pairs = match.paired(*_sides(spark, d), TR, 3600.0, strict=True)
     return rounded(rounded(match.repair(pairs.select("tr", "i", F.col("ta").alias("strong"), F.col("tb").alias("weak")), TR), 6, "strong"), 4, "weak")
 
 
