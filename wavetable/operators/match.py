@@ -101,7 +101,7 @@ def paired(a: DataFrame, b: DataFrame, keys: list[str], reach: float, strict: bo
 
 def match(a: DataFrame, b: DataFrame, keys: list[str], reach: float, strict: bool = False) -> DataFrame:
     """(keys, i, ta, j, tb): pairs, and what stays alone on either side."""
-    return _with_alone(a, b, pair(near(a, b, keys, reach), keys, strict).drop("d"), keys)
+    return _with_alone(a, b, paired(a, b, keys, reach, strict).drop("d"), keys)
 
 
 def _with_alone(a: DataFrame, b: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
