@@ -52,7 +52,7 @@ def crowded(tmp_path_factory):
     return str(folder), n, con
 
 
-@pytest.mark.parametrize("name", ["repaired_picks", "picks_full_match", "picks_aligned", "picks_scores"])
+@pytest.mark.parametrize("name", ["repaired_picks", "picks_full_match", "picks_aligned", "picks_scores", "picks_pairs"])
 def test_crowded_picks_make_no_rows_for_all_pairs(spark, crowded, name):
     folder, n, con = crowded
     out = QUERIES[name](spark, folder)

@@ -390,7 +390,7 @@ def _sides(spark, d):
 
 @query
 def picks_pairs(spark, d):
-    return match.pair(match.near(*_sides(spark, d), TR, 3600.0), TR).select("tr", "i", "j", r("d").alias("d"))
+    return match.paired(*_sides(spark, d), TR, 3600.0).select("tr", "i", "j", r("d").alias("d"))
 
 
 @query
