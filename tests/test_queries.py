@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from tests.conftest import same
+from wavetable.operators import match
 from wavetable.plans.queries import QUERIES, oracle
 
 ORACLE = oracle()
@@ -58,3 +59,11 @@ def test_crowded_picks_make_no_rows_for_all_pairs(spark, crowded, name):
     out = QUERIES[name](spark, folder)
     assert most_rows(out) <= 4 * n
     same(out, con.sql(ORACLE[name]))
+
+
+def test_crowded_association_makes_no_rows_for_all_pairs(spark, crowded, monkeypatch):
+    folder, n, con = crowded
+    steps, stable = [], match.stable
+    monkeypatch.setattr(match, "stable", lambda df: steps.append(df) or stable(df))
+    same(QUERIES["association_votes"](spark, folder), con.sql(ORACLE["association_votes"]))
+    assert steps and max(map(most_rows, steps)) <= 4 * n

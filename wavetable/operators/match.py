@@ -153,7 +153,7 @@ def associate(picks: DataFrame, keys: list[str], locations: dict, reach: float,
             continue
         named = stable(state.withColumn("t", _running(cols, how)).withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("t").asc_nulls_last(), *cols))))
         right, left = numbered(own, keys, "j"), named.where("t is not null").select(*keys, "i", "t")
-        pairs = stable(pair(near(left, right, keys, reach), keys).drop("d"))
+        pairs = stable(paired(left, right, keys, reach).drop("d"))
         found = _with_alone(left, right, pairs, keys).select(*keys, "i", "j", F.col("tb").alias(f"t{step}"))
         state = named.drop("t").join(found, [*keys, "i"], "full_outer").select(*keys, *cols, f"t{step}")
         cols.append(f"t{step}")
