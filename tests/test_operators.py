@@ -327,6 +327,19 @@ def test_paired_has_what_all_near_pairs_give(spark):
         assert sorted((r.tr, r.i, r.j) for r in got) == sorted(expected) and all(r.d == abs(r.ta - r.tb) for r in got)
 
 
+def test_numbers_go_on_from_bucket_to_bucket(spark):
+    rng = np.random.default_rng(6)
+    rows = [(tr, n, t) for tr in ("a", "b", None) for n, t in enumerate([*(rng.random(60) * 90000 - 40000).tolist(), 7.0, 7.0, None, None, float("nan"), float("inf")])]
+    got = match.in_order(spark.createDataFrame(rows, "tr string, n long, t double"), ["tr"], "i", "t", "n").collect()
+    last = lambda t: (t is None, t is not None and np.isnan(t), t if t is not None and not np.isnan(t) else 0.0)
+    for tr in ("a", "b", None):
+        want = {n: i for i, (_, n, _) in enumerate(sorted((r for r in rows if r[0] == tr), key=lambda r: (*last(r[2]), r[1])), 1)}
+        assert {r.n: r.i for r in got if r.tr == tr} == want
+    assert len(got) == len(rows) and set(got[0].asDict()) == {"tr", "n", "t", "i"}
+    numbers = match.numbered(spark.createDataFrame([("a", None), ("a", 2.0), ("a", 1.0)], "tr string, t double"), ["tr"], "i").collect()
+    assert {r.t: r.i for r in numbers} == {1.0: 1, 2.0: 2, None: 3}
+
+
 def test_repair_streams_by_trace(spark):
     rows = [(tr, i, float(i), 2.0 * i + (40 if i % 50 == 7 else 0)) for tr in ("a", None, "b") for i in range(120)] + [("c", 0, 1.0, None), ("c", 1, None, 2.0)]
     size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -112,15 +112,28 @@ def _with_alone(a: DataFrame, b: DataFrame, pairs: DataFrame, keys: list[str]) -
 
 def align(padded: DataFrame, reference: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``padded`` (keys, i, value) with ``index``: the place j in ``reference`` (keys, j, value) of the value of the same rank, -1 for nulls."""
-    by = lambda order: Window.partitionBy(*keys).orderBy(value, order)
-    left = padded.where(F.col(value).isNotNull()).withColumn("_r", F.row_number().over(by("i")))
-    right = reference.withColumn("_r", F.row_number().over(by("j"))).select(*keys, "_r", F.col("j").alias("index"))
+    left = in_order(padded.where(F.col(value).isNotNull()), keys, "_r", value, "i")
+    right = in_order(reference, keys, "_r", value, "j").select(*keys, "_r", F.col("j").alias("index"))
     found = left.join(right, [*keys, "_r"], "left").select(*keys, "i", "index")
     return padded.join(found, [*keys, "i"], "left").withColumn("index", F.coalesce("index", F.lit(-1)))
 
 
+def in_order(rows: DataFrame, keys: list[str], name: str, by: str, *then: str, width: float = SECONDS) -> DataFrame:
+    """``rows`` numbered from 1 in each trace by ``by``, nulls last, and then ``then``.
+
+    Rows are sorted in buckets of ``width``; a bucket begins where the counts
+    of those before it end, so no task sorts a trace.
+    """
+    cut = rows.withColumn("_k", F.when(F.col(by).isNull() | F.isnan(by), F.lit(2**63 - 1)).otherwise(F.floor(F.col(by) / width)).cast("long"))
+    ends = Window.partitionBy(*keys).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    begins = cut.groupBy(*keys, "_k").count().select(*keys, "_k", F.coalesce(F.sum("count").over(ends), F.lit(0)).alias("_begin"))
+    bucket = Window.partitionBy(*keys, "_k")
+    place = F.row_number().over(bucket.orderBy(F.col("_begin").asc_nulls_last(), F.col(by).asc_nulls_last(), *then)) - 1
+    return cut.unionByName(begins, allowMissingColumns=True).withColumn(name, (place + F.max("_begin").over(bucket)).cast("long")).where("_begin is null").drop("_k", "_begin")
+
+
 def numbered(picks: DataFrame, keys: list[str], name: str) -> DataFrame:
-    return picks.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy("t")).cast("long"))
+    return in_order(picks, keys, name, "t")
 
 
 def _running(cols: list[str], how: str):
@@ -151,7 +164,7 @@ def associate(picks: DataFrame, keys: list[str], locations: dict, reach: float,
         if state is None:
             state, cols = own.withColumnRenamed("t", "t0"), ["t0"]
             continue
-        named = stable(state.withColumn("t", _running(cols, how)).withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("t").asc_nulls_last(), *cols))))
+        named = stable(in_order(state.withColumn("t", _running(cols, how)), keys, "i", "t", *cols))
         right, left = numbered(own, keys, "j"), named.where("t is not null").select(*keys, "i", "t")
         pairs = stable(paired(left, right, keys, reach).drop("d"))
         found = _with_alone(left, right, pairs, keys).select(*keys, "i", "j", F.col("tb").alias(f"t{step}"))
@@ -159,7 +172,7 @@ def associate(picks: DataFrame, keys: list[str], locations: dict, reach: float,
         cols.append(f"t{step}")
     earliest = F.least(*cols) if len(cols) > 1 else F.col(cols[0])
     votes = sum((F.col(c).isNotNull().cast("int") for c in cols[1:]), F.col(cols[0]).isNotNull().cast("int"))
-    events = state.where(votes >= vote_rate * len(order)).withColumn("event", F.row_number().over(Window.partitionBy(*keys).orderBy(earliest, *cols)).cast("long"))
+    events = in_order(state.where(votes >= vote_rate * len(order)).withColumn("_t", earliest), keys, "event", "_t", *cols)
     long = F.explode(F.array(*(F.struct(F.lit(s).alias("station"), F.col(c).alias("t")) for s, c in zip(order, cols, strict=True))))
     return events.select(*keys, "event", long.alias("p")).select(*keys, "event", "p.station", "p.t").where("t is not null")
 
