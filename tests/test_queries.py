@@ -67,3 +67,32 @@ def test_crowded_association_makes_no_rows_for_all_pairs(spark, crowded, monkeyp
     monkeypatch.setattr(match, "stable", lambda df: steps.append(df) or stable(df))
     same(QUERIES["association_votes"](spark, folder), con.sql(ORACLE["association_votes"]))
     assert steps and max(map(most_rows, steps)) <= 4 * n
+
+
+def rows_in_all(df):
+    """The rows that the plan's operators gave, together; an exchange that is reused counts once."""
+    df.collect()
+    todo, total = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        plan = todo.pop()
+        kind = plan.getClass().getSimpleName()
+        todo += [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else []
+        todo += [plan.children().apply(n) for n in range(plan.children().size())]
+        rows = plan.metrics().get("numOutputRows")
+        total += rows.get().value() if rows.isDefined() else 0
+    return total
+
+
+@pytest.mark.parametrize("name", ["picks_aligned"])
+def test_rows_of_picks_grow_as_copies_of_events(spark, crowded, tmp_path, name):
+    made = []
+    for copies in (1, 3):
+        con, folder = duckdb.connect(), tmp_path / str(copies)
+        folder.mkdir()
+        con.sql("SET timezone = 'UTC'")
+        con.sql(f"CREATE TABLE events AS SELECT event_id + 10000 * c AS event_id, ts + to_milliseconds(7130 * (c // 2)) AS ts, user_id + 30 * c AS user_id, event_type, value FROM '{crowded[0]}/events.parquet', range({copies}) r(c)")
+        con.sql(f"COPY events TO '{folder}/events.parquet'")
+        out = QUERIES[name](spark, str(folder))
+        made.append(rows_in_all(out))
+    same(out, con.sql(ORACLE[name]))
+    assert 0 < made[1] <= 3.5 * made[0]
