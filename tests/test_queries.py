@@ -83,7 +83,7 @@ def rows_in_all(df):
     return total
 
 
-@pytest.mark.parametrize("name", ["picks_aligned"])
+@pytest.mark.parametrize("name", ["picks_aligned", "picks_scores"])
 def test_rows_of_picks_grow_as_copies_of_events(spark, crowded, tmp_path, name):
     made = []
     for copies in (1, 3):
